@@ -74,17 +74,22 @@ def closest_matchups(m: DataFrame, n: int = 10, per_league: bool = True, weeks=(
 
 def volatility(m: DataFrame, weeks=(1, 14)) -> DataFrame:
     """Week-to-week swings of a team name's score between adjacent weeks where
-    both weeks were played; swings are rounded before averaging."""
+    both weeks were played; swings are rounded before averaging.
+
+    Pairs a row with every played row of the same team name exactly one week
+    later (the ``RANGE 1 FOLLOWING .. 1 FOLLOWING`` frame), which is the
+    equi-join ``t1.week + 1 = t2.week`` including its fan-out on repeated
+    names, in one pass over the input.
+    """
     lo, hi = weeks
-    t1 = m.filter((F.col("week") >= lo) & (F.col("week") < hi) & (F.col("points") > 0)).select(
-        LEAGUE, "team_name", (F.col("week") + 1).alias("_next"), F.col("points").alias("_p1"))
-    t2 = m.filter(F.col("points") > 0).select(
-        F.col(LEAGUE).alias("_l2"), F.col("team_name").alias("_t2"), F.col("week").alias("_w2"),
-        F.col("points").alias("_p2"))
-    pairs = t1.join(t2, (t1[LEAGUE] == t2["_l2"]) & (t1["team_name"] == t2["_t2"])
-                    & (t1["_next"] == t2["_w2"]), "inner")
+    nxt = Window.partitionBy(LEAGUE, "team_name").orderBy("week").rangeBetween(1, 1)
+    next_points = F.collect_list(F.when(F.col("points") > 0, F.col("points"))).over(nxt)
+    rows = (m.select(LEAGUE, "team_name", "week", "points")
+            .withColumn("_next", next_points)
+            .filter((F.col("week") >= lo) & (F.col("week") < hi) & (F.col("points") > 0)))
+    pairs = rows.select(LEAGUE, "team_name", "points", F.explode("_next").alias("_p2"))
     swing = pairs.select(LEAGUE, "team_name",
-                         round_ref(F.abs(F.col("_p1") - F.col("_p2"))).alias("swing"))
+                         round_ref(F.abs(F.col("points") - F.col("_p2"))).alias("swing"))
     return swing.groupBy(LEAGUE, "team_name").agg(
         round_ref(exact_avg("swing")).alias("avg_swing"), F.max("swing").alias("biggest_swing"))
 

@@ -56,14 +56,12 @@ def top_of(scores: Column) -> Column:
 
 def with_top_player(weekly: DataFrame) -> DataFrame:
     """Adds ``top_player_id``, ``top_player_score`` and ``players_json``."""
-    scored = weekly.withColumn("_scores", player_scores(F.col("players"), F.col("players_points")))
-    top = top_of(F.col("_scores"))
-    return (scored
-            .withColumn("_top", top)
-            .withColumn("top_player_id", F.col("_top.id"))
-            .withColumn("top_player_score", F.col("_top.score"))
-            .withColumn("players_json", dumps_entries(F.col("_scores")))
-            .drop("_scores", "_top"))
+    scored = weekly.select("*", player_scores(F.col("players"), F.col("players_points"))
+                           .alias("_scores"))
+    top = scored.select("*", top_of(F.col("_scores")).alias("_top"),
+                        dumps_entries(F.col("_scores")).alias("players_json"))
+    return top.select(*weekly.columns, F.col("_top.id").alias("top_player_id"),
+                      F.col("_top.score").alias("top_player_score"), "players_json")
 
 
 def matchups_raw(weekly: DataFrame, rosters: DataFrame, users: DataFrame) -> DataFrame:
@@ -77,30 +75,47 @@ def matchups_raw(weekly: DataFrame, rosters: DataFrame, users: DataFrame) -> Dat
         "matchup_id", "points", "top_player_id", "top_player_score", "players_json")
 
 
-def _opponents(raw: DataFrame) -> DataFrame:
-    return raw.select(
-        F.col(LEAGUE).alias("_o_league"), F.col("week").alias("_o_week"),
-        F.col("matchup_id").alias("_o_matchup"), F.col("roster_id").alias("opp_roster_id"),
-        F.col("team_name").alias("opponent"), F.col("points").alias("opp_points"))
+def _matchup_window() -> Window:
+    """Rows of one (league, week, matchup) group. A NULL matchup id pairs with
+    nothing, so those rows are split into groups of their own roster."""
+    lone = F.when(F.col("matchup_id").isNull(), F.col("roster_id"))
+    return Window.partitionBy(LEAGUE, "week", "matchup_id", lone)
 
 
-def _pair_condition(m: DataFrame, o: DataFrame) -> Column:
-    # Plain equality: a NULL matchup id never pairs.
-    return ((m[LEAGUE] == o["_o_league"]) & (m["week"] == o["_o_week"])
-            & (m["matchup_id"] == o["_o_matchup"]) & (m["roster_id"] != o["opp_roster_id"]))
+def with_opponents(df: DataFrame, keep_unmatched: bool) -> DataFrame:
+    """Each row next to each *other* row of its matchup (``opp_roster_id``,
+    ``opponent``, ``opp_points``).
+
+    Same rows as a self-join on (league, week, matchup_id) with
+    ``roster_id <> opp_roster_id``, but computed with one window over the
+    group: the input is evaluated and shuffled once, not once per join side.
+    A group holds the rosters of one matchup (two in head-to-head play; at most
+    a league's rosters), so the per-row opponent list is bounded.
+    ``keep_unmatched`` keeps rows without an opponent, with NULL opponent
+    columns (left-join semantics).
+    """
+    entry = F.struct(F.col("roster_id").alias("opp_roster_id"),
+                     F.col("team_name").alias("opponent"),
+                     F.col("points").alias("opp_points"))
+    group = F.collect_list(entry).over(_matchup_window())
+    others = F.filter(F.col("_group"), lambda e: e["opp_roster_id"] != F.col("roster_id"))
+    exploded = F.explode_outer(others) if keep_unmatched else F.explode(others)
+    cols = df.columns
+    return (df.select(*cols, group.alias("_group"))
+            .select(*cols, exploded.alias("_opp"))
+            .select(*cols, F.col("_opp.opp_roster_id"), F.col("_opp.opponent"),
+                    F.col("_opp.opp_points")))
 
 
 def matchups(raw: DataFrame, rule: str = "beats") -> DataFrame:
     """The scoreboard table: ``raw`` plus ``won`` (and ``rank_in_matchup``
     under the ``rank`` rule).
 
-    ``beats`` joins each row to the other rows of its matchup; a matchup of
-    three rosters therefore gives each roster two rows.
+    Under ``beats`` each row is paired with the other rows of its matchup; a
+    matchup of three rosters therefore gives each roster two rows.
     """
     if rule == "beats":
-        o = _opponents(raw).select("_o_league", "_o_week", "_o_matchup", "opp_roster_id",
-                                   "opp_points")
-        j = raw.join(o, _pair_condition(raw, o), "left")
+        j = with_opponents(raw, keep_unmatched=True)
         won = F.when(F.col("points") > F.coalesce(F.col("opp_points"), F.lit(0.0)), 1).otherwise(0)
         return j.select(*MATCHUP_COLUMNS, won.alias("won"))
     if rule == "rank":
@@ -130,13 +145,12 @@ def contests(m: DataFrame, weeks: tuple[int, int] | None = (1, 14), played_only:
     """Each scoreboard row next to each other row of its matchup.
 
     The week/played filter applies to the team's own row only; the opponent
-    side is unfiltered. ``how="left"`` keeps rows without an opponent
-    (``opp_points`` NULL).
+    side is unfiltered (the pairing is formed first, the filter applied
+    after). ``how="left"`` keeps rows without an opponent (``opp_points``
+    NULL).
     """
-    m1 = played(m, weeks, played_only)
-    o = _opponents(m)
-    j = m1.join(o, _pair_condition(m1, o), how)
-    return j.drop("_o_league", "_o_week", "_o_matchup")
+    pairs = with_opponents(m, keep_unmatched=(how == "left"))
+    return played(pairs, weeks, played_only)
 
 
 def opponent_names(weekly: DataFrame, rosters: DataFrame, users: DataFrame) -> DataFrame:

@@ -34,7 +34,13 @@ NAMELESS_POSITION = "DEF"  # catalog entries of this position carry no full_name
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """The driver table as a DataFrame; the relation (file listing and footer
+    schema) is resolved once per session and path and then reused."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    cache = spark.__dict__.setdefault("_huddle_relations", {})
+    if path not in cache:
+        cache[path] = spark.read.parquet(path)
+    return cache[path]
 
 
 def weekly(spark: SparkSession, sf_dir: str, coarse: bool = False) -> DataFrame:
