@@ -84,7 +84,9 @@ def volatility(m: DataFrame, weeks=(1, 14)) -> DataFrame:
     lo, hi = weeks
     nxt = Window.partitionBy(LEAGUE, "team_name").orderBy("week").rangeBetween(1, 1)
     next_points = F.collect_list(F.when(F.col("points") > 0, F.col("points"))).over(nxt)
-    rows = (m.select(LEAGUE, "team_name", "week", "points")
+    # An equi-join never matches a NULL name; the window must not pair them either.
+    rows = (m.filter(F.col("team_name").isNotNull())
+            .select(LEAGUE, "team_name", "week", "points")
             .withColumn("_next", next_points)
             .filter((F.col("week") >= lo) & (F.col("week") < hi) & (F.col("points") > 0)))
     pairs = rows.select(LEAGUE, "team_name", "points", F.explode("_next").alias("_p2"))
