@@ -1,10 +1,11 @@
 """Report runners, ad-hoc SQL and materialization of the scoreboard.
 
 The scoreboard feeds every report, so a full run writes it once as parquet
-under the cluster's shared checkpoint folder (partitioned by league) and
-reads it back: that cuts the lineage (a lost executor re-reads the written
-files instead of recomputing the event aggregation) and later scans get
-column pruning and pushed-down filters.
+under the cluster's shared checkpoint folder and reads it back: that cuts
+the lineage (a lost executor re-reads the written files instead of
+recomputing the event aggregation) and later scans get column pruning and
+pushed-down filters. Tables are not partitioned by league on disk: with
+millions of leagues that would mean millions of directories.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from huddle.session import scratch_path
 SCOREBOARD_VIEW = "matchups"
 
 
-def materialize(df: DataFrame, name: str, partition_by: str | None = "league_id") -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to a fresh folder under the shared checkpoint root and
     return the re-read table."""
     spark = df.sparkSession
@@ -81,3 +82,22 @@ def run_report(m: DataFrame, weeks=(1, 14), n: int = 10, per_league: bool = True
         "head_to_head": h2h.head_to_head(m, weeks),
         "luck": lk.luck(m, weeks),
     }
+
+
+def run_draft_report(picks: DataFrame, players: DataFrame, totals: DataFrame,
+                     draft_rosters: DataFrame, users: DataFrame, n: int = 10,
+                     per_league: bool = True) -> dict[str, DataFrame]:
+    """The six draft-value reports."""
+    from huddle.operators import draft as dr
+    return {
+        "late_round_steals": dr.late_round_steals(picks, players, totals, draft_rosters, users,
+                                                  n, per_league),
+        "bracket_averages": dr.bracket_averages(picks, players, totals),
+        "positional_performance": dr.positional_performance(picks, players, totals),
+        "worst_value_picks": dr.worst_value_picks(picks, players, totals, draft_rosters, users,
+                                                  n, per_league),
+        "biggest_busts": dr.biggest_busts(picks, players, totals, draft_rosters, users, n,
+                                          per_league),
+        "skill_steals": dr.skill_steals(picks, players, totals, draft_rosters, users, n,
+                                        per_league),
+    }

@@ -14,8 +14,8 @@ Layout under ``root`` (one small file per API response):
 Each payload is read whole (``wholetext``), parsed with an explicit schema
 and exploded with its list position (``ord``), which decides "first" and
 "last wins". Partition values come from the path. A file per response is
-small, so ``compact`` writes the parsed frames once as parquet partitioned by
-league and every report reads that.
+small, so ``compact`` writes the parsed frames once as parquet tables and
+every report reads those.
 
 Documented deviations from dictionary semantics: a missing ``points`` counts
 as 0 (as the default of the surveyed code) and so does an explicit null; a
@@ -161,8 +161,9 @@ def player_display_names(df: DataFrame, catalog: DataFrame, id_col: str = "playe
 
 
 def compact(spark: SparkSession, root: str, out: str) -> dict[str, str]:
-    """Parse every landed payload once and write parquet tables under ``out``
-    (partitioned by league where the data has one). Returns table -> path."""
+    """Parse every landed payload once and write parquet tables under ``out``.
+    Returns table -> path. (Not partitioned by league on disk: one directory
+    per league does not scale to millions of leagues.)"""
     out = out.rstrip("/")
     tables = {
         "weekly_season": weekly_season(spark, root),
@@ -175,7 +176,7 @@ def compact(spark: SparkSession, root: str, out: str) -> dict[str, str]:
     paths = {}
     for name, df in tables.items():
         path = f"{out}/{name}"
-        df.write.mode("overwrite").partitionBy("league_id").parquet(path)
+        df.write.mode("overwrite").parquet(path)
         paths[name] = path
     cat_path = f"{out}/players"
     players(spark, root).write.mode("overwrite").parquet(cat_path)

@@ -304,3 +304,16 @@ def test_round_ref_on_half_cent(spark):
     r = df.agg(round_ref(exact_avg("p")).alias("a"), F.round(F.avg("p"), 2).alias("b")).first()
     assert r["a"] == 1.0          # 1.005 held as a double just below the half cent
     assert r["b"] in (1.0, 1.01)  # Spark's round works on the decimal text instead
+
+
+# --- end to end -------------------------------------------------------------------
+
+def test_landing_pipeline_runs_every_report(spark, root, tmp_path):
+    from huddle.plans.pipeline import landing_pipeline
+    out = landing_pipeline(spark, root, str(tmp_path / "compacted"))
+    assert len(out) == 33
+    standings = rows(out["standings"])
+    assert ("Team_3", 4, 1, 42.0) in standings
+    assert rows(out["league"]) == [("Test League",)]
+    for name, df in out.items():
+        df.write.format("noop").mode("overwrite").save()
