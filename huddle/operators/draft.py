@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from huddle.functions.names import drafting_team_name, player_name, player_position
 from huddle.functions.numeric import as_exact
 from huddle.operators.common import LEAGUE, top_n
-from huddle.operators.scoreboard import roster_owners
+from huddle.operators.scoreboard import league_rosters, roster_lookup
 
 TEAMS_PER_ROUND = 10                  # round = (pick_no - 1) div 10 + 1
 EARLY_MAX, MID_MAX = 50, 100          # brackets: <= 50 early, 51..100 mid, > 100 late
@@ -56,11 +56,14 @@ def _enriched(picks: DataFrame, players: DataFrame, totals: DataFrame,
               draft_rosters: DataFrame, users: DataFrame) -> DataFrame:
     """Picks with catalog entry, season total, round and drafting team."""
     cat = players.select("player_id", "attrs", F.lit(True).alias("in_catalog"))
-    owners = roster_owners(draft_rosters, users)
     p = (picks
          .join(cat, "player_id", "left")
          .join(totals, [LEAGUE, "player_id"], "left")
-         .join(owners, [LEAGUE, "roster_id"], "left"))
+         .join(league_rosters(draft_rosters, users), LEAGUE, "left"))
+    owner = roster_lookup(F.col("rosters"), F.col("roster_id"))
+    p = p.select("*", owner["metadata"].alias("metadata"),
+                 owner["user_found"].alias("user_found"),
+                 owner.isNotNull().alias("roster_found"))
     return p.select(
         LEAGUE, "ord", "pick_no", "player_id", "roster_id",
         F.coalesce(F.col("in_catalog"), F.lit(False)).alias("in_catalog"),

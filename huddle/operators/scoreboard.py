@@ -36,6 +36,24 @@ def roster_owners(rosters: DataFrame, users: DataFrame) -> DataFrame:
                          F.lit(True).alias("roster_found"))
 
 
+def league_rosters(rosters: DataFrame, users: DataFrame) -> DataFrame:
+    """One row per league: ``rosters`` maps roster_id -> (metadata, user_found).
+
+    A league has a handful of rosters, so the map is small; joining it on
+    ``league_id`` alone keeps a league-partitioned input where it is (no
+    reshuffle of the team-weeks by (league, roster)).
+    """
+    owners = roster_owners(rosters, users).filter(F.col("roster_id").isNotNull())
+    entry = F.struct("roster_id", F.struct("metadata", "user_found").alias("owner"))
+    return owners.groupBy(LEAGUE).agg(F.map_from_entries(F.collect_list(entry)).alias("rosters"))
+
+
+def roster_lookup(rosters_map: Column, roster_id: Column) -> Column:
+    """The (metadata, user_found) entry of ``roster_id``; NULL when the roster
+    is unknown (or the id is NULL)."""
+    return F.when(roster_id.isNotNull(), F.try_element_at(rosters_map, roster_id))
+
+
 def player_scores(players: Column, players_points: Column) -> Column:
     """Positive scores of the listed players, in list order, as
     ``array<struct<id, score>>``. A listed player without a score counts 0;
@@ -65,21 +83,24 @@ def with_top_player(weekly: DataFrame) -> DataFrame:
 
 
 def matchups_raw(weekly: DataFrame, rosters: DataFrame, users: DataFrame) -> DataFrame:
-    """Team-week records with team names and top players (no win flag yet)."""
-    owners = roster_owners(rosters, users)
+    """Team-week records with team names and top players (no win flag yet).
+
+    Joined to the per-league roster map on ``league_id`` only: the result is
+    hash-partitioned by league, which every later window and aggregate (all
+    keyed by league plus more) reuses without another shuffle.
+    """
     w = with_top_player(weekly)
-    joined = w.join(owners, [LEAGUE, "roster_id"], "left")
+    joined = w.join(league_rosters(rosters, users), LEAGUE, "left")
+    owner = roster_lookup(F.col("rosters"), F.col("roster_id"))
     return joined.select(
         LEAGUE, "week", "roster_id",
-        matchup_team_name(F.col("metadata"), F.col("roster_id")).alias("team_name"),
+        matchup_team_name(owner["metadata"], F.col("roster_id")).alias("team_name"),
         "matchup_id", "points", "top_player_id", "top_player_score", "players_json")
 
 
 def _matchup_window() -> Window:
-    """Rows of one (league, week, matchup) group. A NULL matchup id pairs with
-    nothing, so those rows are split into groups of their own roster."""
-    lone = F.when(F.col("matchup_id").isNull(), F.col("roster_id"))
-    return Window.partitionBy(LEAGUE, "week", "matchup_id", lone)
+    """Rows of one (league, week, matchup) group."""
+    return Window.partitionBy(LEAGUE, "week", "matchup_id")
 
 
 def with_opponents(df: DataFrame, keep_unmatched: bool) -> DataFrame:
@@ -97,7 +118,10 @@ def with_opponents(df: DataFrame, keep_unmatched: bool) -> DataFrame:
     entry = F.struct(F.col("roster_id").alias("opp_roster_id"),
                      F.col("team_name").alias("opponent"),
                      F.col("points").alias("opp_points"))
-    group = F.collect_list(entry).over(_matchup_window())
+    # A NULL matchup id pairs with nothing: those rows contribute no entries,
+    # so their (possibly larger) group yields empty lists.
+    group = F.collect_list(F.when(F.col("matchup_id").isNotNull(), entry)).over(
+        _matchup_window())
     others = F.filter(F.col("_group"), lambda e: e["opp_roster_id"] != F.col("roster_id"))
     exploded = F.explode_outer(others) if keep_unmatched else F.explode(others)
     cols = df.columns
@@ -162,11 +186,12 @@ def opponent_names(weekly: DataFrame, rosters: DataFrame, users: DataFrame) -> D
     the first entry of the group, and the first entry whose roster differs from
     it, are enough to answer for every roster of the group.
     """
-    owners = roster_owners(rosters, users)
     named = weekly.select(LEAGUE, "week", "ord", "roster_id", "matchup_id").join(
-        owners, [LEAGUE, "roster_id"], "left").select(
+        league_rosters(rosters, users), LEAGUE, "left")
+    owner = roster_lookup(F.col("rosters"), F.col("roster_id"))
+    named = named.select(
         LEAGUE, "week", "ord", "roster_id", "matchup_id",
-        matchup_team_name(F.col("metadata"), F.col("roster_id")).alias("name"))
+        matchup_team_name(owner["metadata"], F.col("roster_id")).alias("name"))
     grp = Window.partitionBy(LEAGUE, "week", "matchup_id").orderBy("ord", "roster_id")
     whole = grp.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     entry = F.struct(F.col("roster_id").alias("r"), F.col("name").alias("n"))

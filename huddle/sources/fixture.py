@@ -61,7 +61,10 @@ def weekly(spark: SparkSession, sf_dir: str, coarse: bool = False) -> DataFrame:
     # of the events sends at most one row per (day, type) per map task.
     per_player = ev.groupBy("league_id", "week", "roster_id", "player_id").agg(
         F.sum("v").alias("s"))
-    tw = per_player.groupBy("league_id", "week", "roster_id").agg(
+    # From here on a league is the unit of work: hash-partition the (small)
+    # per-player sums by league once; the team-week aggregate and every later
+    # window and aggregate keyed by league reuse that partitioning.
+    tw = per_player.repartition("league_id").groupBy("league_id", "week", "roster_id").agg(
         F.sum("s").alias("total"),
         # at most one entry per distinct player of the team-week
         F.sort_array(F.collect_list(F.struct(
