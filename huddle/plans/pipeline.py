@@ -6,11 +6,14 @@ then run every report on them.
 
 Plan of a run:
   1. events -> team-weeks (partial aggregation before every shuffle) with
-     names and top players -> written once (``matchups_raw``);
+     names and top players -> written once, bucketed by league
+     (``matchups_raw``);
   2. the two scoreboards (``beats`` and ``rank`` rule) from that table ->
-     written once;
+     written once, bucketed by league (no shuffle: the input already is);
   3. player totals from the player-week scores -> written once;
-  4. every report reads the written tables (column-pruned parquet scans).
+  4. every report reads the written tables (column-pruned parquet scans);
+     the reports over the scoreboards run without any shuffle, since each
+     is keyed by league and the tables are bucketed by league.
 Written tables live under ``spark.checkpoint.dir`` (shared storage on a
 cluster), which also cuts the lineage: a lost executor re-reads files instead
 of recomputing the event aggregation.
@@ -33,7 +36,9 @@ def build_scoreboards(weekly_report: DataFrame, weekly_season: DataFrame | None,
                       write: bool = True) -> tuple[DataFrame, DataFrame]:
     """(beats scoreboard over the report weeks, rank scoreboard over the season
     weeks). With one weekly source for both, team-weeks are built once."""
-    keep = materialize if write else (lambda df, name: df)
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name, bucket_by="league_id") if write else df
+
     raw_report = keep(sb.matchups_raw(weekly_report, rosters, users), "matchups_raw")
     if weekly_season is None:
         raw_season = raw_report

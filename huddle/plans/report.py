@@ -10,6 +10,8 @@ millions of leagues that would mean millions of directories.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,16 +23,42 @@ from huddle.session import scratch_path
 SCOREBOARD_VIEW = "matchups"
 
 
-def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def _bucket_count(spark: SparkSession) -> int:
+    try:
+        return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    except (TypeError, ValueError):
+        return 200
+
+
+def materialize(df: DataFrame, name: str, bucket_by: str | None = None,
+                buckets: int | None = None) -> DataFrame:
     """Write ``df`` to a fresh folder under the shared checkpoint root and
-    return the re-read table."""
+    return the re-read table.
+
+    With ``bucket_by="league_id"`` the table is written bucketed by league and
+    registered as an external table over that folder: a reader then knows the
+    rows are hash-partitioned by league, so every later window or aggregate
+    keyed by league (plus more) runs without a shuffle. An input that is
+    already hash-partitioned by league into the same number of partitions
+    writes one file per bucket.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(partition_by)
-    w.parquet(path)
-    return spark.read.parquet(path)
+    if not bucket_by:
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+    n = buckets or _bucket_count(spark)
+    table = f"huddle_{name}_{uuid.uuid4().hex[:12]}"
+    df.write.format("parquet").bucketBy(n, bucket_by).option("path", path).saveAsTable(table)
+    spark.__dict__.setdefault("_huddle_tables", []).append(table)
+    return spark.table(table)
+
+
+def release(spark: SparkSession) -> None:
+    """Drop the catalog entries of tables written by ``materialize`` (the files
+    stay under the checkpoint folder, which the cluster cleans)."""
+    for table in spark.__dict__.pop("_huddle_tables", []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
 def adhoc(spark: SparkSession, sql: str, scoreboard: DataFrame | None = None) -> DataFrame | None:
