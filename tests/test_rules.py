@@ -317,3 +317,16 @@ def test_landing_pipeline_runs_every_report(spark, root, tmp_path):
     assert rows(out["league"]) == [("Test League",)]
     for name, df in out.items():
         df.write.format("noop").mode("overwrite").save()
+
+
+def test_display_order_and_positions(report):
+    from huddle.functions.display import margin_sign, ordered, record_text, with_position
+    st = lb.standings(report)
+    got = [tuple(r) for r in ordered(st, "standings").filter(F.col("league_id") == "L1")
+           .select("team_name", "wins").collect()]
+    assert got == [("Team_3", 4), ("Team_2", 3), ("Alpha", 3), (None, 1)]
+    pos = rows(with_position(st, "standings"), cols=["team_name", "pos_no"])
+    assert ("Team_3", 1) in pos and (None, 4) in pos
+    txt = st.select(record_text(F.col("wins"), F.col("losses")).alias("r"),
+                    margin_sign(F.col("avg_pts") - 50).alias("s"), "team_name", "league_id")
+    assert ("4-1", "", "Team_3") in rows(txt, cols=["r", "s", "team_name"])
