@@ -47,10 +47,13 @@ def _payloads(spark: SparkSession, root: str, pattern: str, partitions: str) ->
             .text(f"{root}/{pattern}"))
 
 
-def _elements(df: DataFrame, element, keep: list[str]) -> DataFrame:
-    """Explode a JSON array payload into one row per element with ``ord``."""
+def _elements(df: DataFrame, element, keep: list[str], outer: bool = False) -> DataFrame:
+    """Explode a JSON array payload into one row per element with ``ord``.
+
+    ``outer`` keeps one all-NULL row (``ord`` NULL) for an empty payload."""
     parsed = df.select(*keep, F.from_json("value", ArrayType(element)).alias("_arr"))
-    return parsed.select(*keep, F.posexplode("_arr").alias("ord", "_e")).select(
+    gen = F.posexplode_outer("_arr") if outer else F.posexplode("_arr")
+    return parsed.select(*keep, gen.alias("ord", "_e")).select(
         *keep, F.col("ord").cast("int").alias("ord"), "_e.*")
 
 
@@ -84,10 +87,14 @@ def _weekly_payloads(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return _payloads(spark, root, pattern, "league_id string, week int")
 
 
-def _weekly_rows(payloads: DataFrame) -> DataFrame:
-    el = _elements(payloads, S.MATCHUP_ELEMENT, ["league_id", "week"])
+def weekly_rows(payloads: DataFrame, extra: list[str] | None = None,
+                keep_empty: bool = False) -> DataFrame:
+    """Parse weekly payloads ``(league_id, week, value, *extra)`` into weekly
+    rows. ``keep_empty`` leaves one marker row (``ord`` NULL) per empty payload."""
+    extra = extra or []
+    el = _elements(payloads, S.MATCHUP_ELEMENT, ["league_id", "week", *extra], outer=keep_empty)
     return el.select(
-        "league_id", "week", "ord", "roster_id", "matchup_id",
+        "league_id", "week", *extra, "ord", "roster_id", "matchup_id",
         F.coalesce(F.col("points"), F.lit(0.0)).alias("points"),
         F.coalesce(F.col("players"), F.array().cast("array<string>")).alias("players"),
         F.coalesce(F.col("players_points"), F.create_map().cast("map<string,double>"))
@@ -95,6 +102,14 @@ def _weekly_rows(payloads: DataFrame) -> DataFrame:
     )
 
 
+def week_sizes(spark: SparkSession, root: str) -> DataFrame:
+    """(league_id, week, entries): the length of each weekly payload, empty
+    weeks included (the per-week status line of the fetch loop)."""
+    p = _weekly_payloads(spark, root, "league_id=*/week=*/matchups.json")
+    return p.select("league_id", "week",
+                    F.size(F.from_json("value", ArrayType(S.MATCHUP_ELEMENT))).alias("entries"))
+
+
 def merge_weeks(earlier: DataFrame, later: DataFrame) -> DataFrame:
     """Union of two week sources; a (league, week) present in ``later``
     replaces the one in ``earlier``."""
@@ -111,7 +126,7 @@ def weekly_season(spark: SparkSession, root: str, regular=REGULAR_WEEKS,
     p = _weekly_payloads(spark, root, "league_id=*/week=*/matchups.json")
     reg = p.filter(F.col("week").between(*regular))
     po = p.filter(F.col("week").between(*playoffs))
-    return _weekly_rows(reg.unionByName(po))
+    return weekly_rows(reg.unionByName(po))
 
 
 def weekly_report(spark: SparkSession, root: str, weeks=REPORT_WEEKS) -> DataFrame:
@@ -125,7 +140,7 @@ def weekly_report(spark: SparkSession, root: str, weeks=REPORT_WEEKS) -> DataFra
         F.min("week").alias("_stop"))
     kept = sized.join(first_empty, "league_id", "left").filter(
         F.col("_stop").isNull() | (F.col("week") < F.col("_stop")))
-    return _weekly_rows(kept.select("league_id", "week", "value"))
+    return weekly_rows(kept.select("league_id", "week", "value"))
 
 
 def drafts(spark: SparkSession, root: str) -> DataFrame:

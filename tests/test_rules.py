@@ -330,3 +330,8 @@ def test_display_order_and_positions(report):
     txt = st.select(record_text(F.col("wins"), F.col("losses")).alias("r"),
                     margin_sign(F.col("avg_pts") - 50).alias("s"), "team_name", "league_id")
     assert ("4-1", "", "Team_3") in rows(txt, cols=["r", "s", "team_name"])
+
+
+def test_week_sizes(spark, root):
+    sizes = dict(rows(landing.week_sizes(spark, root)))
+    assert sizes == {1: 4, 2: 4, 3: 4, 4: 4, 5: 3, 6: 4, 7: 0, 8: 1}
