@@ -6,37 +6,54 @@ Two things decide whether two engines print the same number:
   half away from zero. Spark's own ``round(x, n)`` rounds the shortest decimal
   text of ``x`` instead, which differs on values such as 1.005.
 * averages of 2-decimal scores: summing doubles depends on the order of the
-  additions, so an average lying on a half cent may round either way. Summing
-  the exact decimals and dividing once gives one answer everywhere.
+  additions, so an average lying on a half cent may round either way.
+
+Scores are therefore summed exactly as integer hundredths (``units``: the
+nearest integer of ``x * 100``, exact for scores with at most two decimals)
+in 64-bit integer arithmetic, and turned into a double once: an exact integer
+divided by 100 is the correctly rounded value, the same number a decimal sum
+cast to double gives, independent of order and parallelism. Integer sums
+stay in primitive, code-generated arithmetic (a ``decimal(28,2)`` sum buffer
+allocates an object per addition), which matters in the raw-event aggregation.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
 
-# Scores carry two decimals; 18 digits hold any realistic season total.
+# Scores carry two decimals.
 SCORE_SCALE = 2
-SCORE_PRECISION = 18
+
+
+def _c(col: Column | str) -> Column:
+    return F.col(col) if isinstance(col, str) else col
 
 
 def round_ref(col: Column | str, n: int = 2) -> Column:
     """Round a double to ``n`` decimals as ``round(x * 10^n) / 10^n``."""
-    c = F.col(col) if isinstance(col, str) else col
     f = float(10 ** n)
-    return F.round(c * F.lit(f)) / F.lit(f)
+    return F.round(_c(col) * F.lit(f)) / F.lit(f)
+
 
+def units(col: Column | str, scale: int = SCORE_SCALE) -> Column:
+    """A score as an exact count of ``10^-scale`` units (bigint)."""
+    return F.floor(_c(col) * F.lit(float(10 ** scale)) + F.lit(0.5))
 
-def as_exact(col: Column | str, scale: int = SCORE_SCALE) -> Column:
-    """A score as an exact decimal with ``scale`` places."""
-    c = F.col(col) if isinstance(col, str) else col
-    return c.cast(DecimalType(SCORE_PRECISION, scale))
+
+def from_units(col: Column | str, scale: int = SCORE_SCALE) -> Column:
+    """Exact units back to a (correctly rounded) double."""
+    return _c(col).cast("double") / F.lit(float(10 ** scale))
 
 
 def exact_sum(col: Column | str, scale: int = SCORE_SCALE) -> Column:
-    """Sum of scores in exact decimal arithmetic, returned as double."""
-    return F.sum(as_exact(col, scale)).cast("double")
+    """Sum of scores in exact integer arithmetic, returned as double."""
+    return from_units(F.sum(units(col, scale)), scale)
+
+
+def avg_units(total_units: Column, n: Column, scale: int = SCORE_SCALE) -> Column:
+    """Average from an exact unit total and a count (NULL when n is 0)."""
+    return F.when(n > 0, from_units(total_units, scale) / n)
 
 
 def exact_avg(col: Column | str, scale: int | None = SCORE_SCALE) -> Column:
@@ -44,13 +61,12 @@ def exact_avg(col: Column | str, scale: int | None = SCORE_SCALE) -> Column:
 
     With ``scale=None`` this is the plain double ``avg``.
     """
-    c = F.col(col) if isinstance(col, str) else col
+    c = _c(col)
     if scale is None:
         return F.avg(c)
-    n = F.count(c)
-    return F.when(n > 0, F.sum(as_exact(c, scale)).cast("double") / n)
+    return avg_units(F.sum(units(c, scale)), F.count(c), scale)
 
 
 def exact_diff(a: Column, b: Column, scale: int = SCORE_SCALE) -> Column:
-    """``a - b`` computed on exact decimals (for margins that are averaged)."""
-    return as_exact(a, scale) - as_exact(b, scale)
+    """``a - b`` in exact units (for margins that are averaged)."""
+    return units(a, scale) - units(b, scale)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from huddle.functions.names import drafting_team_name, player_name, player_position
-from huddle.functions.numeric import as_exact
+from huddle.functions.numeric import avg_units, from_units, units
 from huddle.operators.common import LEAGUE, top_n
 from huddle.operators.scoreboard import league_rosters, roster_lookup
 
@@ -33,10 +33,11 @@ PICK_REPORT_COLUMNS = [LEAGUE, "pick_no", "round", "player_name", "pos", "total_
 
 def player_totals(player_points: DataFrame) -> DataFrame:
     """Season total per (league, player) over positive player-week scores,
-    summed exactly. Map-side partial sums run before the shuffle."""
+    summed exactly as integer hundredths (``total_units``). Map-side partial
+    sums run before the shuffle."""
     return (player_points.filter(F.col("points") > 0)
             .groupBy(LEAGUE, "player_id")
-            .agg(F.sum(as_exact("points")).alias("total_exact")))
+            .agg(F.sum(units("points")).alias("total_units")))
 
 
 def player_points_from_weekly(weekly: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def _enriched(picks: DataFrame, players: DataFrame, totals: DataFrame,
         player_name(F.col("attrs"), F.col("player_id")).alias("player_name"),
         player_position(F.col("attrs")).alias("pos"),
         F.try_element_at(F.col("attrs"), F.lit("position")).alias("position"),
-        F.coalesce(F.col("total_exact"), F.lit(0).cast("decimal(28,2)")).alias("total_exact"),
+        F.coalesce(F.col("total_units"), F.lit(0).cast("bigint")).alias("total_units"),
         F.expr(f"(pick_no - 1) div {TEAMS_PER_ROUND} + 1").cast("int").alias("round"),
         drafting_team_name(F.col("roster_id"), F.col("roster_found"), F.col("user_found"),
                            F.col("metadata")).alias("team_name"),
@@ -82,9 +83,9 @@ def _steals(e: DataFrame, n: int, per_league: bool, skill_only: bool) -> DataFra
     if skill_only:
         rows = rows.filter(F.col("in_catalog") & ~F.coalesce(
             F.col("pos").isin(NON_SKILL_POSITIONS), F.lit(False)))
-    rows = rows.filter(F.col("total_exact") > 0).withColumn(
-        "total_points", F.col("total_exact").cast("double"))
-    order = [F.col("total_exact").desc(), F.col("ord").asc()]
+    rows = rows.filter(F.col("total_units") > 0).withColumn(
+        "total_points", from_units("total_units"))
+    order = [F.col("total_units").desc(), F.col("ord").asc()]
     return top_n(rows, order, n, per_league).select(*PICK_REPORT_COLUMNS)
 
 
@@ -111,7 +112,7 @@ def bracket_averages(picks, players, totals) -> DataFrame:
          .join(cat, "player_id", "inner")
          .filter(F.col("position").isin(BRACKET_POSITIONS))
          .join(totals, [LEAGUE, "player_id"], "left")
-         .withColumn("t", F.coalesce(F.col("total_exact"), F.lit(0).cast("decimal(28,2)"))))
+         .withColumn("t", F.coalesce(F.col("total_units"), F.lit(0).cast("bigint"))))
     has = _pick_no_set(F.col("pick_no"))
     brackets = {
         "early": has & (F.col("pick_no") <= EARLY_MAX),
@@ -121,8 +122,8 @@ def bracket_averages(picks, players, totals) -> DataFrame:
     aggs = []
     for name, cond in brackets.items():
         cnt = F.count(F.when(cond, F.lit(1)))
-        total = F.sum(F.when(cond, F.col("t"))).cast("double")
-        aggs.append(F.coalesce(F.when(cnt > 0, total / cnt), F.lit(0.0)).alias(f"{name}_avg"))
+        total = F.sum(F.when(cond, F.col("t")))
+        aggs.append(F.coalesce(avg_units(total, cnt), F.lit(0.0)).alias(f"{name}_avg"))
         aggs.append(cnt.alias(f"{name}_n"))
     return p.groupBy(LEAGUE, "position").agg(*aggs)
 
@@ -133,10 +134,10 @@ def positional_performance(picks, players, totals) -> DataFrame:
     p = (picks.filter(_player_id_set(F.col("player_id")))
          .join(cat, "player_id", "inner")
          .join(totals, [LEAGUE, "player_id"], "left")
-         .withColumn("t", F.coalesce(F.col("total_exact"), F.lit(0).cast("decimal(28,2)"))))
+         .withColumn("t", F.coalesce(F.col("total_units"), F.lit(0).cast("bigint"))))
     n = F.count(F.lit(1))
     return p.groupBy(LEAGUE, "position").agg(
-        n.alias("count"), (F.sum("t").cast("double") / n).alias("avg_pts"))
+        n.alias("count"), avg_units(F.sum("t"), n).alias("avg_pts"))
 
 
 def worst_value_picks(picks, players, totals, draft_rosters, users, n: int = 10,
@@ -149,8 +150,8 @@ def worst_value_picks(picks, players, totals, draft_rosters, users, n: int = 10,
     e = e.withColumn("bracket", F.when(F.col("pick_no") <= EARLY_MAX, F.lit("early"))
                      .otherwise(F.lit("mid")))
     g = Window.partitionBy(LEAGUE, "pos", "bracket")
-    expected = F.sum("total_exact").over(g).cast("double") / F.count(F.lit(1)).over(g)
-    rows = (e.withColumn("actual", F.col("total_exact").cast("double"))
+    expected = from_units(F.sum("total_units").over(g)) / F.count(F.lit(1)).over(g)
+    rows = (e.withColumn("actual", from_units("total_units"))
             .withColumn("expected", expected)
             .withColumn("miss", F.col("expected") - F.col("actual"))
             .filter(F.col("miss") > min_miss))
@@ -166,6 +167,6 @@ def biggest_busts(picks, players, totals, draft_rosters, users, n: int = 10,
     e = _enriched(picks, players, totals, draft_rosters, users).filter(
         _pick_no_set(F.col("pick_no")) & (F.col("pick_no") <= MID_MAX)
         & _player_id_set(F.col("player_id")) & F.col("in_catalog"))
-    rows = e.withColumn("total_points", F.col("total_exact").cast("double"))
-    order = [F.col("total_exact").asc(), F.col("ord").asc()]
+    rows = e.withColumn("total_points", from_units("total_units"))
+    order = [F.col("total_units").asc(), F.col("ord").asc()]
     return top_n(rows, order, n, per_league).select(*PICK_REPORT_COLUMNS)

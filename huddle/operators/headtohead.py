@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from huddle.functions.numeric import as_exact, exact_avg, round_ref
+from huddle.functions.numeric import avg_units, exact_avg, exact_diff, round_ref
 from huddle.operators.common import LEAGUE, top_n
 from huddle.operators.scoreboard import contests
 
@@ -39,9 +39,8 @@ def losses_vs_high_opp(m: DataFrame, weeks=(1, 14), played_only=True) -> DataFra
 def avg_margin(m: DataFrame, weeks=(1, 14), played_only=True) -> DataFrame:
     """Average of own points minus opponent points (no opponent -> 0)."""
     c = contests(m, weeks, played_only, how="left")
-    margin = as_exact("points") - as_exact(F.coalesce(F.col("opp_points"), F.lit(0.0)))
-    n = F.count(F.lit(1))
-    avg = F.when(n > 0, F.sum(margin).cast("double") / n)
+    margin = exact_diff(F.col("points"), F.coalesce(F.col("opp_points"), F.lit(0.0)))
+    avg = avg_units(F.sum(margin), F.count(F.lit(1)))
     return c.groupBy(LEAGUE, "team_name").agg(round_ref(avg).alias("avg_margin"))
 
 

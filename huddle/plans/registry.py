@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from huddle.functions.numeric import from_units
 from huddle.operators import draft as dr
 from huddle.operators import headtohead as h2h
 from huddle.operators import leaderboards as lb
@@ -62,8 +63,7 @@ def _draft_cat(fn):
 
 def _b03(spark, d):
     t = dr.player_totals(fx.player_points(spark, d))
-    return t.select("league_id", "player_id", F.col("total_exact").cast("double").alias(
-        "total_points"))
+    return t.select("league_id", "player_id", from_units("total_units").alias("total_points"))
 
 
 def _b04(spark, d):

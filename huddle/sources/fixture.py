@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from huddle.functions.numeric import as_exact
+from huddle.functions.numeric import from_units, units
 
 TEAMS_PER_LEAGUE = 10      # league_id = user_id div 10
 PICKS_PER_LEAGUE = 200     # draft league_id = p_partkey div 200
@@ -46,7 +46,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def weekly(spark: SparkSession, sf_dir: str, coarse: bool = False) -> DataFrame:
     """Team-week records: one row per (league, week, roster) with events.
 
-    ``players_points`` sums each event type's values exactly; ``players`` lists
+    ``players_points`` sums each event type's values exactly (integer
+    hundredths); ``players`` lists
     the types alphabetically. ``coarse`` floors points to hundreds, which gives
     many ties and zero weeks.
     """
@@ -55,7 +56,7 @@ def weekly(spark: SparkSession, sf_dir: str, coarse: bool = False) -> DataFrame:
         F.dayofyear("ts").alias("week"),
         (F.col("user_id") % TEAMS_PER_LEAGUE).cast("int").alias("roster_id"),
         F.col("event_type").alias("player_id"),
-        as_exact("value").alias("v"),
+        units("value").alias("v"),
     )
     # Partial aggregation runs before the shuffle, so a user with a huge share
     # of the events sends at most one row per (day, type) per map task.
@@ -68,10 +69,10 @@ def weekly(spark: SparkSession, sf_dir: str, coarse: bool = False) -> DataFrame:
         F.sum("s").alias("total"),
         # at most one entry per distinct player of the team-week
         F.sort_array(F.collect_list(F.struct(
-            F.col("player_id").alias("key"), F.col("s").cast("double").alias("value")))
+            F.col("player_id").alias("key"), from_units(F.col("s")).alias("value")))
         ).alias("entries"),
     )
-    points = F.col("total").cast("double")
+    points = from_units(F.col("total"))
     if coarse:
         points = (F.floor(points / F.lit(100.0)) * F.lit(100)).cast("double")
     r, w = F.col("roster_id"), F.col("week")
