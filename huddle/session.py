@@ -7,7 +7,6 @@ names. Only when that is unset (local tests) do we pick a directory ourselves.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -47,28 +46,38 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def _configured_dir(spark: SparkSession) -> str | None:
+    return (spark.conf.get("spark.checkpoint.dir", None)
+            or spark.sparkContext.getConf().get("spark.checkpoint.dir", None))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
+    """Return the shared checkpoint folder.
+
+    Read from the session (``spark.checkpoint.dir``); only on a ``local``
+    master without one (tests) do we create a folder ourselves. On a cluster
+    without the setting this fails rather than writing to a machine-local
+    folder.
+    """
     sc = spark.sparkContext
+    configured = _configured_dir(spark)
+    if configured:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(configured)
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="huddle-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    if not _is_local(spark):
+        raise ValueError("set spark.checkpoint.dir to a shared folder: written "
+                         "intermediate tables must survive the loss of an executor")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="huddle-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for written intermediate tables (never a local temp dir
-    on a cluster)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None)
-    if not root:
-        root = ensure_checkpoint_dir(spark)
-    return root.rstrip("/")
+    """Shared folder for written intermediate tables."""
+    return ensure_checkpoint_dir(spark).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -76,5 +85,5 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/huddle/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local") or os.environ.get("HUDDLE_LOCAL") == "1"
+def _is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local")

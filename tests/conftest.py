@@ -22,9 +22,8 @@ def spark():
     s = builder.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     # Tests set their own checkpoint folder only when the session has none.
-    if not s.conf.get("spark.checkpoint.dir", None):
-        d = tempfile.mkdtemp(prefix="huddle-test-ckpt-")
-        s.conf.set("spark.checkpoint.dir", d)
-        s.sparkContext.setCheckpointDir(d)
+    if not (s.sparkContext.getConf().get("spark.checkpoint.dir", None)
+            or s.sparkContext.getCheckpointDir()):
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="huddle-test-ckpt-"))
     yield s
     s.stop()
