@@ -25,7 +25,7 @@ failing the run.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -131,16 +131,20 @@ def weekly_season(spark: SparkSession, root: str, regular=REGULAR_WEEKS,
 
 def weekly_report(spark: SparkSession, root: str, weeks=REPORT_WEEKS) -> DataFrame:
     """Weekly report: weeks 1-21 of each league up to (not including) its
-    first week whose payload is an empty list."""
+    first week whose payload is an empty list (or not a list at all).
+
+    One scan and one parse: an empty payload leaves a marker row, and the
+    first marker week per league comes from a window over the league, which
+    also hash-partitions the rows by league for everything downstream.
+    """
     p = _weekly_payloads(spark, root, "league_id=*/week=*/matchups.json").filter(
         F.col("week").between(*weeks))
-    sized = p.select("league_id", "week", "value",
-                     F.size(F.from_json("value", ArrayType(S.MATCHUP_ELEMENT))).alias("_n"))
-    first_empty = sized.filter(F.col("_n") == 0).groupBy("league_id").agg(
-        F.min("week").alias("_stop"))
-    kept = sized.join(first_empty, "league_id", "left").filter(
-        F.col("_stop").isNull() | (F.col("week") < F.col("_stop")))
-    return weekly_rows(kept.select("league_id", "week", "value"))
+    rows = weekly_rows(p, keep_empty=True)
+    stop = F.min(F.when(F.col("ord").isNull(), F.col("week"))).over(
+        Window.partitionBy("league_id"))
+    kept = rows.withColumn("_stop", stop).filter(
+        F.col("ord").isNotNull() & (F.col("_stop").isNull() | (F.col("week") < F.col("_stop"))))
+    return kept.drop("_stop")
 
 
 def drafts(spark: SparkSession, root: str) -> DataFrame:
