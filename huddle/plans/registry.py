@@ -29,17 +29,32 @@ ADHOC_SQL = (
 )
 
 
+def _plans(spark: SparkSession) -> dict:
+    """Per-session store of built (lazy, data-free) DataFrames. Reusing a plan
+    object only saves rebuilding it on the driver; every query still reads
+    and computes from the raw tables when it runs (nothing is cached)."""
+    return spark.__dict__.setdefault("_huddle_plans", {})
+
+
 def scoreboard(spark: SparkSession, sf_dir: str, rule: str = "beats",
                coarse: bool = False) -> DataFrame:
-    raw = sb.matchups_raw(fx.weekly(spark, sf_dir, coarse), fx.rosters(spark, sf_dir),
-                          fx.users(spark, sf_dir))
-    return sb.matchups(raw, rule)
+    key = ("scoreboard", sf_dir, rule, coarse)
+    plans = _plans(spark)
+    if key not in plans:
+        raw = sb.matchups_raw(fx.weekly(spark, sf_dir, coarse), fx.rosters(spark, sf_dir),
+                              fx.users(spark, sf_dir))
+        plans[key] = sb.matchups(raw, rule)
+    return plans[key]
 
 
 def _draft_inputs(spark: SparkSession, sf_dir: str):
-    totals = dr.player_totals(fx.player_points(spark, sf_dir))
-    return (fx.picks(spark, sf_dir), fx.players(spark, sf_dir), totals,
-            fx.draft_rosters(spark, sf_dir), fx.users(spark, sf_dir))
+    key = ("draft", sf_dir)
+    plans = _plans(spark)
+    if key not in plans:
+        totals = dr.player_totals(fx.player_points(spark, sf_dir))
+        plans[key] = (fx.picks(spark, sf_dir), fx.players(spark, sf_dir), totals,
+                      fx.draft_rosters(spark, sf_dir), fx.users(spark, sf_dir))
+    return plans[key]
 
 
 def _season(fn, coarse: bool = False):
