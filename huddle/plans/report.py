@@ -13,7 +13,8 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from huddle.operators import headtohead as h2h
 from huddle.operators import leaderboards as lb
@@ -44,6 +45,10 @@ def materialize(df: DataFrame, name: str, bucket_by: str | None = None,
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    # Row count of the written table, gathered while writing (no extra job).
+    obs = Observation(f"{name}_rows")
+    df = df.observe(obs, F.count(F.lit(1)).alias("rows"))
+    spark.__dict__.setdefault("_huddle_row_counts", {})[name] = obs
     if not bucket_by:
         df.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
@@ -54,6 +59,12 @@ def materialize(df: DataFrame, name: str, bucket_by: str | None = None,
     return spark.table(table)
 
 
+def row_counts(spark: SparkSession) -> dict[str, int]:
+    """Rows written per table by ``materialize`` in this session."""
+    return {name: obs.get["rows"] for name, obs in
+            spark.__dict__.get("_huddle_row_counts", {}).items()}
+
+
 def release(spark: SparkSession) -> None:
     """Drop the catalog entries of tables written by ``materialize`` (the files
     stay under the checkpoint folder, which the cluster cleans)."""

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as se
 from huddle.plans.pipeline import build_scoreboards
-from huddle.plans.report import adhoc, release, run_report, run_season_stats
+from huddle.plans.report import adhoc, release, row_counts, run_report, run_season_stats
 from huddle.sources import fixture as fx
 
 SF_DIR = os.environ.get("HUDDLE_TEST_SF", "/root/testdata/sf0.001")
@@ -68,3 +68,10 @@ def test_adhoc_sql(spark):
     assert ok is not None and ok.count() > 0
     assert adhoc(spark, "SELECT no_such_column FROM matchups", m) is None
     assert adhoc(spark, "SELEKT nothing", m) is None
+
+
+def test_written_row_counts(spark, written):
+    beats, _ = written
+    counts = row_counts(spark)
+    assert counts["scoreboard_beats"] == beats.count()
+    assert counts["matchups_raw"] > 0
