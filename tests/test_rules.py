@@ -335,3 +335,9 @@ def test_display_order_and_positions(report):
 def test_week_sizes(spark, root):
     sizes = dict(rows(landing.week_sizes(spark, root)))
     assert sizes == {1: 4, 2: 4, 3: 4, 4: 4, 5: 3, 6: 4, 7: 0, 8: 1}
+
+
+def test_global_top_n(season):
+    got = [tuple(r) for r in lb.top_scores_all(season, n=5, per_league=False)
+           .orderBy("rank").select("rank", "points").collect()]
+    assert got == [(1, 100.0), (2, 100.0), (3, 100.0), (4, 100.0), (5, 90.0)]  # L1 and L2 tie
