@@ -18,57 +18,53 @@ LEAGUE = "league_id"
 BRACKET_ORDER = ["QB", "RB", "WR", "TE", "K", "DEF"]
 
 
-def _d(c: str) -> Column:
-    return F.col(c).desc_nulls_last()
-
-
-def _a(c: str) -> Column:
-    return F.col(c).asc_nulls_last()
-
-
-def _bracket_index() -> Column:
-    idx = F.array_position(F.array(*[F.lit(p) for p in BRACKET_ORDER]), F.col("position"))
-    return idx.asc()
-
-
-# report -> sort keys after league_id (the surveyed ORDER BY plus a tie-break)
-ORDERS: dict[str, list] = {
-    "most_high_weeks_list": [_d("count_of_highest_scores"), _a("team_name")],
-    "top_scores_all": [_a("rank")],
-    "most_low_weeks_list": [_d("count_of_lowest_scores"), _a("team_name")],
-    "low_scores_all": [_a("rank")],
-    "own_low_wins": [_d("wins_with_lowest_score"), _a("team_name")],
-    "own_high_losses": [_d("losses_with_highest_score"), _a("team_name")],
-    "win_points_profile": [_d("avg_points_in_win"), _a("team_name")],
-    "loss_points_profile": [_d("avg_points_in_loss"), _a("team_name")],
-    "standings": [_d("wins"), _d("avg_pts"), _a("team_name")],
-    "top_scores": [_a("rank")],
-    "low_scores": [_a("rank")],
-    "consistency": [_a("std_dev"), _a("team_name")],
-    "high_week_counts": [_d("times_highest"), _a("team_name")],
-    "low_week_counts": [_d("times_lowest"), _a("team_name")],
-    "wins_vs_low_opp": [_d("wins_vs_low_opp"), _a("team_name")],
-    "losses_vs_high_opp": [_d("losses_vs_high_opp"), _a("team_name")],
-    "avg_points_in_wins": [_d("avg_pts_in_win"), _a("team_name")],
-    "avg_points_in_losses": [_d("avg_pts_in_loss"), _a("team_name")],
-    "avg_margin": [_d("avg_margin"), _a("team_name")],
-    "dominant_wins": [_d("margin"), _a("week"), _a("team_name")],
-    "closest_matchups": [_a("margin"), _a("week"), _a("team_name")],
-    "volatility": [_d("biggest_swing"), _a("team_name")],
-    "head_to_head": [_a("team_name"), _d("wins"), _a("opponent")],
-    "luck": [_d("luck"), _a("team_name")],
-    "late_round_steals": [_d("total_points"), _a("pick_no")],
-    "skill_steals": [_d("total_points"), _a("pick_no")],
-    "worst_value_picks": [_d("miss"), _a("pick_no")],
-    "biggest_busts": [_a("total_points"), _a("pick_no")],
-    "positional_performance": [_a("position")],
+# report -> sort keys after league_id (the surveyed ORDER BY plus a tie-break);
+# "-" marks descending.
+ORDERS: dict[str, list[str]] = {
+    "most_high_weeks_list": ["-count_of_highest_scores", "team_name"],
+    "top_scores_all": ["rank"],
+    "most_low_weeks_list": ["-count_of_lowest_scores", "team_name"],
+    "low_scores_all": ["rank"],
+    "own_low_wins": ["-wins_with_lowest_score", "team_name"],
+    "own_high_losses": ["-losses_with_highest_score", "team_name"],
+    "win_points_profile": ["-avg_points_in_win", "team_name"],
+    "loss_points_profile": ["-avg_points_in_loss", "team_name"],
+    "standings": ["-wins", "-avg_pts", "team_name"],
+    "top_scores": ["rank"],
+    "low_scores": ["rank"],
+    "consistency": ["std_dev", "team_name"],
+    "high_week_counts": ["-times_highest", "team_name"],
+    "low_week_counts": ["-times_lowest", "team_name"],
+    "wins_vs_low_opp": ["-wins_vs_low_opp", "team_name"],
+    "losses_vs_high_opp": ["-losses_vs_high_opp", "team_name"],
+    "avg_points_in_wins": ["-avg_pts_in_win", "team_name"],
+    "avg_points_in_losses": ["-avg_pts_in_loss", "team_name"],
+    "avg_margin": ["-avg_margin", "team_name"],
+    "dominant_wins": ["-margin", "week", "team_name"],
+    "closest_matchups": ["margin", "week", "team_name"],
+    "volatility": ["-biggest_swing", "team_name"],
+    "head_to_head": ["team_name", "-wins", "opponent"],
+    "luck": ["-luck", "team_name"],
+    "late_round_steals": ["-total_points", "pick_no"],
+    "skill_steals": ["-total_points", "pick_no"],
+    "worst_value_picks": ["-miss", "pick_no"],
+    "biggest_busts": ["total_points", "pick_no"],
+    "positional_performance": ["position"],
+    "bracket_averages": ["@bracket"],
 }
 
 
-def _keys(name: str) -> list:
-    if name == "bracket_averages":
-        return [_bracket_index()]
-    return ORDERS[name]
+def _key(spec: str) -> Column:
+    if spec == "@bracket":
+        return F.array_position(F.array(*[F.lit(p) for p in BRACKET_ORDER]),
+                                F.col("position")).asc()
+    if spec.startswith("-"):
+        return F.col(spec[1:]).desc_nulls_last()
+    return F.col(spec).asc_nulls_last()
+
+
+def _keys(name: str) -> list[Column]:
+    return [_key(k) for k in ORDERS[name]]
 
 
 def ordered(df: DataFrame, name: str) -> DataFrame:

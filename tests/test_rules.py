@@ -341,3 +341,13 @@ def test_global_top_n(season):
     got = [tuple(r) for r in lb.top_scores_all(season, n=5, per_league=False)
            .orderBy("rank").select("rank", "points").collect()]
     assert got == [(1, 100.0), (2, 100.0), (3, 100.0), (4, 100.0), (5, 90.0)]  # L1 and L2 tie
+
+
+def test_command_line(root, tmp_path, capsys):
+    from huddle.__main__ import main
+    out = str(tmp_path / "cli")
+    assert main(["report", "--landing", root, "--out", out, "--show", "standings"]) == 0
+    assert os.path.isdir(os.path.join(out, "reports", "standings"))
+    assert main(["sql", "--landing", root, "--out", out,
+                 "SELECT league_id, COUNT(*) AS n FROM matchups GROUP BY league_id"]) == 0
+    assert "L1" in capsys.readouterr().out
