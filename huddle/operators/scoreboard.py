@@ -25,33 +25,39 @@ MATCHUP_COLUMNS = [LEAGUE, "week", "roster_id", "team_name", "matchup_id", "poin
                    "top_player_id", "top_player_score", "players_json"]
 
 
-def roster_owners(rosters: DataFrame, users: DataFrame) -> DataFrame:
-    """(league_id, roster_id) -> owner's metadata; ``user_found`` marks rosters
-    whose owner is a known user."""
-    u = users.select(F.col(LEAGUE).alias("_u_league"), F.col("user_id").alias("_u_id"),
-                     "metadata", F.lit(True).alias("user_found"))
-    r = rosters.select(LEAGUE, "roster_id", "owner_id")
-    joined = r.join(u, (r[LEAGUE] == u["_u_league"]) & (r["owner_id"] == u["_u_id"]), "left")
-    return joined.select(LEAGUE, "roster_id", "metadata", "user_found",
-                         F.lit(True).alias("roster_found"))
-
-
 def league_rosters(rosters: DataFrame, users: DataFrame) -> DataFrame:
-    """One row per league: ``rosters`` maps roster_id -> (metadata, user_found).
-
-    A league has a handful of rosters, so the map is small; joining it on
-    ``league_id`` alone keeps a league-partitioned input where it is (no
-    reshuffle of the team-weeks by (league, roster)).
+    """One row per league: ``rosters`` lists (roster_id, metadata, user_found)
+    for each roster of the league, the owner looked up among the league's users.
+
+    Rosters and users go through one shuffle by league together (a union and
+    one aggregation) instead of a join: both are small per league, so the
+    roster -> owner -> user chain is resolved inside the league's lists.
+    Joining this on ``league_id`` alone keeps a league-partitioned input where
+    it is.
     """
-    owners = roster_owners(rosters, users).filter(F.col("roster_id").isNotNull())
-    entry = F.struct("roster_id", F.struct("metadata", "user_found").alias("owner"))
-    return owners.groupBy(LEAGUE).agg(F.map_from_entries(F.collect_list(entry)).alias("rosters"))
-
-
-def roster_lookup(rosters_map: Column, roster_id: Column) -> Column:
-    """The (metadata, user_found) entry of ``roster_id``; NULL when the roster
-    is unknown (or the id is NULL)."""
-    return F.when(roster_id.isNotNull(), F.try_element_at(rosters_map, roster_id))
+    r_type = "struct<roster_id:int,owner_id:string>"
+    u_type = "struct<user_id:string,metadata:map<string,string>>"
+    r = rosters.filter(F.col("roster_id").isNotNull()).select(
+        LEAGUE, F.struct("roster_id", "owner_id").cast(r_type).alias("r"),
+        F.lit(None).cast(u_type).alias("u"))
+    u = users.filter(F.col("user_id").isNotNull()).select(
+        LEAGUE, F.lit(None).cast(r_type).alias("r"),
+        F.struct("user_id", "metadata").cast(u_type).alias("u"))
+    g = r.unionByName(u).groupBy(LEAGUE).agg(
+        F.collect_list("r").alias("_rs"), F.collect_list("u").alias("_us"))
+
+    def resolve(x):
+        owner = F.try_element_at(F.filter("_us", lambda v: v["user_id"] == x["owner_id"]), F.lit(1))
+        return F.struct(x["roster_id"].alias("roster_id"), owner["metadata"].alias("metadata"),
+                        owner.isNotNull().alias("user_found"))
+
+    return g.select(LEAGUE, F.transform("_rs", resolve).alias("rosters"))
+
+
+def roster_lookup(rosters: Column, roster_id: Column) -> Column:
+    """The (roster_id, metadata, user_found) entry of ``roster_id`` in its
+    league's list; NULL when the roster is unknown (or the id is NULL)."""
+    return F.try_element_at(F.filter(rosters, lambda e: e["roster_id"] == roster_id), F.lit(1))
 
 
 def player_scores(players: Column, players_points: Column) -> Column:
