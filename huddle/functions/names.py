@@ -29,8 +29,13 @@ def map_get_or(m: Column, key: str, default: Column) -> Column:
                   F.try_element_at(m, F.lit(key))).otherwise(default)
 
 
+def _text(c: Column) -> Column:
+    """A value as Python formats it in an f-string (``None`` for NULL)."""
+    return F.coalesce(c.cast("string"), F.lit("None"))
+
+
 def team_label(roster_id: Column) -> Column:
-    return F.concat(F.lit(TEAM_PREFIX), roster_id.cast("string"))
+    return F.concat(F.lit(TEAM_PREFIX), _text(roster_id))
 
 
 def matchup_team_name(metadata: Column, roster_id: Column) -> Column:
@@ -50,7 +55,7 @@ def drafting_team_name(roster_id: Column, roster_found: Column, user_found: Colu
 
 
 def player_name(attrs: Column, player_id: Column) -> Column:
-    return map_get_or(attrs, FULL_NAME_KEY, F.concat(F.lit(PLAYER_PREFIX), player_id))
+    return map_get_or(attrs, FULL_NAME_KEY, F.concat(F.lit(PLAYER_PREFIX), _text(player_id)))
 
 
 def player_position(attrs: Column) -> Column:

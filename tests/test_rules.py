@@ -351,3 +351,28 @@ def test_command_line(root, tmp_path, capsys):
     assert main(["sql", "--landing", root, "--out", out,
                  "SELECT league_id, COUNT(*) AS n FROM matchups GROUP BY league_id"]) == 0
     assert "L1" in capsys.readouterr().out
+
+
+def test_payload_quirks_do_not_fail(spark, tmp_path):
+    base = tmp_path / "quirks"
+    lg = base / "league_id=Q"
+    _write(str(lg / "users.json"), [{"user_id": "a", "metadata": None, "extra": {"x": 1}},
+                                    {"user_id": "b", "metadata": {"team_name": "Bee"}}])
+    _write(str(lg / "rosters.json"), [{"roster_id": 1, "owner_id": "a", "settings": {"wins": 3}},
+                                      {"roster_id": 2, "owner_id": "b"}])
+    _write(str(lg / "week=1" / "matchups.json"), [
+        {"roster_id": 1, "matchup_id": 1, "players": None, "players_points": None},  # no points
+        {"roster_id": 2, "matchup_id": 1, "points": 7, "players": ["x"],
+         "players_points": {"x": 7}, "starters": ["x"], "custom_points": None},
+        {"matchup_id": 2, "points": 3.5},                                           # no roster id
+    ])
+    raw = sb.matchups_raw(landing.weekly_report(spark, str(base)), landing.rosters(spark, str(base)),
+                          landing.users(spark, str(base)))
+    got = sorted((tuple(r) for r in sb.matchups(raw).select(
+        "roster_id", "team_name", "points", "top_player_id", "players_json", "won").collect()),
+        key=repr)
+    assert got == sorted([
+        (1, "Team_1", 0.0, None, "{}", 0),     # null metadata counts as empty; missing points 0
+        (2, "Bee", 7.0, "x", '{"x": 7.0}', 1),  # integer scores read as doubles
+        (None, "Team_None", 3.5, None, "{}", 1),  # an explicit null id formats as None
+    ], key=repr)
