@@ -78,8 +78,9 @@ def landing_pipeline(spark: SparkSession, root: str, out_dir: str) -> dict[str,
     paths = landing.compact(spark, root, out_dir)
     read = spark.read.parquet
     users, rosters = read(paths["users"]), read(paths["rosters"])
-    weekly_report = read(paths["weekly_report"])
-    beats, rank = build_scoreboards(weekly_report, read(paths["weekly_season"]), rosters, users)
+    weekly = read(paths["weekly"])
+    weekly_report = landing.report_weeks(weekly)
+    beats, rank = build_scoreboards(weekly_report, landing.season_weeks(weekly), rosters, users)
     totals = materialize(dr.player_totals(dr.player_points_from_weekly(weekly_report)),
                          "player_totals")
     out = all_reports(beats, rank, read(paths["picks"]), read(paths["players"]), totals,

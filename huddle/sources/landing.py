@@ -117,36 +117,46 @@ def merge_weeks(earlier: DataFrame, later: DataFrame) -> DataFrame:
     return earlier.join(keys, ["league_id", "week"], "left_anti").unionByName(later)
 
 
-def weekly_season(spark: SparkSession, root: str, regular=REGULAR_WEEKS,
-                  playoffs=PLAYOFF_WEEKS) -> DataFrame:
-    """Season script: weeks 1-17 plus playoff weeks 18-21; an empty week adds
-    no rows. The two ranges are disjoint, so the dictionary update of the
+def weekly_parsed(spark: SparkSession, root: str, weeks=REPORT_WEEKS) -> DataFrame:
+    """Every landed weekly payload of weeks 1-21 parsed once; an empty payload
+    (or one that is not a list) leaves one marker row with ``ord`` NULL.
+    ``season_weeks`` and ``report_weeks`` derive both week rules from it."""
+    p = _weekly_payloads(spark, root, "league_id=*/week=*/matchups.json").filter(
+        F.col("week").between(*weeks))
+    return weekly_rows(p, keep_empty=True)
+
+
+def season_weeks(rows: DataFrame, regular=REGULAR_WEEKS, playoffs=PLAYOFF_WEEKS) -> DataFrame:
+    """Season script rule: weeks 1-17 plus playoff weeks 18-21; an empty week
+    adds no rows. The two ranges are disjoint, so the dictionary update of the
     surveyed code is a plain union here (``merge_weeks`` handles sources that
     overlap)."""
-    p = _weekly_payloads(spark, root, "league_id=*/week=*/matchups.json")
-    reg = p.filter(F.col("week").between(*regular))
-    po = p.filter(F.col("week").between(*playoffs))
-    return weekly_rows(reg.unionByName(po))
-
+    in_range = F.col("week").between(*regular) | F.col("week").between(*playoffs)
+    return rows.filter(in_range & F.col("ord").isNotNull())
 
-def weekly_report(spark: SparkSession, root: str, weeks=REPORT_WEEKS) -> DataFrame:
-    """Weekly report: weeks 1-21 of each league up to (not including) its
-    first week whose payload is an empty list (or not a list at all).
 
-    One scan and one parse: an empty payload leaves a marker row, and the
-    first marker week per league comes from a window over the league, which
-    also hash-partitions the rows by league for everything downstream.
-    """
-    p = _weekly_payloads(spark, root, "league_id=*/week=*/matchups.json").filter(
-        F.col("week").between(*weeks))
-    rows = weekly_rows(p, keep_empty=True)
+def report_weeks(rows: DataFrame, weeks=REPORT_WEEKS) -> DataFrame:
+    """Weekly report rule: weeks 1-21 of each league up to (not including) its
+    first week whose payload is empty (marker row). The first marker week
+    comes from a window over the league, which also hash-partitions the rows
+    by league for everything downstream."""
     stop = F.min(F.when(F.col("ord").isNull(), F.col("week"))).over(
         Window.partitionBy("league_id"))
-    kept = rows.withColumn("_stop", stop).filter(
+    kept = rows.filter(F.col("week").between(*weeks)).withColumn("_stop", stop).filter(
         F.col("ord").isNotNull() & (F.col("_stop").isNull() | (F.col("week") < F.col("_stop"))))
     return kept.drop("_stop")
 
 
+def weekly_season(spark: SparkSession, root: str) -> DataFrame:
+    """Weekly rows of the season script (weeks 1-17 and 18-21)."""
+    return season_weeks(weekly_parsed(spark, root))
+
+
+def weekly_report(spark: SparkSession, root: str) -> DataFrame:
+    """Weekly rows of the report (weeks 1-21 up to the first empty week)."""
+    return report_weeks(weekly_parsed(spark, root))
+
+
 def drafts(spark: SparkSession, root: str) -> DataFrame:
     raw = _payloads(spark, root, "league_id=*/drafts.json", "league_id string")
     return _elements(raw, S.DRAFT_ELEMENT, ["league_id"])
@@ -180,13 +190,13 @@ def player_display_names(df: DataFrame, catalog: DataFrame, id_col: str = "playe
 
 
 def compact(spark: SparkSession, root: str, out: str) -> dict[str, str]:
-    """Parse every landed payload once and write parquet tables under ``out``.
-    Returns table -> path. (Not partitioned by league on disk: one directory
+    """Parse every landed payload once and write parquet tables under ``out``
+    (``weekly`` keeps the empty-payload markers; derive the week rules with
+    ``season_weeks`` / ``report_weeks``). Returns table -> path. (Not partitioned by league on disk: one directory
     per league does not scale to millions of leagues.)"""
     out = out.rstrip("/")
     tables = {
-        "weekly_season": weekly_season(spark, root),
-        "weekly_report": weekly_report(spark, root),
+        "weekly": weekly_parsed(spark, root),
         "users": users(spark, root),
         "rosters": rosters(spark, root),
         "picks": picks(spark, root),

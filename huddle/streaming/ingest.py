@@ -76,10 +76,7 @@ def current_weekly(spark: SparkSession, table_path: str, weeks: tuple[int, int]
     latest = t.withColumn("_v", version).withColumn("_max", F.max("_v").over(w)).filter(
         F.col("_v") == F.col("_max"))
     if stop_at_empty:
-        empty = F.min(F.when(F.col("ord").isNull(), F.col("week"))).over(
-            Window.partitionBy("league_id"))
-        latest = latest.withColumn("_stop", empty).filter(
-            F.col("_stop").isNull() | (F.col("week") < F.col("_stop")))
+        latest = landing.report_weeks(latest, weeks or landing.REPORT_WEEKS)
     return latest.filter(F.col("ord").isNotNull()).select(
         "league_id", "week", "ord", "roster_id", "matchup_id", "points", "players",
         "players_points")
