@@ -75,3 +75,15 @@ def test_written_row_counts(spark, written):
     counts = row_counts(spark)
     assert counts["scoreboard_beats"] == beats.count()
     assert counts["matchups_raw"] > 0
+
+
+def test_raw_events_are_pre_aggregated_before_any_shuffle(spark):
+    p = plan(se.queries()["q09_standings"](spark, SF_DIR))
+    lines = p.split("\n")
+    scan = next(i for i, l in enumerate(lines) if "FileScan parquet" in l and "events" in l)
+    # walking up from the scan, the first aggregate is a partial one and comes
+    # before the first exchange
+    above = lines[:scan][::-1]
+    first_exchange = next(i for i, l in enumerate(above) if "Exchange" in l)
+    first_partial = next(i for i, l in enumerate(above) if "partial_sum" in l)
+    assert first_partial < first_exchange
