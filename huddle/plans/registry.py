@@ -125,8 +125,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q27_worst_value_picks": _draft_full(dr.worst_value_picks),
     "q28_biggest_busts": _draft_full(dr.biggest_busts),
     "q29_skill_steals": _draft_full(dr.skill_steals),
-    "b01_matchups_beats": lambda spark, d: scoreboard(spark, d, "beats", coarse=True),
-    "b02_matchups_rank": lambda spark, d: scoreboard(spark, d, "rank", coarse=True),
+    # a new DataFrame per call (the shared plan object keeps its own physical plan)
+    "b01_matchups_beats": lambda spark, d: scoreboard(spark, d, "beats", coarse=True).select("*"),
+    "b02_matchups_rank": lambda spark, d: scoreboard(spark, d, "rank", coarse=True).select("*"),
     "b03_player_totals": _b03,
     "b04_top_player": _b04,
     "b05_opponent_names": _b05,

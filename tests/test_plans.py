@@ -88,3 +88,15 @@ def test_raw_events_are_pre_aggregated_before_any_shuffle(spark):
     first_exchange = next(i for i, l in enumerate(above) if "Exchange" in l)
     first_partial = next(i for i, l in enumerate(above) if "partial_sum" in l)
     assert first_partial < first_exchange
+
+
+def test_scoreboard_join_is_co_partitioned_without_broadcasts(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(se.queries()["q09_standings"](spark, SF_DIR + "/"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in p and "BroadcastExchange" not in p
+    assert len(hash_exchanges(p)) == 3
