@@ -129,11 +129,12 @@ def picks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(f"p_partkey div {PICKS_PER_LEAGUE}").alias("league_id"), "p_partkey",
         "p_retailprice")
     w = Window.partitionBy("league_id").orderBy(F.col("p_retailprice").desc(), "p_partkey")
-    pick_no = F.row_number().over(w)
-    return p.select(
+    numbered = p.select("league_id", "p_partkey", F.row_number().over(w).cast("int").alias("pick_no"))
+    pick_no = F.col("pick_no")
+    return numbered.select(
         "league_id",
-        (pick_no - 1).cast("int").alias("ord"),
-        pick_no.cast("int").alias("pick_no"),
+        (pick_no - 1).alias("ord"),
+        pick_no,
         F.col("p_partkey").cast("string").alias("player_id"),
         (((pick_no - 1) % TEAMS_PER_LEAGUE) + 1).cast("int").alias("roster_id"),
     )
