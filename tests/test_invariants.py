@@ -38,3 +38,23 @@ def test_head_to_head_records_are_consistent(spark):
                & (F.col("a.opponent") == F.col("b.team_name")), "left")
     bad = j.filter(F.col("a.wins") + F.coalesce(F.col("b.wins"), F.lit(0)) > F.col("a.games"))
     assert bad.count() == 0
+
+
+def test_driver_mapping_reproduces_documented_counts(spark):
+    """FIXTURES.md part B, 'checked properties' for sf0.001."""
+    if not SF_DIR.rstrip("/").endswith("sf0.001"):
+        pytest.skip("counts are documented for sf0.001")
+    from huddle.operators import draft as dr
+    from huddle.sources import fixture as fx
+    m = scoreboard(spark, SF_DIR, "beats")
+    r = m.agg(F.countDistinct("league_id").alias("leagues"), F.count(F.lit(1)).alias("rows"),
+              F.sum(F.col("matchup_id").isNull().cast("int")).alias("null_mid"),
+              F.sum("won").alias("won")).first()
+    assert (r["leagues"], r["rows"], r["null_mid"], r["won"]) == (2, 397, 39, 270)
+    lone = (m.filter(F.col("matchup_id").isNotNull())
+            .groupBy("league_id", "week", "matchup_id").count().filter("count = 1").count())
+    assert r["null_mid"] + lone == 143          # rows without opponent
+    picks = fx.picks(spark, SF_DIR)
+    assert picks.count() == 200 and picks.select("league_id").distinct().count() == 1
+    parts = spark.read.parquet(f"{SF_DIR}/part.parquet").count()
+    assert parts - dr.player_totals(fx.player_points(spark, SF_DIR)).count() == 6
