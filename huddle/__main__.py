@@ -29,13 +29,16 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--landing", required=True, help="root of the landed payloads")
         p.add_argument("--out", required=True, help="output folder (compacted tables, reports)")
     rep.add_argument("--show", nargs="*", default=[], help="reports to print (a sample)")
+    rep.add_argument("--weeks", nargs=2, type=int, default=[1, 14], metavar=("FIRST", "LAST"),
+                     help="completed-week range of the weekly report (default 1 14)")
     sql.add_argument("statement")
     args = ap.parse_args(argv)
 
     spark = get_spark()
     out = args.out.rstrip("/")
     try:
-        reports = landing_pipeline(spark, args.landing, f"{out}/compacted")
+        weeks = tuple(getattr(args, "weeks", (1, 14)))
+        reports = landing_pipeline(spark, args.landing, f"{out}/compacted", weeks=weeks)
         if args.cmd == "report":
             for name, df in reports.items():
                 df.write.mode("overwrite").parquet(f"{out}/reports/{name}")

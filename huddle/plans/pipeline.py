@@ -73,8 +73,10 @@ def fixture_pipeline(spark: SparkSession, sf_dir: str, write: bool = True) -> di
     return out
 
 
-def landing_pipeline(spark: SparkSession, root: str, out_dir: str) -> dict[str, DataFrame]:
-    """All reports over landed JSON: parse once into parquet, then report."""
+def landing_pipeline(spark: SparkSession, root: str, out_dir: str,
+                     weeks: tuple[int, int] = (1, 14)) -> dict[str, DataFrame]:
+    """All reports over landed JSON: parse once into parquet, then report.
+    ``weeks`` is the completed-week range of the weekly report."""
     paths = landing.compact(spark, root, out_dir)
     read = spark.read.parquet
     users, rosters = read(paths["users"]), read(paths["rosters"])
@@ -84,7 +86,7 @@ def landing_pipeline(spark: SparkSession, root: str, out_dir: str) -> dict[str,
     totals = materialize(dr.player_totals(dr.player_points_from_weekly(weekly_report)),
                          "player_totals")
     out = all_reports(beats, rank, read(paths["picks"]), read(paths["players"]), totals,
-                      rosters, users)
+                      rosters, users, weeks=weeks)
     out["scoreboard"] = beats
     out["scoreboard_rank"] = rank
     out["league"] = read(paths["league"])

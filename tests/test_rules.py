@@ -346,7 +346,8 @@ def test_global_top_n(season):
 def test_command_line(root, tmp_path, capsys):
     from huddle.__main__ import main
     out = str(tmp_path / "cli")
-    assert main(["report", "--landing", root, "--out", out, "--show", "standings"]) == 0
+    assert main(["report", "--landing", root, "--out", out, "--show", "standings",
+                 "--weeks", "1", "13"]) == 0
     assert os.path.isdir(os.path.join(out, "reports", "standings"))
     assert main(["sql", "--landing", root, "--out", out,
                  "SELECT league_id, COUNT(*) AS n FROM matchups GROUP BY league_id"]) == 0
