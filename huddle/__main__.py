@@ -3,6 +3,7 @@
     spark-submit -m huddle report --landing /shared/landing --out /shared/reports
     python -m huddle report --landing DIR --out DIR --show standings
     python -m huddle sql --landing DIR --out DIR "SELECT ... FROM matchups ..."
+    python -m huddle ingest --landing DIR --table DIR   (new weekly files only)
 
 ``report`` compacts the payloads, builds the scoreboards once and writes each
 report as a parquet table under ``--out/reports/<name>``. ``sql`` runs one
@@ -25,6 +26,11 @@ def main(argv: list[str] | None = None) -> int:
     sub = ap.add_subparsers(dest="cmd", required=True)
     rep = sub.add_parser("report", help="write every report as parquet")
     sql = sub.add_parser("sql", help="ad-hoc SQL over the scoreboard view 'matchups'")
+    ing = sub.add_parser("ingest", help="append newly landed weekly payloads to a table")
+    ing.add_argument("--landing", required=True, help="root of the landed payloads")
+    ing.add_argument("--table", required=True, help="append-only weekly table (parquet)")
+    ing.add_argument("--checkpoint", default=None,
+                     help="stream checkpoint (default: under spark.checkpoint.dir)")
     for p in (rep, sql):
         p.add_argument("--landing", required=True, help="root of the landed payloads")
         p.add_argument("--out", required=True, help="output folder (compacted tables, reports)")
@@ -35,6 +41,12 @@ def main(argv: list[str] | None = None) -> int:
     args = ap.parse_args(argv)
 
     spark = get_spark()
+    if args.cmd == "ingest":
+        from huddle.streaming.ingest import start_weekly_ingest
+        q = start_weekly_ingest(spark, args.landing, args.table, checkpoint=args.checkpoint)
+        q.awaitTermination()
+        print(q.lastProgress and {"rows": q.lastProgress.get("numInputRows")})
+        return 0 if q.exception() is None else 1
     out = args.out.rstrip("/")
     try:
         weeks = tuple(getattr(args, "weeks", (1, 14)))

@@ -49,3 +49,12 @@ def test_incremental_weekly_ingest(spark, tmp_path):
     report = current_weekly(spark, table, stop_at_empty=True)
     assert sorted({r.week for r in report.collect()}) == [1, 2]
     assert report.filter(F.col("league_id") == "A").count() == 4
+
+
+def test_ingest_command(spark, tmp_path):
+    from huddle.__main__ import main
+    root, table = str(tmp_path / "land"), str(tmp_path / "weekly")
+    _land(root, "B", 1, "matchups-1.json", [{"roster_id": 1, "matchup_id": 1, "points": 3.0}])
+    assert main(["ingest", "--landing", root, "--table", table,
+                 "--checkpoint", str(tmp_path / "ck")]) == 0
+    assert spark.read.parquet(table).count() == 1
