@@ -37,6 +37,9 @@ def main(argv: list[str] | None = None) -> int:
     rep.add_argument("--show", nargs="*", default=[], help="reports to print (a sample)")
     rep.add_argument("--weeks", nargs=2, type=int, default=[1, 14], metavar=("FIRST", "LAST"),
                      help="completed-week range of the weekly report (default 1 14)")
+    rep.add_argument("--top", type=int, default=10, help="size of the top-n lists")
+    rep.add_argument("--across-leagues", action="store_true",
+                     help="top-n lists over all leagues instead of within each league")
     sql.add_argument("statement")
     args = ap.parse_args(argv)
 
@@ -50,7 +53,9 @@ def main(argv: list[str] | None = None) -> int:
     out = args.out.rstrip("/")
     try:
         weeks = tuple(getattr(args, "weeks", (1, 14)))
-        reports = landing_pipeline(spark, args.landing, f"{out}/compacted", weeks=weeks)
+        reports = landing_pipeline(spark, args.landing, f"{out}/compacted", weeks=weeks,
+                                   n=getattr(args, "top", 10),
+                                   per_league=not getattr(args, "across_leagues", False))
         if args.cmd == "report":
             for name, df in reports.items():
                 df.write.mode("overwrite").parquet(f"{out}/reports/{name}")

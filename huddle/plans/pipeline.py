@@ -74,9 +74,11 @@ def fixture_pipeline(spark: SparkSession, sf_dir: str, write: bool = True) -> di
 
 
 def landing_pipeline(spark: SparkSession, root: str, out_dir: str,
-                     weeks: tuple[int, int] = (1, 14)) -> dict[str, DataFrame]:
+                     weeks: tuple[int, int] = (1, 14), per_league: bool = True,
+                     n: int = 10) -> dict[str, DataFrame]:
     """All reports over landed JSON: parse once into parquet, then report.
-    ``weeks`` is the completed-week range of the weekly report."""
+    ``weeks`` is the completed-week range of the weekly report; top-n lists
+    rank within each league, or across all leagues with ``per_league=False``."""
     paths = landing.compact(spark, root, out_dir)
     read = spark.read.parquet
     users, rosters = read(paths["users"]), read(paths["rosters"])
@@ -86,7 +88,7 @@ def landing_pipeline(spark: SparkSession, root: str, out_dir: str,
     totals = materialize(dr.player_totals(dr.player_points_from_weekly(weekly_report)),
                          "player_totals")
     out = all_reports(beats, rank, read(paths["picks"]), read(paths["players"]), totals,
-                      rosters, users, weeks=weeks)
+                      rosters, users, weeks=weeks, n=n, per_league=per_league)
     out["scoreboard"] = beats
     out["scoreboard_rank"] = rank
     out["league"] = read(paths["league"])

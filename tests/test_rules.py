@@ -377,3 +377,10 @@ def test_payload_quirks_do_not_fail(spark, tmp_path):
         (2, "Bee", 7.0, "x", '{"x": 7.0}', 1),  # integer scores read as doubles
         (None, "Team_None", 3.5, None, "{}", 1),  # an explicit null id formats as None
     ], key=repr)
+
+
+def test_pipeline_top_n_across_leagues(spark, root, tmp_path):
+    from huddle.plans.pipeline import landing_pipeline
+    out = landing_pipeline(spark, root, str(tmp_path / "c"), per_league=False, n=3)
+    top = sorted(tuple(r) for r in out["top_scores"].select("rank", "points").collect())
+    assert top == [(1, 100.0), (2, 100.0), (3, 100.0)]
