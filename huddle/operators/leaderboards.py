@@ -16,8 +16,6 @@ from huddle.functions.numeric import exact_avg, round_ref
 from huddle.operators.common import LEAGUE, result_letter, top_n, week_list
 from huddle.operators.scoreboard import played
 
-ALL_WEEKS = dict(weeks=None, played_only=False)
-
 
 def _week_leaders(m: DataFrame, highest: bool) -> DataFrame:
     """Rows that rank first in their (league, week), ties to the lower roster id."""
