@@ -33,6 +33,7 @@ def wins_vs_low_opp(m: DataFrame, weeks=(1, 14), played_only=True) -> DataFrame:
 
 
 def losses_vs_high_opp(m: DataFrame, weeks=(1, 14), played_only=True) -> DataFrame:
+    """Losses against the week's highest opponent score."""
     return _vs_opponent_extreme(m, False, 0, "losses_vs_high_opp", weeks, played_only)
 
 

@@ -34,6 +34,7 @@ def most_high_weeks_list(m: DataFrame, weeks=None, played_only=False) -> DataFra
 
 
 def most_low_weeks_list(m: DataFrame, weeks=None, played_only=False) -> DataFrame:
+    """Teams by number of weeks with the league's lowest score, with the weeks."""
     lead = _week_leaders(played(m, weeks, played_only), highest=False)
     return lead.groupBy(LEAGUE, "team_name").agg(
         F.count(F.lit(1)).alias("count_of_lowest_scores"), week_list().alias("weeks"))
@@ -49,6 +50,7 @@ def top_scores_all(m: DataFrame, n: int = 10, per_league: bool = True, weeks=Non
 
 def low_scores_all(m: DataFrame, n: int = 10, per_league: bool = True, weeks=None,
                    played_only=False) -> DataFrame:
+    """The ``n`` lowest single-week scores with their rank."""
     order = [F.col("points").asc_nulls_last(), F.col("week").asc(), F.col("roster_id").asc()]
     t = top_n(played(m, weeks, played_only), order, n, per_league, rank_col="rank")
     return t.select(LEAGUE, "team_name", "week", "points", "rank")
@@ -82,6 +84,7 @@ def win_points_profile(m: DataFrame) -> DataFrame:
 
 
 def loss_points_profile(m: DataFrame) -> DataFrame:
+    """Losses (ties included) with average, lowest and highest points in them."""
     return m.filter(F.col("won") == 0).groupBy(LEAGUE, "team_name").agg(
         F.count(F.lit(1)).alias("losses"), exact_avg("points").alias("avg_points_in_loss"),
         F.min("points").alias("min_loss"), F.max("points").alias("max_loss"))
@@ -99,6 +102,7 @@ def standings(m: DataFrame, weeks=(1, 14), played_only=True) -> DataFrame:
 
 def top_scores(m: DataFrame, n: int = 10, per_league: bool = True, weeks=(1, 14),
                played_only=True) -> DataFrame:
+    """The ``n`` highest completed-week scores: rank, team, week, points, W/L."""
     order = [F.col("points").desc_nulls_last(), F.col("week").asc(), F.col("roster_id").asc()]
     t = top_n(played(m, weeks, played_only), order, n, per_league, rank_col="rank")
     return t.select(LEAGUE, "rank", "team_name", "week", round_ref("points").alias("points"),
@@ -107,6 +111,7 @@ def top_scores(m: DataFrame, n: int = 10, per_league: bool = True, weeks=(1, 14)
 
 def low_scores(m: DataFrame, n: int = 10, per_league: bool = True, weeks=(1, 14),
                played_only=True) -> DataFrame:
+    """The ``n`` lowest completed-week scores: rank, team, week, points, W/L."""
     order = [F.col("points").asc_nulls_last(), F.col("week").asc(), F.col("roster_id").asc()]
     t = top_n(played(m, weeks, played_only), order, n, per_league, rank_col="rank")
     return t.select(LEAGUE, "rank", "team_name", "week", round_ref("points").alias("points"),
@@ -121,20 +126,24 @@ def consistency(m: DataFrame, weeks=(1, 14), played_only=True) -> DataFrame:
 
 
 def high_week_counts(m: DataFrame, weeks=(1, 14), played_only=True) -> DataFrame:
+    """How often each team had the league's highest completed-week score."""
     lead = _week_leaders(played(m, weeks, played_only), highest=True)
     return lead.groupBy(LEAGUE, "team_name").agg(F.count(F.lit(1)).alias("times_highest"))
 
 
 def low_week_counts(m: DataFrame, weeks=(1, 14), played_only=True) -> DataFrame:
+    """How often each team had the league's lowest completed-week score."""
     lead = _week_leaders(played(m, weeks, played_only), highest=False)
     return lead.groupBy(LEAGUE, "team_name").agg(F.count(F.lit(1)).alias("times_lowest"))
 
 
 def avg_points_in_wins(m: DataFrame, weeks=(1, 14), played_only=True) -> DataFrame:
+    """Average points in completed-week wins."""
     return played(m, weeks, played_only).filter(F.col("won") == 1).groupBy(
         LEAGUE, "team_name").agg(round_ref(exact_avg("points")).alias("avg_pts_in_win"))
 
 
 def avg_points_in_losses(m: DataFrame, weeks=(1, 14), played_only=True) -> DataFrame:
+    """Average points in completed-week losses (ties included)."""
     return played(m, weeks, played_only).filter(F.col("won") == 0).groupBy(
         LEAGUE, "team_name").agg(round_ref(exact_avg("points")).alias("avg_pts_in_loss"))

@@ -72,12 +72,14 @@ def _last_wins(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
 
 
 def users(spark: SparkSession, root: str) -> DataFrame:
+    """Users per league (last element wins on a repeated ``user_id``)."""
     raw = _payloads(spark, root, "league_id=*/users.json", "league_id string")
     el = _elements(raw, S.USER_ELEMENT, ["league_id"])
     return _last_wins(el, "user_id", ["metadata"]).select(*S.USERS_COLUMNS)
 
 
 def rosters(spark: SparkSession, root: str) -> DataFrame:
+    """Rosters per league (last element wins on a repeated ``roster_id``)."""
     raw = _payloads(spark, root, "league_id=*/rosters.json", "league_id string")
     el = _elements(raw, S.ROSTER_ELEMENT, ["league_id"])
     return _last_wins(el, "roster_id", ["owner_id"]).select(*S.ROSTERS_COLUMNS)
@@ -158,6 +160,7 @@ def weekly_report(spark: SparkSession, root: str) -> DataFrame:
 
 
 def drafts(spark: SparkSession, root: str) -> DataFrame:
+    """Drafts of each league in list order."""
     raw = _payloads(spark, root, "league_id=*/drafts.json", "league_id string")
     return _elements(raw, S.DRAFT_ELEMENT, ["league_id"])
 
