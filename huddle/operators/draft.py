@@ -89,20 +89,22 @@ def _steals(e: DataFrame, n: int, per_league: bool, skill_only: bool) -> DataFra
     return top_n(rows, order, n, per_league).select(*PICK_REPORT_COLUMNS)
 
 
-def late_round_steals(picks, players, totals, draft_rosters, users, n: int = 10,
+def late_round_steals(picks: DataFrame, players: DataFrame, totals: DataFrame,
+                      draft_rosters: DataFrame, users: DataFrame, n: int = 10,
                       per_league: bool = True) -> DataFrame:
     """Most productive picks after pick 100; players missing from the catalog
     show as ``Player <id>`` / ``UNK``."""
     return _steals(_enriched(picks, players, totals, draft_rosters, users), n, per_league, False)
 
 
-def skill_steals(picks, players, totals, draft_rosters, users, n: int = 10,
+def skill_steals(picks: DataFrame, players: DataFrame, totals: DataFrame,
+                 draft_rosters: DataFrame, users: DataFrame, n: int = 10,
                  per_league: bool = True) -> DataFrame:
     """As ``late_round_steals`` for catalog players outside QB, DEF and K."""
     return _steals(_enriched(picks, players, totals, draft_rosters, users), n, per_league, True)
 
 
-def bracket_averages(picks, players, totals) -> DataFrame:
+def bracket_averages(picks: DataFrame, players: DataFrame, totals: DataFrame) -> DataFrame:
     """Per position of the fixed list: average season total and count of
     early (<= 50), mid (51-100) and late (> 100) picks; an empty bracket gives
     0 and 0. Positions without catalog picks are left out."""
@@ -128,7 +130,8 @@ def bracket_averages(picks, players, totals) -> DataFrame:
     return p.groupBy(LEAGUE, "position").agg(*aggs)
 
 
-def positional_performance(picks, players, totals) -> DataFrame:
+def positional_performance(picks: DataFrame, players: DataFrame,
+                           totals: DataFrame) -> DataFrame:
     """Per catalog position: number of drafted players and their average total."""
     cat = players.select("player_id", player_position(F.col("attrs")).alias("position"))
     p = (picks.filter(_player_id_set(F.col("player_id")))
@@ -140,7 +143,8 @@ def positional_performance(picks, players, totals) -> DataFrame:
         n.alias("count"), avg_units(F.sum("t"), n).alias("avg_pts"))
 
 
-def worst_value_picks(picks, players, totals, draft_rosters, users, n: int = 10,
+def worst_value_picks(picks: DataFrame, players: DataFrame, totals: DataFrame,
+                      draft_rosters: DataFrame, users: DataFrame, n: int = 10,
                       per_league: bool = True, min_miss: float = 10.0) -> DataFrame:
     """Top-100 picks whose total fell furthest below the average of their
     (position, early/mid) group; the group average includes the pick itself."""
@@ -161,7 +165,8 @@ def worst_value_picks(picks, players, totals, draft_rosters, users, n: int = 10,
         "team_name")
 
 
-def biggest_busts(picks, players, totals, draft_rosters, users, n: int = 10,
+def biggest_busts(picks: DataFrame, players: DataFrame, totals: DataFrame,
+                  draft_rosters: DataFrame, users: DataFrame, n: int = 10,
                   per_league: bool = True) -> DataFrame:
     """Top-100 catalog picks with the lowest season totals (zeros included)."""
     e = _enriched(picks, players, totals, draft_rosters, users).filter(
