@@ -31,9 +31,16 @@ def _c(col: Column | str) -> Column:
 
 
 def round_ref(col: Column | str, n: int = 2) -> Column:
-    """Round a double to ``n`` decimals as ``round(x * 10^n) / 10^n``."""
+    """Round a double to ``n`` decimals as ``round(x * 10^n) / 10^n``.
+
+    A value that rounds to zero keeps its sign (``-0.0`` for a small negative
+    value), as the double arithmetic of that formula gives; Spark's ``round``
+    goes through a decimal, which has no negative zero.
+    """
+    c = _c(col)
     f = float(10 ** n)
-    return F.round(_c(col) * F.lit(f)) / F.lit(f)
+    r = F.round(c * F.lit(f)) / F.lit(f)
+    return F.when(r == 0.0, c * F.lit(0.0)).otherwise(r)
 
 
 def units(col: Column | str, scale: int = SCORE_SCALE) -> Column:

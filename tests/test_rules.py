@@ -384,3 +384,11 @@ def test_pipeline_top_n_across_leagues(spark, root, tmp_path):
     out = landing_pipeline(spark, root, str(tmp_path / "c"), per_league=False, n=3)
     top = sorted(tuple(r) for r in out["top_scores"].select("rank", "points").collect())
     assert top == [(1, 100.0), (2, 100.0), (3, 100.0)]
+
+
+def test_round_ref_matches_double_rounding_including_signed_zero(spark):
+    vals = [-4.4e-16, -0.004, 0.004, 1.005, -1.005, 2.675, 12.345]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [repr(r[0]) for r in df.select(round_ref("x")).collect()]
+    # round(x * 100) / 100 in double arithmetic, half away from zero
+    assert got == ["-0.0", "-0.0", "0.0", "1.0", "-1.0", "2.68", "12.35"]
