@@ -44,8 +44,12 @@ def round_ref(col: Column | str, n: int = 2) -> Column:
 
 
 def units(col: Column | str, scale: int = SCORE_SCALE) -> Column:
-    """A score as an exact count of ``10^-scale`` units (bigint)."""
-    return F.floor(_c(col) * F.lit(float(10 ** scale)) + F.lit(0.5))
+    """A score as an exact count of ``10^-scale`` units (bigint), rounding half
+    away from zero like a decimal cast."""
+    c = _c(col)
+    f = F.lit(float(10 ** scale))
+    half = F.lit(0.5)
+    return F.when(c < 0, -F.floor(-c * f + half)).otherwise(F.floor(c * f + half))
 
 
 def from_units(col: Column | str, scale: int = SCORE_SCALE) -> Column:
