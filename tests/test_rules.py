@@ -392,3 +392,12 @@ def test_round_ref_matches_double_rounding_including_signed_zero(spark):
     got = [repr(r[0]) for r in df.select(round_ref("x")).collect()]
     # round(x * 100) / 100 in double arithmetic, half away from zero
     assert got == ["-0.0", "-0.0", "0.0", "1.0", "-1.0", "2.68", "12.35"]
+
+
+def test_merge_weeks_later_source_replaces_a_week(spark):
+    cols = "league_id string, week int, roster_id int, points double"
+    earlier = spark.createDataFrame([("A", 1, 1, 10.0), ("A", 2, 1, 20.0), ("A", 2, 2, 21.0),
+                                     ("B", 2, 1, 5.0)], cols)
+    later = spark.createDataFrame([("A", 2, 1, 99.0), ("A", 3, 1, 30.0)], cols)
+    got = sorted(tuple(r) for r in landing.merge_weeks(earlier, later).collect())
+    assert got == [("A", 1, 1, 10.0), ("A", 2, 1, 99.0), ("A", 3, 1, 30.0), ("B", 2, 1, 5.0)]
