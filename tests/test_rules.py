@@ -401,3 +401,10 @@ def test_merge_weeks_later_source_replaces_a_week(spark):
     later = spark.createDataFrame([("A", 2, 1, 99.0), ("A", 3, 1, 30.0)], cols)
     got = sorted(tuple(r) for r in landing.merge_weeks(earlier, later).collect())
     assert got == [("A", 1, 1, 10.0), ("A", 2, 1, 99.0), ("A", 3, 1, 30.0), ("B", 2, 1, 5.0)]
+
+
+def test_player_display_names(spark, root):
+    ids = spark.createDataFrame([("p1",), ("p4",), ("p9",)], "player_id string")
+    got = sorted(tuple(r) for r in landing.player_display_names(
+        ids, landing.players(spark, root)).collect())
+    assert got == [("p1", "One"), ("p4", "Player_p4"), ("p9", "Player_p9")]
