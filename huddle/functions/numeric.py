@@ -57,11 +57,6 @@ def from_units(col: Column | str, scale: int = SCORE_SCALE) -> Column:
     return _c(col).cast("double") / F.lit(float(10 ** scale))
 
 
-def exact_sum(col: Column | str, scale: int = SCORE_SCALE) -> Column:
-    """Sum of scores in exact integer arithmetic, returned as double."""
-    return from_units(F.sum(units(col, scale)), scale)
-
-
 def avg_units(total_units: Column, n: Column, scale: int = SCORE_SCALE) -> Column:
     """Average from an exact unit total and a count (NULL when n is 0)."""
     return F.when(n > 0, from_units(total_units, scale) / n)
