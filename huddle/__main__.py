@@ -17,7 +17,7 @@ import sys
 
 from huddle.functions.display import ORDERS, ordered
 from huddle.plans.pipeline import landing_pipeline
-from huddle.plans.report import SCOREBOARD_VIEW, adhoc, release, row_counts
+from huddle.plans.report import RAW_VIEW, SCOREBOARD_VIEW, adhoc, release, row_counts
 from huddle.session import get_spark
 
 
@@ -64,7 +64,7 @@ def main(argv: list[str] | None = None) -> int:
                 df = reports[name]
                 (ordered(df, name) if name in ORDERS else df).show(50, truncate=False)
         else:
-            res = adhoc(spark, args.statement, reports["scoreboard"])
+            res = adhoc(spark, args.statement, reports["scoreboard"], reports["matchups_raw"])
             if res is None:
                 return 1
             res.show(50, truncate=False)
@@ -72,6 +72,7 @@ def main(argv: list[str] | None = None) -> int:
     finally:
         release(spark)
         spark.catalog.dropTempView(SCOREBOARD_VIEW)
+        spark.catalog.dropTempView(RAW_VIEW)
 
 
 if __name__ == "__main__":

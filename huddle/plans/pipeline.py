@@ -32,10 +32,11 @@ from huddle.sources import landing
 
 
 def build_scoreboards(weekly_report: DataFrame, weekly_season: DataFrame | None,
-                      rosters: DataFrame, users: DataFrame,
-                      write: bool = True) -> tuple[DataFrame, DataFrame]:
+                      rosters: DataFrame, users: DataFrame, write: bool = True,
+                      with_raw: bool = False):
     """(beats scoreboard over the report weeks, rank scoreboard over the season
-    weeks). With one weekly source for both, team-weeks are built once."""
+    weeks[, team-weeks of the report]). With one weekly source for both,
+    team-weeks are built once."""
     def keep(df: DataFrame, name: str) -> DataFrame:
         return materialize(df, name, bucket_by="league_id") if write else df
 
@@ -46,7 +47,7 @@ def build_scoreboards(weekly_report: DataFrame, weekly_season: DataFrame | None,
         raw_season = keep(sb.matchups_raw(weekly_season, rosters, users), "matchups_raw_season")
     beats = keep(sb.matchups(raw_report, "beats"), "scoreboard_beats")
     rank = keep(sb.matchups(raw_season, "rank"), "scoreboard_rank")
-    return beats, rank
+    return (beats, rank, raw_report) if with_raw else (beats, rank)
 
 
 def all_reports(beats: DataFrame, rank: DataFrame, picks: DataFrame, players: DataFrame,
@@ -84,12 +85,14 @@ def landing_pipeline(spark: SparkSession, root: str, out_dir: str,
     users, rosters = read(paths["users"]), read(paths["rosters"])
     weekly = read(paths["weekly"])
     weekly_report = landing.report_weeks(weekly)
-    beats, rank = build_scoreboards(weekly_report, landing.season_weeks(weekly), rosters, users)
+    beats, rank, raw = build_scoreboards(weekly_report, landing.season_weeks(weekly), rosters,
+                                         users, with_raw=True)
     totals = materialize(dr.player_totals(dr.player_points_from_weekly(weekly_report)),
                          "player_totals")
     out = all_reports(beats, rank, read(paths["picks"]), read(paths["players"]), totals,
                       rosters, users, weeks=weeks, n=n, per_league=per_league)
     out["scoreboard"] = beats
     out["scoreboard_rank"] = rank
+    out["matchups_raw"] = raw
     out["league"] = read(paths["league"])
     return out

@@ -22,6 +22,7 @@ from huddle.operators import luck as lk
 from huddle.session import scratch_path
 
 SCOREBOARD_VIEW = "matchups"
+RAW_VIEW = "matchups_raw"
 
 
 def _bucket_count(spark: SparkSession) -> int:
@@ -72,14 +73,18 @@ def release(spark: SparkSession) -> None:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
-def adhoc(spark: SparkSession, sql: str, scoreboard: DataFrame | None = None) -> DataFrame | None:
-    """Run any SQL over the scoreboard view ``matchups``.
+def adhoc(spark: SparkSession, sql: str, scoreboard: DataFrame | None = None,
+          raw: DataFrame | None = None) -> DataFrame | None:
+    """Run any SQL over the scoreboard view ``matchups`` (and ``matchups_raw``,
+    the team-weeks before the win flag, when given).
 
     Returns the lazy result, or ``None`` when the statement does not parse or
     resolve (errors raised while executing surface when the caller acts).
     """
     if scoreboard is not None:
         scoreboard.createOrReplaceTempView(SCOREBOARD_VIEW)
+    if raw is not None:
+        raw.createOrReplaceTempView(RAW_VIEW)
     try:
         return spark.sql(sql)
     except AnalysisException as exc:  # includes parse errors

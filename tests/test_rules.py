@@ -311,7 +311,7 @@ def test_round_ref_on_half_cent(spark):
 def test_landing_pipeline_runs_every_report(spark, root, tmp_path):
     from huddle.plans.pipeline import landing_pipeline
     out = landing_pipeline(spark, root, str(tmp_path / "compacted"))
-    assert len(out) == 33
+    assert len(out) == 34
     standings = rows(out["standings"])
     assert ("Team_3", 4, 1, 42.0) in standings
     assert rows(out["league"]) == [("Test League",)]
@@ -350,7 +350,9 @@ def test_command_line(root, tmp_path, capsys):
                  "--weeks", "1", "13"]) == 0
     assert os.path.isdir(os.path.join(out, "reports", "standings"))
     assert main(["sql", "--landing", root, "--out", out,
-                 "SELECT league_id, COUNT(*) AS n FROM matchups GROUP BY league_id"]) == 0
+                 "SELECT m.league_id, COUNT(*) AS n FROM matchups m JOIN matchups_raw r "
+                 "ON m.league_id = r.league_id AND m.week = r.week AND m.roster_id = r.roster_id "
+                 "GROUP BY m.league_id"]) == 0
     assert "L1" in capsys.readouterr().out
 
 
