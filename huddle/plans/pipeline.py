@@ -5,9 +5,9 @@ then run every report on them.
     outputs["standings"].write.parquet(...)
 
 Plan of a run:
-  1. events -> team-weeks (partial aggregation before every shuffle) with
-     names and top players -> written once, bucketed by league
-     (``matchups_raw``);
+  1. events (or parsed weekly payloads, written bucketed by league) ->
+     team-weeks with names and top players (partial aggregation before every
+     shuffle) -> written once, bucketed by league (``matchups_raw``);
   2. the two scoreboards (``beats`` and ``rank`` rule) from that table ->
      written once, bucketed by league (no shuffle: the input already is);
   3. player totals from the player-week scores -> written once;
@@ -79,11 +79,16 @@ def landing_pipeline(spark: SparkSession, root: str, out_dir: str,
                      n: int = 10) -> dict[str, DataFrame]:
     """All reports over landed JSON: parse once into parquet, then report.
     ``weeks`` is the completed-week range of the weekly report; top-n lists
-    rank within each league, or across all leagues with ``per_league=False``."""
-    paths = landing.compact(spark, root, out_dir)
+    rank within each league, or across all leagues with ``per_league=False``.
+
+    The parsed weekly rows, the largest input, are written bucketed by league
+    (in the checkpoint folder), so the first-empty-week window and the roster
+    join of both scoreboards read them without a shuffle.
+    """
+    paths = landing.compact(spark, root, out_dir, weekly=False)
     read = spark.read.parquet
     users, rosters = read(paths["users"]), read(paths["rosters"])
-    weekly = read(paths["weekly"])
+    weekly = materialize(landing.weekly_parsed(spark, root), "weekly", bucket_by="league_id")
     weekly_report = landing.report_weeks(weekly)
     beats, rank, raw = build_scoreboards(weekly_report, landing.season_weeks(weekly), rosters,
                                          users, with_raw=True)

@@ -192,14 +192,16 @@ def player_display_names(df: DataFrame, catalog: DataFrame, id_col: str = "playe
     return j.select(*[df[c] for c in df.columns], name.alias("player_name"))
 
 
-def compact(spark: SparkSession, root: str, out: str) -> dict[str, str]:
+def compact(spark: SparkSession, root: str, out: str, weekly: bool = True) -> dict[str, str]:
     """Parse every landed payload once and write parquet tables under ``out``
     (``weekly`` keeps the empty-payload markers; derive the week rules with
-    ``season_weeks`` / ``report_weeks``). Returns table -> path. (Not partitioned by league on disk: one directory
-    per league does not scale to millions of leagues.)"""
+    ``season_weeks`` / ``report_weeks``). Returns table -> path. Not
+    partitioned by league on disk: one directory per league does not scale to
+    millions of leagues. ``weekly=False`` leaves the weekly rows to the caller
+    (the report pipeline writes them bucketed by league instead)."""
     out = out.rstrip("/")
     tables = {
-        "weekly": weekly_parsed(spark, root),
+        **({"weekly": weekly_parsed(spark, root)} if weekly else {}),
         "users": users(spark, root),
         "rosters": rosters(spark, root),
         "picks": picks(spark, root),
