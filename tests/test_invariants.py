@@ -58,3 +58,36 @@ def test_driver_mapping_reproduces_documented_counts(spark):
     assert picks.count() == 200 and picks.select("league_id").distinct().count() == 1
     parts = spark.read.parquet(f"{SF_DIR}/part.parquet").count()
     assert parts - dr.player_totals(fx.player_points(spark, SF_DIR)).count() == 6
+
+
+PIPELINE_TO_QUERY = {
+    "most_high_weeks_list": "q01_most_high_weeks_list", "top_scores_all": "q02_top_scores_all",
+    "most_low_weeks_list": "q03_most_low_weeks_list", "low_scores_all": "q04_low_scores_all",
+    "win_points_profile": "q07_win_points_profile", "loss_points_profile": "q08_loss_points_profile",
+    "standings": "q09_standings", "top_scores": "q10_top_scores", "low_scores": "q11_low_scores",
+    "consistency": "q12_consistency", "high_week_counts": "q13_high_week_counts",
+    "low_week_counts": "q14_low_week_counts", "wins_vs_low_opp": "q15_wins_vs_low_opp",
+    "losses_vs_high_opp": "q16_losses_vs_high_opp", "avg_points_in_wins": "q17_avg_points_in_wins",
+    "avg_points_in_losses": "q18_avg_points_in_losses", "avg_margin": "q19_avg_margin",
+    "dominant_wins": "q20_dominant_wins", "closest_matchups": "q21_closest_matchups",
+    "volatility": "q22_volatility", "head_to_head": "q23_head_to_head", "luck": "d01_luck",
+    "late_round_steals": "q24_late_round_steals", "bracket_averages": "q25_bracket_averages",
+    "positional_performance": "q26_positional_performance",
+    "worst_value_picks": "q27_worst_value_picks", "biggest_busts": "q28_biggest_busts",
+    "skill_steals": "q29_skill_steals",
+}
+
+
+def test_pipeline_over_written_tables_equals_registered_queries(spark):
+    import __spark_entry__ as se
+    from huddle.plans.pipeline import fixture_pipeline
+    from huddle.plans.report import release
+    out = fixture_pipeline(spark, SF_DIR, write=True)
+    try:
+        for name, key in PIPELINE_TO_QUERY.items():
+            a = sorted(map(tuple, out[name].collect()), key=repr)
+            q = se.queries()[key](spark, SF_DIR)
+            b = sorted(map(tuple, q.select(*out[name].columns).collect()), key=repr)
+            assert a == b, name
+    finally:
+        release(spark)
