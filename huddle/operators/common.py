@@ -16,9 +16,11 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int = 10, per_league: bool
     tie-break).
 
     ``per_league=True`` ranks within each league: Spark plans the rank filter
-    as a WindowGroupLimit, so each map task ships at most ``n`` rows per league
-    to the shuffle. ``per_league=False`` is one global top-n, planned as
-    TakeOrderedAndProject (no single-partition sort of the whole input).
+    as a WindowGroupLimit. On input already partitioned by league it runs in
+    place; otherwise a partial limit runs before the shuffle, so each map task
+    ships at most ``n`` rows per league. ``per_league=False`` is one global
+    top-n, planned as TakeOrderedAndProject (no single-partition sort of the
+    whole input); only those ``n`` rows are then numbered.
     """
     name = rank_col or "_rn"
     if per_league:
