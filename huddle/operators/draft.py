@@ -53,9 +53,11 @@ def _player_id_set(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
 
-def _enriched(picks: DataFrame, players: DataFrame, totals: DataFrame,
-              draft_rosters: DataFrame, users: DataFrame) -> DataFrame:
-    """Picks with catalog entry, season total, round and drafting team."""
+def enrich_picks(picks: DataFrame, players: DataFrame, totals: DataFrame,
+                 draft_rosters: DataFrame, users: DataFrame) -> DataFrame:
+    """Picks with catalog entry, season total, round and drafting team: the
+    input of every draft report (``*_from`` functions). Built once, it can be
+    written bucketed by league so all six reports run without a shuffle."""
     cat = players.select("player_id", "attrs", F.lit(True).alias("in_catalog"))
     p = (picks
          .join(cat, "player_id", "left")
@@ -78,7 +80,10 @@ def _enriched(picks: DataFrame, players: DataFrame, totals: DataFrame,
     )
 
 
-def _steals(e: DataFrame, n: int, per_league: bool, skill_only: bool) -> DataFrame:
+def steals_from(e: DataFrame, n: int = 10, per_league: bool = True,
+                skill_only: bool = False) -> DataFrame:
+    """Most productive picks after pick 100 (``skill_only``: catalog players
+    outside QB, DEF and K)."""
     rows = e.filter(_pick_no_set(F.col("pick_no")) & (F.col("pick_no") > MID_MAX))
     if skill_only:
         rows = rows.filter(F.col("in_catalog") & ~F.coalesce(
@@ -94,27 +99,24 @@ def late_round_steals(picks: DataFrame, players: DataFrame, totals: DataFrame,
                       per_league: bool = True) -> DataFrame:
     """Most productive picks after pick 100; players missing from the catalog
     show as ``Player <id>`` / ``UNK``."""
-    return _steals(_enriched(picks, players, totals, draft_rosters, users), n, per_league, False)
+    return steals_from(enrich_picks(picks, players, totals, draft_rosters, users), n, per_league,
+                       False)
 
 
 def skill_steals(picks: DataFrame, players: DataFrame, totals: DataFrame,
                  draft_rosters: DataFrame, users: DataFrame, n: int = 10,
                  per_league: bool = True) -> DataFrame:
     """As ``late_round_steals`` for catalog players outside QB, DEF and K."""
-    return _steals(_enriched(picks, players, totals, draft_rosters, users), n, per_league, True)
+    return steals_from(enrich_picks(picks, players, totals, draft_rosters, users), n, per_league,
+                       True)
 
 
-def bracket_averages(picks: DataFrame, players: DataFrame, totals: DataFrame) -> DataFrame:
+def bracket_averages_from(e: DataFrame) -> DataFrame:
     """Per position of the fixed list: average season total and count of
     early (<= 50), mid (51-100) and late (> 100) picks; an empty bracket gives
     0 and 0. Positions without catalog picks are left out."""
-    cat = players.select("player_id", F.try_element_at("attrs", F.lit("position")).alias(
-        "position"))
-    p = (picks.filter(_player_id_set(F.col("player_id")))
-         .join(cat, "player_id", "inner")
-         .filter(F.col("position").isin(BRACKET_POSITIONS))
-         .join(totals, [LEAGUE, "player_id"], "left")
-         .withColumn("t", F.coalesce(F.col("total_units"), F.lit(0).cast("bigint"))))
+    p = e.filter(_player_id_set(F.col("player_id")) & F.col("in_catalog")
+                 & F.col("position").isin(BRACKET_POSITIONS))
     has = _pick_no_set(F.col("pick_no"))
     brackets = {
         "early": has & (F.col("pick_no") <= EARLY_MAX),
@@ -124,23 +126,43 @@ def bracket_averages(picks: DataFrame, players: DataFrame, totals: DataFrame) ->
     aggs = []
     for name, cond in brackets.items():
         cnt = F.count(F.when(cond, F.lit(1)))
-        total = F.sum(F.when(cond, F.col("t")))
+        total = F.sum(F.when(cond, F.col("total_units")))
         aggs.append(F.coalesce(avg_units(total, cnt), F.lit(0.0)).alias(f"{name}_avg"))
         aggs.append(cnt.alias(f"{name}_n"))
     return p.groupBy(LEAGUE, "position").agg(*aggs)
 
 
+def positional_performance_from(e: DataFrame) -> DataFrame:
+    """Per catalog position: number of drafted players and their average total."""
+    p = e.filter(_player_id_set(F.col("player_id")) & F.col("in_catalog"))
+    n = F.count(F.lit(1))
+    return p.groupBy(LEAGUE, F.col("pos").alias("position")).agg(
+        n.alias("count"), avg_units(F.sum("total_units"), n).alias("avg_pts"))
+
+
+def bracket_averages(picks: DataFrame, players: DataFrame, totals: DataFrame) -> DataFrame:
+    """``bracket_averages_from`` on picks joined to the catalog and totals."""
+    cat = players.select("player_id", F.try_element_at("attrs", F.lit("position")).alias(
+        "position"))
+    p = (picks.filter(_player_id_set(F.col("player_id")))
+         .join(cat, "player_id", "inner")
+         .filter(F.col("position").isin(BRACKET_POSITIONS))
+         .join(totals, [LEAGUE, "player_id"], "left")
+         .select(LEAGUE, "player_id", "pick_no", "position", F.lit(True).alias("in_catalog"),
+                 F.coalesce(F.col("total_units"), F.lit(0).cast("bigint")).alias("total_units")))
+    return bracket_averages_from(p)
+
+
 def positional_performance(picks: DataFrame, players: DataFrame,
                            totals: DataFrame) -> DataFrame:
-    """Per catalog position: number of drafted players and their average total."""
-    cat = players.select("player_id", player_position(F.col("attrs")).alias("position"))
+    """``positional_performance_from`` on picks joined to the catalog and totals."""
+    cat = players.select("player_id", player_position(F.col("attrs")).alias("pos"))
     p = (picks.filter(_player_id_set(F.col("player_id")))
          .join(cat, "player_id", "inner")
          .join(totals, [LEAGUE, "player_id"], "left")
-         .withColumn("t", F.coalesce(F.col("total_units"), F.lit(0).cast("bigint"))))
-    n = F.count(F.lit(1))
-    return p.groupBy(LEAGUE, "position").agg(
-        n.alias("count"), avg_units(F.sum("t"), n).alias("avg_pts"))
+         .select(LEAGUE, "player_id", "pos", F.lit(True).alias("in_catalog"),
+                 F.coalesce(F.col("total_units"), F.lit(0).cast("bigint")).alias("total_units")))
+    return positional_performance_from(p)
 
 
 def worst_value_picks(picks: DataFrame, players: DataFrame, totals: DataFrame,
@@ -148,7 +170,13 @@ def worst_value_picks(picks: DataFrame, players: DataFrame, totals: DataFrame,
                       per_league: bool = True, min_miss: float = 10.0) -> DataFrame:
     """Top-100 picks whose total fell furthest below the average of their
     (position, early/mid) group; the group average includes the pick itself."""
-    e = _enriched(picks, players, totals, draft_rosters, users).filter(
+    return worst_value_picks_from(enrich_picks(picks, players, totals, draft_rosters, users),
+                                  n, per_league, min_miss)
+
+
+def worst_value_picks_from(e: DataFrame, n: int = 10, per_league: bool = True,
+                           min_miss: float = 10.0) -> DataFrame:
+    e = e.filter(
         _player_id_set(F.col("player_id")) & F.col("in_catalog")
         & _pick_no_set(F.col("pick_no")) & (F.col("pick_no") <= MID_MAX))
     e = e.withColumn("bracket", F.when(F.col("pick_no") <= EARLY_MAX, F.lit("early"))
@@ -169,7 +197,12 @@ def biggest_busts(picks: DataFrame, players: DataFrame, totals: DataFrame,
                   draft_rosters: DataFrame, users: DataFrame, n: int = 10,
                   per_league: bool = True) -> DataFrame:
     """Top-100 catalog picks with the lowest season totals (zeros included)."""
-    e = _enriched(picks, players, totals, draft_rosters, users).filter(
+    return biggest_busts_from(enrich_picks(picks, players, totals, draft_rosters, users),
+                              n, per_league)
+
+
+def biggest_busts_from(e: DataFrame, n: int = 10, per_league: bool = True) -> DataFrame:
+    e = e.filter(
         _pick_no_set(F.col("pick_no")) & (F.col("pick_no") <= MID_MAX)
         & _player_id_set(F.col("player_id")) & F.col("in_catalog"))
     rows = e.withColumn("total_points", from_units("total_units"))

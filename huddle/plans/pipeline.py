@@ -10,7 +10,9 @@ Plan of a run:
      shuffle) -> written once, bucketed by league (``matchups_raw``);
   2. the two scoreboards (``beats`` and ``rank`` rule) from that table ->
      written once, bucketed by league (no shuffle: the input already is);
-  3. player totals from the player-week scores -> written once;
+  3. player totals from the player-week scores -> written once; the picks
+     enriched with catalog, totals and drafting team -> written once,
+     bucketed by league (all six draft reports read that);
   4. every report reads the written tables (column-pruned parquet scans);
      the reports over the scoreboards run without any shuffle, since each
      is keyed by league and the tables are bucketed by league.
@@ -52,11 +54,20 @@ def build_scoreboards(weekly_report: DataFrame, weekly_season: DataFrame | None,
 
 def all_reports(beats: DataFrame, rank: DataFrame, picks: DataFrame, players: DataFrame,
                 totals: DataFrame, draft_rosters: DataFrame, users: DataFrame,
-                weeks=(1, 14), n: int = 10, per_league: bool = True) -> dict[str, DataFrame]:
+                weeks=(1, 14), n: int = 10, per_league: bool = True,
+                write: bool = True) -> dict[str, DataFrame]:
+    """Every report. With ``write`` the picks are enriched once (catalog,
+    totals, drafting team) and written bucketed by league, so the six draft
+    reports run without a shuffle, like the scoreboard reports."""
+    enriched = None
+    if write:
+        enriched = materialize(dr.enrich_picks(picks, players, totals, draft_rosters, users),
+                               "picks_enriched", bucket_by="league_id")
     out: dict[str, DataFrame] = {}
     out.update(run_season_stats(rank, n, per_league))
     out.update(run_report(beats, weeks, n, per_league))
-    out.update(run_draft_report(picks, players, totals, draft_rosters, users, n, per_league))
+    out.update(run_draft_report(picks, players, totals, draft_rosters, users, n, per_league,
+                                enriched=enriched))
     return out
 
 
@@ -67,7 +78,8 @@ def fixture_pipeline(spark: SparkSession, sf_dir: str, write: bool = True) -> di
     totals = dr.player_totals(t.player_points)
     if write:
         totals = materialize(totals, "player_totals")
-    out = all_reports(beats, rank, t.picks, t.players, totals, t.draft_rosters, t.users)
+    out = all_reports(beats, rank, t.picks, t.players, totals, t.draft_rosters, t.users,
+                      write=write)
     out["scoreboard"] = beats
     out["scoreboard_rank"] = rank
     out["player_totals"] = totals

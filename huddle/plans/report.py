@@ -130,18 +130,31 @@ def run_report(m: DataFrame, weeks=(1, 14), n: int = 10, per_league: bool = True
 
 def run_draft_report(picks: DataFrame, players: DataFrame, totals: DataFrame,
                      draft_rosters: DataFrame, users: DataFrame, n: int = 10,
-                     per_league: bool = True) -> dict[str, DataFrame]:
-    """The six draft-value reports."""
+                     per_league: bool = True,
+                     enriched: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The six draft-value reports. With ``enriched`` (the output of
+    ``draft.enrich_picks``, e.g. written bucketed by league) all six derive from
+    that one table instead of joining the inputs again per report."""
     from huddle.operators import draft as dr
+    if enriched is None:
+        return {
+            "late_round_steals": dr.late_round_steals(picks, players, totals, draft_rosters,
+                                                      users, n, per_league),
+            "bracket_averages": dr.bracket_averages(picks, players, totals),
+            "positional_performance": dr.positional_performance(picks, players, totals),
+            "worst_value_picks": dr.worst_value_picks(picks, players, totals, draft_rosters,
+                                                      users, n, per_league),
+            "biggest_busts": dr.biggest_busts(picks, players, totals, draft_rosters, users, n,
+                                              per_league),
+            "skill_steals": dr.skill_steals(picks, players, totals, draft_rosters, users, n,
+                                            per_league),
+        }
+    e = enriched
     return {
-        "late_round_steals": dr.late_round_steals(picks, players, totals, draft_rosters, users,
-                                                  n, per_league),
-        "bracket_averages": dr.bracket_averages(picks, players, totals),
-        "positional_performance": dr.positional_performance(picks, players, totals),
-        "worst_value_picks": dr.worst_value_picks(picks, players, totals, draft_rosters, users,
-                                                  n, per_league),
-        "biggest_busts": dr.biggest_busts(picks, players, totals, draft_rosters, users, n,
-                                          per_league),
-        "skill_steals": dr.skill_steals(picks, players, totals, draft_rosters, users, n,
-                                        per_league),
+        "late_round_steals": dr.steals_from(e, n, per_league),
+        "bracket_averages": dr.bracket_averages_from(e),
+        "positional_performance": dr.positional_performance_from(e),
+        "worst_value_picks": dr.worst_value_picks_from(e, n, per_league),
+        "biggest_busts": dr.biggest_busts_from(e, n, per_league),
+        "skill_steals": dr.steals_from(e, n, per_league, skill_only=True),
     }

@@ -100,3 +100,16 @@ def test_scoreboard_join_is_co_partitioned_without_broadcasts(spark):
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in p and "BroadcastExchange" not in p
     assert len(hash_exchanges(p)) == 3
+
+
+def test_every_pipeline_report_runs_without_a_shuffle(spark):
+    from huddle.plans.pipeline import fixture_pipeline
+    out = fixture_pipeline(spark, SF_DIR, write=True)
+    try:
+        reports = {k: v for k, v in out.items()
+                   if k not in ("scoreboard", "scoreboard_rank", "player_totals")}
+        assert len(reports) == 30
+        for name, df in reports.items():
+            assert "Exchange" not in plan(df), name
+    finally:
+        release(spark)
