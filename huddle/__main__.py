@@ -4,6 +4,7 @@
     python -m huddle report --landing DIR --out DIR --show standings
     python -m huddle sql --landing DIR --out DIR "SELECT ... FROM matchups ..."
     python -m huddle ingest --landing DIR --table DIR   (new weekly files only)
+    python -m huddle tables --sf-dir DIR --out DIR      (the driver's test tables)
 
 ``report`` compacts the payloads, builds the scoreboards once and writes each
 report as a parquet table under ``--out/reports/<name>``. ``sql`` runs one
@@ -26,6 +27,10 @@ def main(argv: list[str] | None = None) -> int:
     sub = ap.add_subparsers(dest="cmd", required=True)
     rep = sub.add_parser("report", help="write every report as parquet")
     sql = sub.add_parser("sql", help="ad-hoc SQL over the scoreboard view 'matchups'")
+    tab = sub.add_parser("tables", help="every report over the test tables (FIXTURES.md part B)")
+    tab.add_argument("--sf-dir", required=True, help="folder with events/customer/part/lineitem")
+    tab.add_argument("--out", required=True, help="output folder for the reports")
+    tab.add_argument("--show", nargs="*", default=[], help="reports to print (a sample)")
     ing = sub.add_parser("ingest", help="append newly landed weekly payloads to a table")
     ing.add_argument("--landing", required=True, help="root of the landed payloads")
     ing.add_argument("--table", required=True, help="append-only weekly table (parquet)")
@@ -50,6 +55,19 @@ def main(argv: list[str] | None = None) -> int:
         q.awaitTermination()
         print(q.lastProgress and {"rows": q.lastProgress.get("numInputRows")})
         return 0 if q.exception() is None else 1
+    if args.cmd == "tables":
+        from huddle.plans.pipeline import fixture_pipeline
+        try:
+            reports = fixture_pipeline(spark, args.sf_dir, write=True)
+            for name, df in reports.items():
+                df.write.mode("overwrite").parquet(f"{args.out.rstrip('/')}/reports/{name}")
+            print(row_counts(spark))
+            for name in args.show:
+                df = reports[name]
+                (ordered(df, name) if name in ORDERS else df).show(50, truncate=False)
+            return 0
+        finally:
+            release(spark)
     out = args.out.rstrip("/")
     try:
         weeks = tuple(getattr(args, "weeks", (1, 14)))

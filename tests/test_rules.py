@@ -410,3 +410,13 @@ def test_player_display_names(spark, root):
     got = sorted(tuple(r) for r in landing.player_display_names(
         ids, landing.players(spark, root)).collect())
     assert got == [("p1", "One"), ("p4", "Player_p4"), ("p9", "Player_p9")]
+
+
+def test_tables_command(tmp_path):
+    from huddle.__main__ import main
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("driver tables missing")
+    out = str(tmp_path / "t")
+    assert main(["tables", "--sf-dir", sf, "--out", out, "--show", "standings"]) == 0
+    assert os.path.isdir(os.path.join(out, "reports", "standings"))
