@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from huddle.llm import idcoder, packing
+from huddle.llm import idcoder, neardup, packing, toxicity
 from huddle.llm.common import table
 from huddle.llm.tokens import default_tokenizer
 from huddle.session import scratch_path
@@ -14,13 +14,23 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), default_tokenizer())
 
 
+def op7_fast_similarity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "ids")
     idcoder.write_ids(table(spark, sf_dir, "documents"), path, default_tokenizer())
     return idcoder.read_ids(spark, path)
 
 
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_fast_similarity_sketch": op7_fast_similarity_sketch,
     "op8_range_coder": op8_range_coder,
+    "op10_kneser_ney": op10_kneser_ney,
 }
