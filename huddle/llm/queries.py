@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from huddle.llm import idcoder, neardup, packing, toxicity
+from huddle.llm import decontam, idcoder, neardup, packing, quality, toxicity
 from huddle.llm.common import table
 from huddle.llm.tokens import default_tokenizer
 from huddle.session import scratch_path
@@ -14,6 +15,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), default_tokenizer())
 
 
+def op5_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_fast_similarity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -24,13 +29,22 @@ def op8_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idcoder.read_ids(spark, path)
 
 
+def op9_empirical_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "source", "lang", F.col("_evidence").alias("evidence"), F.col("_host").alias("host_posterior"),
+                       F.col("_path").alias("path_posterior"), F.col("_score").alias("score"),
+                       (F.col("_score") >= quality.KEEP_FROM).alias("kept"))
+
+
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_qgram_lemma": op5_qgram_lemma,
     "op7_fast_similarity_sketch": op7_fast_similarity_sketch,
     "op8_range_coder": op8_range_coder,
+    "op9_empirical_bayes": op9_empirical_bayes,
     "op10_kneser_ney": op10_kneser_ney,
 }
