@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from huddle.llm import decontam, neardup, packing, quality
+from huddle.llm import decontam, neardup, packing, pii, quality
 from huddle.llm.common import table, written
 from huddle.llm.tokens import default_tokenizer
 
@@ -36,7 +36,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: personal data and the terms that reveal it are replaced in the texts."""
-    return docs
+    return pii.sanitised(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huddle.llm import decontam, idcoder, neardup, packing, quality, toxicity
+from huddle.llm import decontam, idcoder, neardup, packing, pii, quality, toxicity
 from huddle.llm.common import table
 from huddle.llm.tokens import default_tokenizer
 from huddle.session import scratch_path
 
 
+def op2_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), default_tokenizer())
 
@@ -41,6 +45,7 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_disclosure": op2_disclosure,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_qgram_lemma": op5_qgram_lemma,
     "op7_fast_similarity_sketch": op7_fast_similarity_sketch,
