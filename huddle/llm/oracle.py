@@ -3,5 +3,31 @@
 from __future__ import annotations
 
 
+from huddle.llm.sharding import BYTE_LIMIT, HASH_BITS
+
+# A document's depth is the least at which all documents of its prefix fit.
+EXTENDIBLE_HASHING = f"""
+WITH d AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
+         CAST('0x' || substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', coalesce(text, ''))), 1, 15) AS BIGINT) AS hash
+  FROM documents),
+sums AS (
+  SELECT depth, hash >> ({HASH_BITS} - depth) AS prefix, sum(n_bytes) AS bytes
+  FROM d, range(0, {HASH_BITS + 1}) AS r(depth) GROUP BY ALL),
+leaf AS (
+  SELECT DISTINCT d.hash, min(s.depth) FILTER (s.bytes <= {BYTE_LIMIT}) OVER (PARTITION BY d.hash) AS fit
+  FROM (SELECT DISTINCT hash FROM d) d JOIN sums s ON s.prefix = d.hash >> ({HASH_BITS} - s.depth)),
+placed AS (
+  SELECT d.*, coalesce(fit, {HASH_BITS}) AS depth, fit IS NULL AS overflow,
+         row_number() OVER (PARTITION BY d.hash) - 1 AS i
+  FROM d JOIN leaf USING (hash)),
+paged AS (
+  SELECT *, CAST(CASE WHEN overflow THEN i // greatest({BYTE_LIMIT} // greatest(n_bytes, 1), 1) ELSE 0 END AS INTEGER) AS page FROM placed)
+SELECT doc_id, n_bytes, CAST(depth AS INTEGER) AS depth, page,
+       CASE WHEN depth = 0 THEN '' ELSE lpad(bin(hash >> ({HASH_BITS} - depth)), CAST(depth AS INTEGER), '0') END || '.' || page AS shard
+FROM paged
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_extendible_hashing": EXTENDIBLE_HASHING}

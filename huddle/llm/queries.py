@@ -5,16 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huddle.llm import decontam, idcoder, neardup, packing, pii, quality, toxicity
+from huddle.llm import ann, decontam, idcoder, licenses, neardup, packing, pii, quality, sharding, toxicity
 from huddle.llm.common import table
 from huddle.llm.tokens import default_tokenizer
 from huddle.session import scratch_path
 
 
+def op1_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 def op2_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # documents has no paths: source, language and runs of 100 ids stand for directories
+    path = F.concat_ws("/", "source", "lang", F.expr("cast(doc_id div 100 as string)"), F.col("doc_id").cast("string"))
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), default_tokenizer())
 
@@ -23,6 +34,10 @@ def op5_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_fast_similarity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,9 +60,12 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_extendible_hashing": op1_extendible_hashing,
     "op2_disclosure": op2_disclosure,
+    "op3_license_scan": op3_license_scan,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_qgram_lemma": op5_qgram_lemma,
+    "op6_permutation_index": op6_permutation_index,
     "op7_fast_similarity_sketch": op7_fast_similarity_sketch,
     "op8_range_coder": op8_range_coder,
     "op9_empirical_bayes": op9_empirical_bayes,
