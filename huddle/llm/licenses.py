@@ -152,7 +152,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), "text")
     index = Index()
     counted = rows.select("text").mapInArrow(lambda it: _frequencies(it, index), "word long, n long").groupBy("word").agg(
-        F.sum("n").alias("n")).toPandas().set_index("word")["n"]           # as many rows as templates have words
+        F.sum("n").alias("n")).toArrow().to_pandas().set_index("word")["n"]           # as many rows as templates have words
     having = np.array([counted.get(k, 0) for k in range(len(index.vocab))], float)
     sent = spark.sparkContext.broadcast(index.weigh(float(counted.get(-1, 0)), having))
     own = written(rows.mapInArrow(lambda it: _own(it, sent), "doc_id long, path string, own string, score double, share double")

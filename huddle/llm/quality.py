@@ -86,7 +86,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> np.ndar
     one = lambda q: known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
     rows = one(0).unionByName(one(1))                  # at most 2 * fit_docs rows of two numbers: a proven bound
     got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id").select(
-        "quality", _shares("text").alias("x")).toPandas()
+        "quality", _shares("text").alias("x")).toArrow().to_pandas()
     y = got["quality"].to_numpy(float)
     if not 0 < y.sum() < len(y):
         return None

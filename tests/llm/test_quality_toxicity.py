@@ -86,7 +86,7 @@ def test_toxicity_without_labels(corpus):
     assert toxicity.score(docs.filter("false"), labels).count() == 0
 
 
-def test_spread_estimate():
+def test_spread_estimate(spark):
     """The sketch of the words before a word, against a plain count."""
     import pyarrow as pa
     from huddle.llm.shingles import words
@@ -99,11 +99,12 @@ def test_spread_estimate():
     class Sent:
         value = vocab
     out = next(toxicity._spread([pa.RecordBatch.from_pydict({"text": [text]})], Sent)).to_pydict()
-    est = toxicity.spread_estimate(np.array(out["cell"]), np.array(out["rank"]), len(vocab))
+    cells = spark.createDataFrame(list(zip(out["cell"], out["rank"])), "cell long, rank int")
+    est = {r.word: r.spread for r in toxicity.spread_estimate(cells).collect()}
     for n in (3, 40, 2000):
         raw = np.frombuffer(f"target{n}".encode(), np.uint8)
         key = words(raw, np.array([0, len(raw)]), toxicity._GAPS)[0]
-        assert 0.4 < est[np.searchsorted(vocab, key[0])] / (n * 0.95) < 1.9
+        assert 0.4 < est[int(np.searchsorted(vocab, key[0]))] / (n * 0.95) < 1.9
 
 
 def test_no_python_state_of_doc_ids(corpus):
