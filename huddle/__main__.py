@@ -4,11 +4,13 @@
     python -m huddle report --landing DIR --out DIR --show standings
     python -m huddle sql --landing DIR --out DIR "SELECT ... FROM matchups ..."
     python -m huddle ingest --landing DIR --table DIR   (new weekly files only)
+    python -m huddle report --landing DIR --out DIR --table DIR   (weeks from the ingest's table)
     python -m huddle tables --sf-dir DIR --out DIR      (the driver's test tables)
 
 ``report`` compacts the payloads, builds the scoreboards once and writes each
 report as a parquet table under ``--out/reports/<name>``. ``sql`` runs one
-statement over the scoreboard view ``matchups`` and prints a sample of it.
+statement over the scoreboard view ``matchups``, writes its whole result to
+``--out/sql`` and prints a sample of it.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ def main(argv: list[str] | None = None) -> int:
     for p in (rep, sql):
         p.add_argument("--landing", required=True, help="root of the landed payloads")
         p.add_argument("--out", required=True, help="output folder (compacted tables, reports)")
+        p.add_argument("--table", default=None,
+                       help="weekly table of the ingest command, read in place of landed weekly files")
     rep.add_argument("--show", nargs="*", default=[], help="reports to print (a sample)")
     rep.add_argument("--weeks", nargs=2, type=int, default=[1, 14], metavar=("FIRST", "LAST"),
                      help="completed-week range of the weekly report (default 1 14)")
@@ -73,7 +77,8 @@ def main(argv: list[str] | None = None) -> int:
         weeks = tuple(getattr(args, "weeks", (1, 14)))
         reports = landing_pipeline(spark, args.landing, f"{out}/compacted", weeks=weeks,
                                    n=getattr(args, "top", 10),
-                                   per_league=not getattr(args, "across_leagues", False))
+                                   per_league=not getattr(args, "across_leagues", False),
+                                   table=getattr(args, "table", None))
         if args.cmd == "report":
             for name, df in reports.items():
                 df.write.mode("overwrite").parquet(f"{out}/reports/{name}")
@@ -85,7 +90,10 @@ def main(argv: list[str] | None = None) -> int:
             res = adhoc(spark, args.statement, reports["scoreboard"], reports["matchups_raw"])
             if res is None:
                 return 1
-            res.show(50, truncate=False)
+            # the whole result is written; what is printed is a preview
+            res.write.mode("overwrite").parquet(f"{out}/sql")
+            spark.read.schema(res.schema).parquet(f"{out}/sql").show(50, truncate=False)
+            print(f"whole result: {out}/sql")
         return 0
     finally:
         release(spark)

@@ -5,13 +5,13 @@ Two things decide whether two engines print the same number:
 * rounding: the report rounds with ``round(x * 10^n) / 10^n`` on doubles,
   half away from zero. Spark's own ``round(x, n)`` rounds the shortest decimal
   text of ``x`` instead, which differs on values such as 1.005.
-* averages of 2-decimal scores: summing doubles depends on the order of the
+* averages of decimal scores: summing doubles depends on the order of the
   additions, so an average lying on a half cent may round either way.
 
-Scores are therefore summed exactly as integer hundredths (``units``: the
-nearest integer of ``x * 100``, exact for scores with at most two decimals)
-in 64-bit integer arithmetic, and turned into a double once: an exact integer
-divided by 100 is the correctly rounded value, the same number a decimal sum
+Scores are therefore summed exactly as integer millionths (``units``) in 64-bit
+integer arithmetic, and turned into a double once; a score that isn't a whole
+number of millionths raises an error, it is never rounded. An exact integer
+divided by 10^6 is the correctly rounded value, the same number a decimal sum
 cast to double gives, independent of order and parallelism. Integer sums
 stay in primitive, code-generated arithmetic (a ``decimal(28,2)`` sum buffer
 allocates an object per addition), which matters in the raw-event aggregation.
@@ -22,8 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Scores carry two decimals.
-SCORE_SCALE = 2
+# Decimals that a score may carry; a ninth of a billion still fits the sums.
+SCORE_SCALE = 6
 
 
 def _c(col: Column | str) -> Column:
@@ -44,12 +44,16 @@ def round_ref(col: Column | str, n: int = 2) -> Column:
 
 
 def units(col: Column | str, scale: int = SCORE_SCALE) -> Column:
-    """A score as an exact count of ``10^-scale`` units (bigint), rounding half
-    away from zero like a decimal cast."""
+    """A score as an exact count of ``10^-scale`` units (bigint).
+
+    Raises an error for a score that has more decimals (or is too large) to be one.
+    """
     c = _c(col)
     f = F.lit(float(10 ** scale))
-    half = F.lit(0.5)
-    return F.when(c < 0, -F.floor(-c * f + half)).otherwise(F.floor(c * f + half))
+    whole = F.rint(c * f).cast("bigint")
+    wrong = F.raise_error(F.concat(F.lit(f"score with more than {scale} decimals: "), c.cast("string")))
+    return F.when(c.isNull(), F.lit(None).cast("bigint")).when(
+        whole.cast("double") / f == c, whole).otherwise(wrong.cast("bigint"))
 
 
 def from_units(col: Column | str, scale: int = SCORE_SCALE) -> Column:

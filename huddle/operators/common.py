@@ -27,6 +27,7 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int = 10, per_league: bool
         w = Window.partitionBy(*keys).orderBy(*order)
         out = df.withColumn(name, F.row_number().over(w).cast("bigint")).filter(F.col(name) <= n)
     else:
+        order = [*order, *[F.col(k).asc() for k in keys]]  # unique across leagues too
         limited = df.orderBy(*order).limit(n)
         w = Window.orderBy(*order)  # over at most n rows
         out = limited.withColumn(name, F.row_number().over(w).cast("bigint"))

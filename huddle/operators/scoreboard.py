@@ -88,8 +88,10 @@ def with_top_player(weekly: DataFrame) -> DataFrame:
                       F.col("_top.score").alias("top_player_score"), "players_json")
 
 
-def matchups_raw(weekly: DataFrame, rosters: DataFrame, users: DataFrame) -> DataFrame:
-    """Team-week records with team names and top players (no win flag yet).
+def matchups_raw(weekly: DataFrame, rosters: DataFrame, users: DataFrame,
+                 extra: tuple[str, ...] = ()) -> DataFrame:
+    """Team-week records with team names and top players (no win flag yet);
+    ``extra`` columns of ``weekly`` are kept.
 
     Joined to the per-league roster map on ``league_id`` only: the result is
     hash-partitioned by league, which every later window and aggregate (all
@@ -101,7 +103,7 @@ def matchups_raw(weekly: DataFrame, rosters: DataFrame, users: DataFrame) -> Dat
     return joined.select(
         LEAGUE, "week", "roster_id",
         matchup_team_name(owner["metadata"], F.col("roster_id")).alias("team_name"),
-        "matchup_id", "points", "top_player_id", "top_player_score", "players_json")
+        "matchup_id", "points", "top_player_id", "top_player_score", "players_json", *extra)
 
 
 def _matchup_window() -> Window:

@@ -27,42 +27,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 from huddle.operators import draft as dr
 from huddle.operators import scoreboard as sb
-from huddle.plans.report import (materialize, run_draft_report, run_report,
+from huddle.plans.report import (buckets_for, materialize, run_draft_report, run_report,
                                  run_season_stats)
 from huddle.sources import fixture as fx
 from huddle.sources import landing
+from huddle.streaming.ingest import SOURCE_COLUMNS, current_rows
 
 
-def build_scoreboards(weekly_report: DataFrame, weekly_season: DataFrame | None,
-                      rosters: DataFrame, users: DataFrame, write: bool = True,
-                      with_raw: bool = False):
+def build_scoreboards(weekly: DataFrame, rosters: DataFrame, users: DataFrame,
+                      write: bool = True, buckets: int | None = None):
     """(beats scoreboard over the report weeks, rank scoreboard over the season
-    weeks[, team-weeks of the report]). With one weekly source for both,
-    team-weeks are built once."""
+    weeks, team-weeks of the report). Names and top players are found once; with the
+    flags of ``landing.flagged_weeks`` each scoreboard takes its own weeks."""
     def keep(df: DataFrame, name: str) -> DataFrame:
-        return materialize(df, name, bucket_by="league_id") if write else df
+        return materialize(df, name, bucket_by="league_id", buckets=buckets) if write else df
 
-    raw_report = keep(sb.matchups_raw(weekly_report, rosters, users), "matchups_raw")
-    if weekly_season is None:
-        raw_season = raw_report
-    else:
-        raw_season = keep(sb.matchups_raw(weekly_season, rosters, users), "matchups_raw_season")
-    beats = keep(sb.matchups(raw_report, "beats"), "scoreboard_beats")
-    rank = keep(sb.matchups(raw_season, "rank"), "scoreboard_rank")
-    return (beats, rank, raw_report) if with_raw else (beats, rank)
+    flags = tuple(c for c in ("in_report", "in_season") if c in weekly.columns)
+    raw = keep(sb.matchups_raw(weekly, rosters, users, flags), "matchups_raw")
+    of = lambda flag: (raw.filter(flag) if flags else raw).drop(*flags)
+    beats = keep(sb.matchups(of("in_report"), "beats"), "scoreboard_beats")
+    rank = keep(sb.matchups(of("in_season"), "rank"), "scoreboard_rank")
+    return beats, rank, of("in_report")
 
 
 def all_reports(beats: DataFrame, rank: DataFrame, picks: DataFrame, players: DataFrame,
                 totals: DataFrame, draft_rosters: DataFrame, users: DataFrame,
                 weeks=(1, 14), n: int = 10, per_league: bool = True,
-                write: bool = True) -> dict[str, DataFrame]:
+                write: bool = True, buckets: int | None = None) -> dict[str, DataFrame]:
     """Every report. With ``write`` the picks are enriched once (catalog,
     totals, drafting team) and written bucketed by league, so the six draft
     reports run without a shuffle, like the scoreboard reports."""
     enriched = None
     if write:
         enriched = materialize(dr.enrich_picks(picks, players, totals, draft_rosters, users),
-                               "picks_enriched", bucket_by="league_id")
+                               "picks_enriched", bucket_by="league_id", buckets=buckets, exchange=buckets is not None)
     out: dict[str, DataFrame] = {}
     out.update(run_season_stats(rank, n, per_league))
     out.update(run_report(beats, weeks, n, per_league))
@@ -74,7 +72,7 @@ def all_reports(beats: DataFrame, rank: DataFrame, picks: DataFrame, players: Da
 def fixture_pipeline(spark: SparkSession, sf_dir: str, write: bool = True) -> dict[str, DataFrame]:
     """All reports over the driver tables (one weekly source for both rules)."""
     t = fx.load(spark, sf_dir)
-    beats, rank = build_scoreboards(t.weekly, None, t.rosters, t.users, write)
+    beats, rank, _ = build_scoreboards(t.weekly, t.rosters, t.users, write)
     totals = dr.player_totals(t.player_points)
     if write:
         totals = materialize(totals, "player_totals")
@@ -88,26 +86,32 @@ def fixture_pipeline(spark: SparkSession, sf_dir: str, write: bool = True) -> di
 
 def landing_pipeline(spark: SparkSession, root: str, out_dir: str,
                      weeks: tuple[int, int] = (1, 14), per_league: bool = True,
-                     n: int = 10) -> dict[str, DataFrame]:
+                     n: int = 10, table: str | None = None) -> dict[str, DataFrame]:
     """All reports over landed JSON: parse once into parquet, then report.
     ``weeks`` is the completed-week range of the weekly report; top-n lists
     rank within each league, or across all leagues with ``per_league=False``.
 
-    The parsed weekly rows, the largest input, are written bucketed by league
-    (in the checkpoint folder), so the first-empty-week window and the roster
-    join of both scoreboards read them without a shuffle.
+    The parsed weekly rows, the largest input, are exchanged by league once and
+    written bucketed (in the checkpoint folder), so the windows over a league and
+    the roster join of both scoreboards read them without a shuffle.
+
+    ``table``: weekly rows come from the table of the incremental ingest, not from
+    the landed files. ``broken`` lists the payloads that can't be read.
     """
     paths = landing.compact(spark, root, out_dir, weekly=False)
     read = spark.read.parquet
     users, rosters = read(paths["users"]), read(paths["rosters"])
-    weekly = materialize(landing.weekly_parsed(spark, root), "weekly", bucket_by="league_id")
-    weekly_report = landing.report_weeks(weekly)
-    beats, rank, raw = build_scoreboards(weekly_report, landing.season_weeks(weekly), rosters,
-                                         users, with_raw=True)
+    buckets = buckets_for(spark, table or root)
+    parsed = current_rows(spark, table).drop(*SOURCE_COLUMNS) if table else landing.weekly_parsed(spark, root)
+    weekly = materialize(parsed, "weekly", bucket_by="league_id", buckets=buckets, exchange=True)
+    flagged = landing.flagged_weeks(weekly)
+    weekly_report = flagged.filter("in_report")
+    beats, rank, raw = build_scoreboards(flagged, rosters, users, buckets=buckets)
     totals = materialize(dr.player_totals(dr.player_points_from_weekly(weekly_report)),
                          "player_totals")
     out = all_reports(beats, rank, read(paths["picks"]), read(paths["players"]), totals,
-                      rosters, users, weeks=weeks, n=n, per_league=per_league)
+                      rosters, users, weeks=weeks, n=n, per_league=per_league, buckets=buckets)
+    out["broken"] = landing.broken_payloads(spark, root)
     out["scoreboard"] = beats
     out["scoreboard_rank"] = rank
     out["matchups_raw"] = raw

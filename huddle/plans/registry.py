@@ -11,7 +11,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from huddle.functions.numeric import from_units
+from pyspark.sql import functions as F
+
+from huddle.functions.display import with_position
+from huddle.functions.numeric import exact_avg, from_units
 from huddle.operators import draft as dr
 from huddle.operators import headtohead as h2h
 from huddle.operators import leaderboards as lb
@@ -28,40 +31,44 @@ ADHOC_SQL = (
 )
 
 
-def _plans(spark: SparkSession) -> dict:
-    """Per-session store of built (lazy, data-free) DataFrames. Reusing a plan
-    object only saves rebuilding it on the driver; every query still reads
-    and computes from the raw tables when it runs (nothing is cached)."""
-    return spark.__dict__.setdefault("_huddle_plans", {})
-
-
-def scoreboard(spark: SparkSession, sf_dir: str, rule: str = "beats",
-               coarse: bool = False) -> DataFrame:
-    key = ("scoreboard", sf_dir, rule, coarse)
-    plans = _plans(spark)
-    if key not in plans:
-        raw = sb.matchups_raw(fx.weekly(spark, sf_dir, coarse), fx.rosters(spark, sf_dir),
-                              fx.users(spark, sf_dir))
-        plans[key] = sb.matchups(raw, rule)
-    return plans[key]
+def scoreboard(spark: SparkSession, sf_dir: str, rule: str = "beats", coarse: bool = False,
+               weeks: tuple[int, int] | None = None, eighths: bool = False) -> DataFrame:
+    raw = sb.matchups_raw(fx.weekly(spark, sf_dir, coarse, weeks, eighths), fx.rosters(spark, sf_dir),
+                          fx.users(spark, sf_dir))
+    return sb.matchups(raw, rule)
 
 
 def _draft_inputs(spark: SparkSession, sf_dir: str):
-    key = ("draft", sf_dir)
-    plans = _plans(spark)
-    if key not in plans:
-        totals = dr.player_totals(fx.player_points(spark, sf_dir))
-        plans[key] = (fx.picks(spark, sf_dir), fx.players(spark, sf_dir), totals,
-                      fx.draft_rosters(spark, sf_dir), fx.users(spark, sf_dir))
-    return plans[key]
+    totals = dr.player_totals(fx.player_points(spark, sf_dir))
+    return (fx.picks(spark, sf_dir), fx.players(spark, sf_dir), totals,
+            fx.draft_rosters(spark, sf_dir), fx.users(spark, sf_dir))
 
 
 def _season(fn, coarse: bool = False):
     return lambda spark, d: fn(scoreboard(spark, d, "rank", coarse))
 
 
+# The weekly report reads its weeks and no others.
+COMPLETED_WEEKS = (1, 14)
+
+
 def _weekly(fn):
-    return lambda spark, d: fn(scoreboard(spark, d, "beats"))
+    return lambda spark, d: fn(scoreboard(spark, d, "beats", weeks=COMPLETED_WEEKS))
+
+
+def _season_global(fn):
+    return lambda spark, d: fn(scoreboard(spark, d, "rank"), per_league=False)
+
+
+def _b06(spark, d):
+    m = scoreboard(spark, d, "beats", weeks=COMPLETED_WEEKS, eighths=True)
+    return sb.played(m).groupBy("league_id", "team_name").agg(
+        F.count("*").alias("games"), F.round(exact_avg("points"), 7).alias("avg_points"), F.min("points").alias("least"))
+
+
+def _o02(spark, d):
+    """The standings as printed: each row with its place in its league."""
+    return with_position(lb.standings(scoreboard(spark, d, "beats", weeks=COMPLETED_WEEKS)), "standings")
 
 
 def _draft_full(fn):
@@ -124,9 +131,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q27_worst_value_picks": _draft_full(dr.worst_value_picks),
     "q28_biggest_busts": _draft_full(dr.biggest_busts),
     "q29_skill_steals": _draft_full(dr.skill_steals),
-    # a new DataFrame per call (the shared plan object keeps its own physical plan)
-    "b01_matchups_beats": lambda spark, d: scoreboard(spark, d, "beats", coarse=True).select("*"),
-    "b02_matchups_rank": lambda spark, d: scoreboard(spark, d, "rank", coarse=True).select("*"),
+    "b01_matchups_beats": lambda spark, d: scoreboard(spark, d, "beats", coarse=True),
+    "b01_matchups_beats_exact": lambda spark, d: scoreboard(spark, d, "beats"),
+    "b02_matchups_rank": lambda spark, d: scoreboard(spark, d, "rank", coarse=True),
+    "b02_matchups_rank_exact": lambda spark, d: scoreboard(spark, d, "rank"),
+    "b06_fine_scores": _b06,
+    "q05_own_low_wins_exact": _season(lb.own_low_wins),
+    "q06_own_high_losses_exact": _season(lb.own_high_losses),
+    "o02_standings_order": _o02,
+    "w04_global_top": _season_global(lb.top_scores_all),
+    "w05_global_low": _season_global(lb.low_scores_all),
     "b03_player_totals": _b03,
     "b04_top_player": _b04,
     "b05_opponent_names": _b05,

@@ -32,8 +32,19 @@ def _bucket_count(spark: SparkSession) -> int:
         return 200
 
 
+BUCKET_BYTES = 128 << 20
+
+
+def buckets_for(spark: SparkSession, path: str) -> int:
+    """Buckets for what is read from ``path``: one for each 128 MB, and at least as many
+    as shuffle partitions."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return max(_bucket_count(spark), -(-size // BUCKET_BYTES))
+
+
 def materialize(df: DataFrame, name: str, bucket_by: str | None = None,
-                buckets: int | None = None) -> DataFrame:
+                buckets: int | None = None, exchange: bool = False) -> DataFrame:
     """Write ``df`` to a fresh folder under the shared checkpoint root and
     return the re-read table.
 
@@ -42,7 +53,8 @@ def materialize(df: DataFrame, name: str, bucket_by: str | None = None,
     rows are hash-partitioned by league, so every later window or aggregate
     keyed by league (plus more) runs without a shuffle. An input that is
     already hash-partitioned by league into the same number of partitions
-    writes one file per bucket.
+    writes one file per bucket; any other needs ``exchange``, or each task writes
+    a file into every bucket.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
@@ -54,6 +66,8 @@ def materialize(df: DataFrame, name: str, bucket_by: str | None = None,
         df.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
     n = buckets or _bucket_count(spark)
+    if exchange:
+        df = df.repartition(n, bucket_by)
     table = f"huddle_{name}_{uuid.uuid4().hex[:12]}"
     df.write.format("parquet").bucketBy(n, bucket_by).option("path", path).saveAsTable(table)
     spark.__dict__.setdefault("_huddle_tables", []).append(table)

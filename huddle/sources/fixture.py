@@ -1,7 +1,7 @@
 """The driver's test tables mapped onto the canonical frames.
 
 The mapping is the one written down in FIXTURES.md part B: ``events`` become
-team-weeks (ten teams per league, day of year as week, event types as players),
+team-weeks (ten teams per league, day of the season as week, event types as players),
 ``customer`` gives owners and team names, ``part`` the draft board and player
 catalog, ``lineitem`` the player points. Every frame is derived by Spark from
 the whole tables, so the work grows with them.
@@ -10,12 +10,15 @@ the whole tables, so the work grows with them.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from huddle.functions.numeric import from_units, units
 
+SEASON_START = date(2024, 1, 1)  # week 1; a day of events is a week
+PENALISED = 11             # players whose number it divides score negatively
 TEAMS_PER_LEAGUE = 10      # league_id = user_id div 10
 PICKS_PER_LEAGUE = 200     # draft league_id = p_partkey div 200
 UNLISTED_SIZE = 50         # parts of this size are missing from the catalog
@@ -34,29 +37,34 @@ NAMELESS_POSITION = "DEF"  # catalog entries of this position carry no full_name
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The driver table as a DataFrame; the relation (file listing and footer
-    schema) is resolved once per session and path and then reused."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    cache = spark.__dict__.setdefault("_huddle_relations", {})
-    if path not in cache:
-        cache[path] = spark.read.parquet(path)
-    return cache[path]
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def weekly(spark: SparkSession, sf_dir: str, coarse: bool = False) -> DataFrame:
+def _in_weeks(ts, weeks: tuple[int, int]):
+    """The time range of ``weeks``: a plain comparison, which the scan can use to skip data."""
+    day = lambda n: F.lit(SEASON_START + timedelta(days=n))
+    return (ts >= day(weeks[0] - 1).cast("timestamp")) & (ts < day(weeks[1]).cast("timestamp"))
+
+
+def weekly(spark: SparkSession, sf_dir: str, coarse: bool = False,
+           weeks: tuple[int, int] | None = None, eighths: bool = False) -> DataFrame:
     """Team-week records: one row per (league, week, roster) with events.
 
     ``players_points`` sums each event type's values exactly (integer
-    hundredths); ``players`` lists
+    units); ``players`` lists
     the types alphabetically. ``coarse`` floors points to hundreds, which gives
-    many ties and zero weeks.
+    many ties and zero weeks. ``weeks`` reads only the events of those weeks.
+    ``eighths`` divides every value by 8, which gives scores of up to five decimals.
     """
-    ev = _read(spark, sf_dir, "events").select(
+    raw = _read(spark, sf_dir, "events")
+    if weeks is not None:
+        raw = raw.filter(_in_weeks(F.col("ts"), weeks))
+    ev = raw.select(
         F.expr(f"user_id div {TEAMS_PER_LEAGUE}").alias("league_id"),
-        F.dayofyear("ts").alias("week"),
+        (F.datediff(F.col("ts"), F.lit(SEASON_START)) + 1).alias("week"),
         (F.col("user_id") % TEAMS_PER_LEAGUE).cast("int").alias("roster_id"),
         F.col("event_type").alias("player_id"),
-        units("value").alias("v"),
+        units(F.col("value") / 8 if eighths else F.col("value")).alias("v"),
     )
     # Partial aggregation runs before the shuffle, so a user with a huge share
     # of the events sends at most one row per (day, type) per map task.
@@ -155,9 +163,11 @@ def players(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def player_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Player-week scores: first line of each order, negative for returns."""
-    li = _read(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") == 1)
-    sign = F.when(F.col("l_returnflag") == "R", F.lit(-1.0)).otherwise(F.lit(1.0))
+    """Player-week scores: every order line; negative for returns and for every
+    ``PENALISED``-th player, who so has no positive score at all."""
+    li = _read(spark, sf_dir, "lineitem")
+    negative = (F.col("l_returnflag") == "R") | (F.col("l_partkey") % PENALISED == 0)
+    sign = F.when(negative, F.lit(-1.0)).otherwise(F.lit(1.0))
     return li.select(
         F.expr(f"l_partkey div {PICKS_PER_LEAGUE}").alias("league_id"),
         F.col("l_partkey").cast("string").alias("player_id"),

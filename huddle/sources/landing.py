@@ -17,15 +17,17 @@ and exploded with its list position (``ord``), which decides "first" and
 small, so ``compact`` writes the parsed frames once as parquet tables and
 every report reads those.
 
-Documented deviations from dictionary semantics: a missing ``points`` counts
-as 0 (as the default of the surveyed code) and so does an explicit null; a
-null ``players``/``players_points``/``metadata`` counts as empty instead of
-failing the run.
+A missing ``points`` counts as 0, an explicit null stays NULL. A payload that is not
+a JSON list is *broken*: it is listed by ``broken_payloads``, it ends the weeks that
+are read (as a failed fetch does), and it never counts as an empty week.
+Documented deviation: a null ``players``/``players_points``/``metadata`` counts as
+empty instead of failing the run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -89,21 +91,59 @@ def _weekly_payloads(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return _payloads(spark, root, pattern, "league_id string, week int")
 
 
+def is_broken(value: Column) -> Column:
+    """Whether a payload is anything but a JSON list."""
+    return ~F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(value)), F.lit("ARRAY")), F.lit(False))
+
+
 def weekly_rows(payloads: DataFrame, extra: list[str] | None = None,
                 keep_empty: bool = False) -> DataFrame:
     """Parse weekly payloads ``(league_id, week, value, *extra)`` into weekly
-    rows. ``keep_empty`` leaves one marker row (``ord`` NULL) per empty payload."""
-    extra = extra or []
-    el = _elements(payloads, S.MATCHUP_ELEMENT, ["league_id", "week", *extra], outer=keep_empty)
+    rows. ``keep_empty`` leaves one marker row (``ord`` NULL) per empty payload
+    and per broken one (``broken`` true)."""
+    keep = ["league_id", "week", *(extra or [])]
+    flagged = payloads.withColumn("broken", is_broken(F.col("value")))
+    text = F.when(~F.col("broken"), F.col("value"))
+    # the keys of each element tell a missing score from an explicit null
+    both = F.arrays_zip(F.from_json(text, ArrayType(S.MATCHUP_ELEMENT)).alias("e"),
+                        F.from_json(text, "array<map<string,string>>").alias("keys"))
+    gen = F.posexplode_outer("_both") if keep_empty else F.posexplode("_both")
+    el = flagged.select(*keep, "broken", both.alias("_both")).select(*keep, "broken", gen.alias("ord", "_x"))
+    e = F.col("_x.e")
+    given = F.map_contains_key(F.col("_x.keys"), "points")
     return el.select(
-        "league_id", "week", *extra, "ord", "roster_id", "matchup_id",
-        F.coalesce(F.col("points"), F.lit(0.0)).alias("points"),
-        F.coalesce(F.col("players"), F.array().cast("array<string>")).alias("players"),
-        F.coalesce(F.col("players_points"), F.create_map().cast("map<string,double>"))
-         .alias("players_points"),
+        *keep, F.col("ord").cast("int").alias("ord"), e["roster_id"].alias("roster_id"), e["matchup_id"].alias("matchup_id"),
+        F.when(F.coalesce(given, F.lit(False)), e["points"]).otherwise(F.lit(0.0)).alias("points"),
+        F.coalesce(e["players"], F.array().cast("array<string>")).alias("players"),
+        F.coalesce(e["players_points"], F.create_map().cast("map<string,double>")).alias("players_points"),
+        "broken",
     )
 
 
+# kind of payload -> (path pattern, its partition columns)
+LISTS = {
+    "users": ("league_id=*/users.json", "league_id string"),
+    "rosters": ("league_id=*/rosters.json", "league_id string"),
+    "weekly": ("league_id=*/week=*/matchups*.json", "league_id string, week int"),
+    "drafts": ("league_id=*/drafts.json", "league_id string"),
+    "picks": ("league_id=*/draft_id=*/picks.json", "league_id string, draft_id string"),
+}
+
+
+def broken_payloads(spark: SparkSession, root: str, kinds=tuple(LISTS)) -> DataFrame:
+    """(kind, league_id, path) of every landed payload that can't be read as a list."""
+    out = spark.createDataFrame([], "kind string, league_id string, path string")
+    for kind in kinds:
+        pattern, partitions = LISTS[kind]
+        try:
+            files = _payloads(spark, root, pattern, partitions)
+        except AnalysisException:  # nothing of this kind has landed
+            continue
+        out = out.unionByName(files.select("value", "league_id", F.col("_metadata.file_path").alias("path")).filter(
+            is_broken(F.col("value"))).select(F.lit(kind).alias("kind"), "league_id", "path"))
+    return out
+
+
 def week_sizes(spark: SparkSession, root: str) -> DataFrame:
     """(league_id, week, entries): the length of each weekly payload, empty
     weeks included (the per-week status line of the fetch loop)."""
@@ -128,25 +168,37 @@ def weekly_parsed(spark: SparkSession, root: str, weeks=REPORT_WEEKS) -> DataFra
     return weekly_rows(p, keep_empty=True)
 
 
+def flagged_weeks(rows: DataFrame, regular=REGULAR_WEEKS, playoffs=PLAYOFF_WEEKS,
+                  report=REPORT_WEEKS) -> DataFrame:
+    """The rows of ``weekly_parsed`` without its markers, with two flags.
+
+    ``in_season``: weeks 1-17 and playoff weeks 18-21, each range up to its first broken
+    payload; an empty week adds no rows. ``in_report``: weeks 1-21 up to the
+    league's first empty or broken payload. Both stops come from one window
+    over the league, which also hash-partitions the rows by league for all that
+    follows.
+    """
+    league, week = Window.partitionBy("league_id"), F.col("week")
+    marker = F.col("ord").isNull()
+    broken = marker & F.coalesce(F.col("broken"), F.lit(False))
+
+    def upto(bounds, ends):
+        within = week.between(*bounds)
+        stop = F.min(F.when(ends & within, week)).over(league)
+        return within & (stop.isNull() | (week < stop))
+    flagged = rows.withColumn("in_season", upto(regular, broken) | upto(playoffs, broken)).withColumn(
+        "in_report", upto(report, marker))
+    return flagged.filter(F.col("ord").isNotNull()).drop("broken")
+
+
 def season_weeks(rows: DataFrame, regular=REGULAR_WEEKS, playoffs=PLAYOFF_WEEKS) -> DataFrame:
-    """Season script rule: weeks 1-17 plus playoff weeks 18-21; an empty week
-    adds no rows. The two ranges are disjoint, so the dictionary update of the
-    surveyed code is a plain union here (``merge_weeks`` handles sources that
-    overlap)."""
-    in_range = F.col("week").between(*regular) | F.col("week").between(*playoffs)
-    return rows.filter(in_range & F.col("ord").isNotNull())
+    """The season script's rows of ``weekly_parsed``."""
+    return flagged_weeks(rows, regular, playoffs).filter("in_season").drop("in_season", "in_report")
 
 
 def report_weeks(rows: DataFrame, weeks=REPORT_WEEKS) -> DataFrame:
-    """Weekly report rule: weeks 1-21 of each league up to (not including) its
-    first week whose payload is empty (marker row). The first marker week
-    comes from a window over the league, which also hash-partitions the rows
-    by league for everything downstream."""
-    stop = F.min(F.when(F.col("ord").isNull(), F.col("week"))).over(
-        Window.partitionBy("league_id"))
-    kept = rows.filter(F.col("week").between(*weeks)).withColumn("_stop", stop).filter(
-        F.col("ord").isNotNull() & (F.col("_stop").isNull() | (F.col("week") < F.col("_stop"))))
-    return kept.drop("_stop")
+    """The weekly report's rows of ``weekly_parsed``."""
+    return flagged_weeks(rows, report=weeks).filter("in_report").drop("in_season", "in_report")
 
 
 def weekly_season(spark: SparkSession, root: str) -> DataFrame:

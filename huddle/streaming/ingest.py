@@ -13,13 +13,13 @@ re-fetch of a week lands another file), and a Structured Streaming query:
 ``current_weekly`` turns that append-only table into the weekly frame the
 reports read: for each (league, week) only the newest landed payload counts
 (a later fetch replaces the week, as the dictionary update of the surveyed
-code did), and optionally weeks from the first empty payload on are dropped.
+code did; a broken one never does), and optionally weeks from the first empty payload on are dropped.
 Run it with ``trigger="availableNow"`` after each fetch, or continuously.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -63,20 +63,36 @@ def start_weekly_ingest(spark: SparkSession, root: str, table_path: str,
     return w.start()
 
 
+def current_rows(spark: SparkSession, table_path: str) -> DataFrame:
+    """The rows (and markers) of each (league, week)'s newest payload that isn't broken;
+    of a broken one only if the week has no other.
+
+    The newest version is a partially aggregated maximum, joined back: the rows
+    themselves, with their lists, are moved once and never windowed.
+    """
+    t = spark.read.parquet(table_path)
+    version = F.struct((~F.col("broken")).alias("good"), "landed_at", "source_file")
+    newest = t.groupBy("league_id", "week").agg(F.max(version).alias("_v")).select(
+        "league_id", "week", F.col("_v.source_file").alias("source_file"))
+    return t.join(newest, ["league_id", "week", "source_file"], "left_semi")
+
+
 def current_weekly(spark: SparkSession, table_path: str, weeks: tuple[int, int] | None = None,
                    stop_at_empty: bool = False) -> DataFrame:
     """Weekly frame from the ingested table: the newest payload per
     (league, week); with ``stop_at_empty`` only the weeks before each league's
-    first empty payload (the weekly report's rule)."""
-    t = spark.read.parquet(table_path)
+    first empty or broken payload (the weekly report's rule)."""
+    latest = current_rows(spark, table_path)
     if weeks is not None:
-        t = t.filter(F.col("week").between(*weeks))
-    version = F.struct("landed_at", "source_file")
-    w = Window.partitionBy("league_id", "week")
-    latest = t.withColumn("_v", version).withColumn("_max", F.max("_v").over(w)).filter(
-        F.col("_v") == F.col("_max"))
+        latest = latest.filter(F.col("week").between(*weeks))
     if stop_at_empty:
         latest = landing.report_weeks(latest, weeks or landing.REPORT_WEEKS)
     return latest.filter(F.col("ord").isNotNull()).select(
         "league_id", "week", "ord", "roster_id", "matchup_id", "points", "players",
         "players_points")
+
+
+def compact_weekly(spark: SparkSession, table_path: str, out_path: str) -> None:
+    """Writes the newest version of every week, markers too, as a new table of the
+    same columns, without the versions that later fetches replaced."""
+    current_rows(spark, table_path).write.mode("errorifexists").parquet(out_path)

@@ -57,7 +57,7 @@ def test_driver_mapping_reproduces_documented_counts(spark):
     picks = fx.picks(spark, SF_DIR)
     assert picks.count() == 200 and picks.select("league_id").distinct().count() == 1
     parts = spark.read.parquet(f"{SF_DIR}/part.parquet").count()
-    assert parts - dr.player_totals(fx.player_points(spark, SF_DIR)).count() == 6
+    assert parts - dr.player_totals(fx.player_points(spark, SF_DIR)).count() == 19
 
 
 PIPELINE_TO_QUERY = {
