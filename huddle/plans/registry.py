@@ -22,6 +22,7 @@ from huddle.operators import luck as lk
 from huddle.operators import scoreboard as sb
 from huddle.plans.report import adhoc
 from huddle.sources import fixture as fx
+from huddle.sources import landing, payloads
 
 # The ad-hoc statement registered as x01 (the same text runs in the oracle).
 ADHOC_SQL = (
@@ -44,6 +45,36 @@ def _draft_inputs(spark: SparkSession, sf_dir: str):
             fx.draft_rosters(spark, sf_dir), fx.users(spark, sf_dir))
 
 
+def _s02(spark, d):
+    u = landing.users_from(payloads.users(spark, d))
+    return u.select("league_id", "user_id", F.try_element_at("metadata", F.lit("team_name")).alias("title"))
+
+
+def _s03(spark, d):
+    return landing.rosters_from(payloads.rosters(spark, d)).select("league_id", "roster_id", "owner_id")
+
+
+def _s04(spark, d):
+    w = landing.weekly_rows(payloads.weekly(spark, d))
+    return w.select("league_id", "week", "ord", "roster_id", "matchup_id", "points", F.size("players").cast("bigint").alias("n_players"),
+                    F.array_max(F.map_values("players_points")).alias("best"))
+
+
+def _s05(spark, d):
+    w = landing.flagged_weeks(landing.weekly_rows(payloads.weekly(spark, d), keep_empty=True))
+    return w.groupBy("league_id").agg(*[F.count(F.when(F.col(c), 1)).alias(c) for c in ("in_season", "in_report")])
+
+
+def _s08(spark, d):
+    return landing.picks_from(payloads.picks(spark, d), payloads.drafts(spark, d)).select(
+        "league_id", "ord", "pick_no", "player_id", "roster_id")
+
+
+def _a15(spark, d):
+    return landing.week_sizes_from(payloads.weekly(spark, d)).select(
+        "league_id", "week", F.col("entries").cast("bigint").alias("entries"))
+
+
 def _season(fn, coarse: bool = False):
     return lambda spark, d: fn(scoreboard(spark, d, "rank", coarse))
 
@@ -144,6 +175,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "b03_player_totals": _b03,
     "b04_top_player": _b04,
     "b05_opponent_names": _b05,
+    "s02_users_payload": _s02,
+    "s03_rosters_payload": _s03,
+    "s04_weekly_payload": _s04,
+    "s05_week_rules": _s05,
+    "s08_picks_payload": _s08,
+    "a15_week_sizes": _a15,
     "x01_adhoc_sql": _x01,
     "d01_luck": _weekly(lk.luck),
 }

@@ -75,15 +75,21 @@ def _last_wins(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
 
 def users(spark: SparkSession, root: str) -> DataFrame:
     """Users per league (last element wins on a repeated ``user_id``)."""
-    raw = _payloads(spark, root, "league_id=*/users.json", "league_id string")
-    el = _elements(raw, S.USER_ELEMENT, ["league_id"])
+    return users_from(_payloads(spark, root, "league_id=*/users.json", "league_id string"))
+
+
+def users_from(payloads: DataFrame) -> DataFrame:
+    el = _elements(payloads, S.USER_ELEMENT, ["league_id"])
     return _last_wins(el, "user_id", ["metadata"]).select(*S.USERS_COLUMNS)
 
 
 def rosters(spark: SparkSession, root: str) -> DataFrame:
     """Rosters per league (last element wins on a repeated ``roster_id``)."""
-    raw = _payloads(spark, root, "league_id=*/rosters.json", "league_id string")
-    el = _elements(raw, S.ROSTER_ELEMENT, ["league_id"])
+    return rosters_from(_payloads(spark, root, "league_id=*/rosters.json", "league_id string"))
+
+
+def rosters_from(payloads: DataFrame) -> DataFrame:
+    el = _elements(payloads, S.ROSTER_ELEMENT, ["league_id"])
     return _last_wins(el, "roster_id", ["owner_id"]).select(*S.ROSTERS_COLUMNS)
 
 
@@ -147,8 +153,11 @@ def broken_payloads(spark: SparkSession, root: str, kinds=tuple(LISTS)) -> DataF
 def week_sizes(spark: SparkSession, root: str) -> DataFrame:
     """(league_id, week, entries): the length of each weekly payload, empty
     weeks included (the per-week status line of the fetch loop)."""
-    p = _weekly_payloads(spark, root, "league_id=*/week=*/matchups.json")
-    return p.select("league_id", "week",
+    return week_sizes_from(_weekly_payloads(spark, root, "league_id=*/week=*/matchups.json"))
+
+
+def week_sizes_from(payloads: DataFrame) -> DataFrame:
+    return payloads.select("league_id", "week",
                     F.size(F.from_json("value", ArrayType(S.MATCHUP_ELEMENT))).alias("entries"))
 
 
@@ -221,8 +230,12 @@ def picks(spark: SparkSession, root: str) -> DataFrame:
     """Picks of each league's first listed draft."""
     raw = _payloads(spark, root, "league_id=*/draft_id=*/picks.json",
                     "league_id string, draft_id string")
-    el = _elements(raw, S.PICK_ELEMENT, ["league_id", "draft_id"])
-    first = drafts(spark, root).filter(F.col("ord") == 0).select("league_id", "draft_id")
+    return picks_from(raw, drafts(spark, root))
+
+
+def picks_from(payloads: DataFrame, drafts: DataFrame) -> DataFrame:
+    el = _elements(payloads, S.PICK_ELEMENT, ["league_id", "draft_id"])
+    first = drafts.filter(F.col("ord") == 0).select("league_id", "draft_id")
     return el.join(first, ["league_id", "draft_id"], "left_semi").select(*S.PICKS_COLUMNS)
 
 

@@ -311,7 +311,7 @@ def test_round_ref_on_half_cent(spark):
 def test_landing_pipeline_runs_every_report(spark, root, tmp_path):
     from huddle.plans.pipeline import landing_pipeline
     out = landing_pipeline(spark, root, str(tmp_path / "compacted"))
-    assert len(out) == 34
+    assert len(out) == 35 and out["broken"].count() == 0
     standings = rows(out["standings"])
     assert ("Team_3", 4, 1, 42.0) in standings
     assert rows(out["league"]) == [("Test League",)]
