@@ -33,7 +33,7 @@ PICK_REPORT_COLUMNS = [LEAGUE, "pick_no", "round", "player_name", "pos", "total_
 
 def player_totals(player_points: DataFrame) -> DataFrame:
     """Season total per (league, player) over positive player-week scores,
-    summed exactly as integer hundredths (``total_units``). Map-side partial
+    summed exactly as integer units (``total_units``). Map-side partial
     sums run before the shuffle."""
     return (player_points.filter(F.col("points") > 0)
             .groupBy(LEAGUE, "player_id")
@@ -58,7 +58,11 @@ def enrich_picks(picks: DataFrame, players: DataFrame, totals: DataFrame,
     """Picks with catalog entry, season total, round and drafting team: the
     input of every draft report (``*_from`` functions). Built once, it can be
     written bucketed by league so all six reports run without a shuffle."""
-    cat = players.select("player_id", "attrs", F.lit(True).alias("in_catalog"))
+    # only what the reports show is joined, not the whole attribute map
+    cat = players.select("player_id", player_name(F.col("attrs"), F.col("player_id")).alias("_name"),
+                         player_position(F.col("attrs")).alias("_pos"),
+                         F.try_element_at(F.col("attrs"), F.lit("position")).alias("position"),
+                         F.lit(True).alias("in_catalog"))
     p = (picks
          .join(cat, "player_id", "left")
          .join(totals, [LEAGUE, "player_id"], "left")
@@ -67,12 +71,14 @@ def enrich_picks(picks: DataFrame, players: DataFrame, totals: DataFrame,
     p = p.select("*", owner["metadata"].alias("metadata"),
                  owner["user_found"].alias("user_found"),
                  owner.isNotNull().alias("roster_found"))
+    listed = F.coalesce(F.col("in_catalog"), F.lit(False))
+    unlisted = F.lit(None).cast("map<string,string>")
     return p.select(
         LEAGUE, "ord", "pick_no", "player_id", "roster_id",
-        F.coalesce(F.col("in_catalog"), F.lit(False)).alias("in_catalog"),
-        player_name(F.col("attrs"), F.col("player_id")).alias("player_name"),
-        player_position(F.col("attrs")).alias("pos"),
-        F.try_element_at(F.col("attrs"), F.lit("position")).alias("position"),
+        listed.alias("in_catalog"),
+        F.when(listed, F.col("_name")).otherwise(player_name(unlisted, F.col("player_id"))).alias("player_name"),
+        F.when(listed, F.col("_pos")).otherwise(player_position(unlisted)).alias("pos"),
+        "position",
         F.coalesce(F.col("total_units"), F.lit(0).cast("bigint")).alias("total_units"),
         F.expr(f"(pick_no - 1) div {TEAMS_PER_ROUND} + 1").cast("int").alias("round"),
         drafting_team_name(F.col("roster_id"), F.col("roster_found"), F.col("user_found"),
