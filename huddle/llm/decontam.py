@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from huddle.llm.common import written
 from huddle.llm.shingles import row_slices
-from huddle.llm.tokens import text_buffer
+from huddle.llm.tokens import text_buffer, tidied
 
 Q = 7
 SEGMENT, STRIDE, LEAST = 96, 48, 32
@@ -218,7 +218,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))],
                         names=["doc_id", "item_id", "segment", "edits", "stop"])
 
-        out = out.unionByName(texts.mapInArrow(find, schema))
+        out = out.unionByName(texts.mapInArrow(tidied(find), schema))
     best = out.groupBy("doc_id", "item_id", "segment").agg(F.min("edits").alias("edits"), F.min("stop").alias("a"), F.max("stop").alias("b"))
     return best.groupBy("doc_id", "item_id").agg(
         F.count("*").alias("segments"), F.sum("edits").alias("edits"), F.min("a").alias("first_end"), F.max("b").alias("last_end"))
@@ -235,5 +235,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 hit[[r for r, *_ in _matches(batch, sent.value)]] = True
                 yield batch.filter(pa.array(~hit))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(tidied(keep), docs.schema)
     return docs

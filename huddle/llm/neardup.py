@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from huddle.llm.common import components, release, written
 from huddle.llm.shingles import mix, row_slices, sets
-from huddle.llm.tokens import text_buffer
+from huddle.llm.tokens import text_buffer, tidied
 
 ROWS, BANDS = 8, 44
 SIMILAR_PERCENT = 85
@@ -90,7 +90,7 @@ def _signed(batches):
 def signed(docs: DataFrame) -> DataFrame:
     """doc_id, size and digest of the set, band hashes."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _signed, "doc_id long, n long, k1 long, k2 long, bands array<long>")
+        tidied(_signed), "doc_id long, n long, k1 long, k2 long, bands array<long>")
 
 
 def _full_sets(batches):
@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     units = _units(members, max(1, -(-total // PACK_SHINGLES)))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     full = text.join(units, "doc_id").mapInArrow(
-        _full_sets, "doc_id long, root long, block long, units array<string>, shingles array<long>")
+        tidied(_full_sets), "doc_id long, root long, block long, units array<string>, shingles array<long>")
     edges = written(full.select(F.explode("units").alias("unit"), "doc_id", "root", "block", "shingles")
                     .groupBy("unit").applyInArrow(_links, "a long, b long"), "links")
     joined = components(edges, "near").withColumnRenamed("node", "rep")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from huddle.llm.common import written
-from huddle.llm.tokens import encoded_slices
+from huddle.llm.tokens import encoded_slices, tidied
 
 GROUP_PIECES = 40_000       # pieces packed together by one task
 REST_GAP = 8                # sequences with a larger gap are packed once more
@@ -55,7 +55,7 @@ def _cut(batches, path, end_id, capacity):
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
     """One row per piece: where it starts in its document, its length, the crc32 of its ids."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        partial(_cut, path=tokenizer, end_id=end_id, capacity=capacity), PIECES)
+        tidied(partial(_cut, path=tokenizer, end_id=end_id, capacity=capacity)), PIECES)
 
 
 def place(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

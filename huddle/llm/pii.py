@@ -110,9 +110,9 @@ def _row_key() -> Column:
 
 
 def found_in(docs: DataFrame) -> DataFrame:
-    """_key, doc_id and _spans of every row, without the texts."""
-    return with_findings(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row_key().alias("_key"))).select(
-        "_key", "doc_id", "_spans")
+    """__row_key, doc_id and _spans of every row, without the texts."""
+    return with_findings(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row_key().alias("__row_key"))).select(
+        "__row_key", "doc_id", "_spans")
 
 
 def _words(text: Column, side: str) -> Column:
@@ -125,8 +125,8 @@ def _words(text: Column, side: str) -> Column:
 
 def _context_terms(found: DataFrame) -> DataFrame:
     """A row for each word near a finding: _key, entity, term, its place, and a hash of the context."""
-    one = found.filter(F.size("_spans") > 0).select("_key", F.explode("_spans").alias("s"), F.col("_spans").alias("all"))
-    one = one.select("_key", "all", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "s.before", "s.after",
+    one = found.filter(F.size("_spans") > 0).select("__row_key", F.explode("_spans").alias("s"), F.col("_spans").alias("all"))
+    one = one.select("__row_key", "all", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "s.before", "s.after",
                      F.concat("s.kind", F.lit(":"), F.when(F.col("s.kind").isin("card", "phone"), F.regexp_replace("s.value", "[^0-9]", ""))
                               .otherwise(F.lower("s.value"))).alias("entity"))
     near = F.concat(
@@ -136,7 +136,7 @@ def _context_terms(found: DataFrame) -> DataFrame:
         F.transform(_words(F.col("after"), "after"), lambda w: F.struct(
             (F.col("end") + w["start"]).alias("a"), (F.col("end") + w["end"]).alias("b"), F.lower(w["value"]).alias("term"))))
     return one.withColumn("w", F.explode(near)).select(
-        "_key", "entity", "w.term", "w.a", "w.b", F.xxhash64("before", "after").alias("context"),
+        "__row_key", "entity", "w.term", "w.a", "w.b", F.xxhash64("before", "after").alias("context"),
         F.exists("all", lambda s: (s["start"] < F.col("w.b")) & (s["end"] > F.col("w.a"))).alias("inside")
     ).filter(~F.col("inside")).drop("inside")
 
@@ -164,8 +164,8 @@ def _added(docs: DataFrame, found: DataFrame) -> DataFrame:
     """_key and the spans that the method adds, in order, none overlapping a finding."""
     near = written(_context_terms(found), "near")
     pairs = disclosing(docs, found, near)
-    hit = near.join(pairs, ["entity", "term"]).groupBy("_key", "a", "b").agg(F.max("disclosure").alias("d"))
-    return hit.groupBy("_key").agg(F.sort_array(F.collect_set(F.struct(
+    hit = near.join(pairs, ["entity", "term"]).groupBy("__row_key", "a", "b").agg(F.max("disclosure").alias("d"))
+    return hit.groupBy("__row_key").agg(F.sort_array(F.collect_set(F.struct(
         F.when(F.col("d") >= REMOVE, "removed").otherwise("generalised").alias("kind"),
         F.col("a").alias("start"), F.col("b").alias("end")))).alias("_added"))
 
@@ -182,7 +182,7 @@ def spans(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, counts by kind, the digest of the findings, all spans."""
     found = written(found_in(docs), "findings")
     added = _added(docs, found)
-    rows = found.join(added, "_key", "left").withColumn("base", _listed(F.col("_spans")))
+    rows = found.join(added, "__row_key", "left").withColumn("base", _listed(F.col("_spans")))
     more = F.coalesce(_listed(F.col("_added")), F.lit(""))
     return rows.select(
         "doc_id", *[_count(k).alias(f"n_{k}") for k in KINDS],
@@ -195,25 +195,25 @@ def sanitised(docs: DataFrame) -> DataFrame:
     found = written(found_in(docs).filter(F.size("_spans") > 0), "findings")
     added = written(_added(docs, found), "added")
     cuts = F.struct
-    rows = found.select("_key", F.transform("_spans", lambda s: cuts(
-        s["start"].alias("start"), s["end"].alias("end"), F.upper(s["kind"]).alias("kind"))).alias("s")).dropDuplicates(["_key"])
-    rows = rows.join(added, "_key", "left").select("_key", F.sort_array(F.concat("s", F.coalesce(
+    rows = found.select("__row_key", F.transform("_spans", lambda s: cuts(
+        s["start"].alias("start"), s["end"].alias("end"), F.upper(s["kind"]).alias("kind"))).alias("s")).dropDuplicates(["__row_key"])
+    rows = rows.join(added, "__row_key", "left").select("__row_key", F.sort_array(F.concat("s", F.coalesce(
         F.transform("_added", lambda s: cuts(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))),
-        F.array().cast("array<struct<start:int,end:int,kind:string>>")))).alias("_cuts"))
+        F.array().cast("array<struct<start:int,end:int,kind:string>>")))).alias("__cuts"))
     rows = written(rows, "cuts")
     release(added, found)
     rows = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-    keyed = docs.withColumn("_key", _row_key()).join(rows, "_key", "left")
+    keyed = docs.withColumn("__row_key", _row_key()).join(rows, "__row_key", "left")
     label = lambda s, word: F.when(s["kind"] == "removed", "").when(
         s["kind"] == "generalised", F.when(word.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")).otherwise(
         F.concat(F.lit("["), s["kind"], F.lit("]")))
     text = F.col("text")
     # overlapping findings: what an earlier one took stays taken
-    built = F.aggregate("_cuts", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda acc, s: F.struct(
+    built = F.aggregate("__cuts", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda acc, s: F.struct(
         F.greatest(acc["at"], s["end"]).alias("at"),
         F.when(s["start"] >= acc["at"], F.concat(
             acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]),
             label(s, F.substr(text, s["start"] + 1, F.lit(1))))).otherwise(acc["out"]).alias("out")))
-    clean = keyed.withColumn("_built", F.when(F.size("_cuts") > 0, built)).withColumn("text", F.when(
-        F.col("_built").isNotNull(), F.concat("_built.out", F.substr(text, F.col("_built.at") + 1, F.char_length(text)))).otherwise(text))
+    clean = keyed.withColumn("__built", F.when(F.size("__cuts") > 0, built)).withColumn("text", F.when(
+        F.col("__built").isNotNull(), F.concat("__built.out", F.substr(text, F.col("__built.at") + 1, F.char_length(text)))).otherwise(text))
     return clean.select(*docs.columns)

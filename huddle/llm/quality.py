@@ -18,15 +18,14 @@ evidence (0) and every document is kept; an empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from huddle.llm.common import written
 from huddle.llm.shingles import row_slices, words
-from huddle.llm.tokens import text_buffer
+from huddle.llm.tokens import text_buffer, tidied
 from huddle.llm.toxicity import logistic
 
 FIT_DOCS = 10_000            # labelled documents of each class that are learnt from, at most
@@ -63,35 +62,42 @@ def features(text: pa.Array) -> np.ndarray:
     return np.column_stack([out, np.sqrt(out[:, :4])])
 
 
-def _evidence(curve: np.ndarray):
-    @F.pandas_udf(DoubleType())
-    def evidence(text: pd.Series) -> pd.Series:
-        x = features(pa.array(text, pa.string(), from_pandas=True))
-        return pd.Series(np.clip(curve[0] + x @ curve[1:], -EVIDENCE_LIMIT, EVIDENCE_LIMIT))
-    return evidence
+def _with_features(batches, curve, keep):
+    """``keep`` columns and, without a curve, the features; with one, the evidence."""
+    for batch in batches:
+        x = features(batch.column("text"))
+        if curve is None:
+            last = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel())
+        else:
+            last = pa.array(np.clip(curve[0] + x @ curve[1:], -EVIDENCE_LIMIT, EVIDENCE_LIMIT))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), last], names=[*keep, "_evidence"])
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _shares(text: pd.Series) -> pd.Series:
-    return pd.Series(list(features(pa.array(text, pa.string(), from_pandas=True))))
+def _evidence(docs: DataFrame, curve: np.ndarray | None, keep: list[str]) -> DataFrame:
+    """``keep`` columns of ``docs`` and ``_evidence`` (0 without a curve)."""
+    if curve is None:
+        return docs.select(*keep, F.lit(0.0).alias("_evidence"))
+    schema = StructType([docs.schema[c] for c in keep] + [StructField("_evidence", DoubleType())])
+    return docs.mapInArrow(tidied(lambda it: _with_features(it, curve, keep)), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> np.ndarray | None:
     """Weights of the evidence, from a bounded sample of labelled documents."""
     known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy(
-        F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+        F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     share = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     if len(share) < 2:
         return None
     one = lambda q: known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
     rows = one(0).unionByName(one(1))                  # at most 2 * fit_docs rows of two numbers: a proven bound
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id").select(
-        "quality", _shares("text").alias("x")).toArrow().to_pandas()
-    y = got["quality"].to_numpy(float)
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id").mapInArrow(
+        tidied(lambda it: _with_features(it, None, ["quality"])), "quality int, _evidence array<double>").toArrow()
+    y = got.column("quality").to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
         return None
     weight = np.where(y == 1, share[1] / y.sum(), share[0] / (len(y) - y.sum())) * len(y) / (share[0] + share[1])
-    return logistic(np.vstack(got["x"].to_numpy()), y, weight)
+    x = got.column("_evidence").combine_chunks().flatten().to_numpy()
+    return logistic(x.reshape(len(y), -1), y, weight)
 
 
 def _shrunk(sites: DataFrame, key: list[str], mean, into: str) -> DataFrame:
@@ -118,11 +124,10 @@ def _logit(p):
 def scored(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", fit_docs: int = FIT_DOCS) -> DataFrame:
     """``docs`` with _evidence, _host, _path (posteriors) and _score."""
     curve = fit(docs, labels, fit_docs)
-    evidence = F.lit(0.0) if curve is None else _evidence(curve)("text")
     key = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")).alias(k) for c, k in ((host, "_h"), (path, "_p"))]
     p = 1 / (1 + F.exp(-F.col("_evidence")))
     # text is read once for the sites and once for the rows; only a number per document is kept between
-    sites = written(docs.select(*key, evidence.alias("_evidence")).groupBy("_h", "_p").agg(
+    sites = written(_evidence(docs.select(*key, "text"), curve, ["_h", "_p"]).groupBy("_h", "_p").agg(
         F.sum(p).alias("good"), F.count("*").alias("n")), "sites")
     total = sites.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
     mean = (total["good"] / total["n"]) if total["n"] else 0.5
@@ -131,7 +136,7 @@ def scored(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
                     .select("_h", "_p", "_host", "_path"), "posteriors")
     found = F.broadcast(paths) if paths.count() <= BROADCAST_SITES else paths
     all_columns = [F.col(c) for c in docs.columns]
-    out = docs.select(*all_columns, *key, evidence.alias("_evidence")).join(found, ["_h", "_p"])
+    out = _evidence(docs.select(*all_columns, *key), curve, [*docs.columns, "_h", "_p"]).join(found, ["_h", "_p"])
     score = 1 / (1 + F.exp(-(F.col("_evidence") + _logit(F.col("_path")) - _logit(F.lit(mean)))))
     return out.select(*all_columns, "_evidence", "_host", "_path",
                       (F.lit(1.0) if curve is None else score).alias("_score"))

@@ -9,15 +9,32 @@ pieces is bounded, and only saves work: the ids are those of the whole text.
 
 from __future__ import annotations
 
+import ctypes
 import os
 
 import numpy as np
 import pyarrow as pa
 
-MEMO_PIECES = 800_000       # distinct pieces remembered by one Python worker
-SLICE_BYTES = 8 << 20       # text handled at once
+MEMO_PIECES = 250_000       # distinct pieces remembered by one Python worker
+SLICE_BYTES = 4 << 20       # text handled at once
 JOINED = 64                 # new words encoded with one call
 
+
+
+def tidied(work):
+    """``work`` over a task's batches; at its end the worker, which Spark uses again for
+    other tasks, gives back memory that its allocators would keep."""
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+    return run
+
+
 _ALNUM, _PUNCT, _SPACE, _OTHER_WS, _LEAD = 1, 2, 3, 4, 5
 
 
