@@ -32,14 +32,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from huddle.llm.tokens import encoded_slices
+from huddle.llm.tokens import encoded_slices, tidied
 
 BLOCK_IDS = 1 << 20
 LANES = 4096
 MIN_LANE_IDS = 128
 STEPS = 16
 _BITS1, _BITS2 = 16, 20
-_SCALE = 1 << 21
+_FLAG_BITS, _ID_BITS = 12, 21      # shares are of these powers of two
+_U = np.uint64
 _TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 32)
 _W16, _W48 = np.uint64(16), np.uint64(48)
 _MAGIC = b"IDC1"
@@ -57,10 +58,17 @@ class Model:
         self._tables()
 
     def _tables(self):
-        freq = 1 + self.count * _SCALE // max(self.seen, 1)
-        self.cum = np.concatenate([[0], np.cumsum(freq)])
-        share = 1 + self.flags * 4093 // self.flags.sum(1, keepdims=True)
-        self.flag_cum = np.concatenate([np.zeros((32, 1), np.int64), np.cumsum(share, 1)], 1)
+        # the last id and the last flag get what rounding leaves
+        vocab = len(self.count)
+        if self.seen:
+            freq = 1 + self.count * ((1 << _ID_BITS) - vocab) // self.seen
+        else:
+            freq = np.full(vocab, (1 << _ID_BITS) // vocab)
+        self.cum = np.zeros(vocab + 1, np.uint64)
+        self.cum[1:] = np.cumsum(freq)
+        self.cum[-1] = 1 << _ID_BITS
+        share = 1 + self.flags * ((1 << _FLAG_BITS) - 3) // self.flags.sum(1, keepdims=True)
+        self.flag1, self.flag2 = share[:, 0].astype(np.uint64), (share[:, 0] + share[:, 1]).astype(np.uint64)
 
     def predict(self, before: np.ndarray, last: np.ndarray):
         """Slots of both contexts, both predictions and the state of confidence."""
@@ -70,9 +78,15 @@ class Model:
         state = self.conf2[h2].astype(np.int64) * 4 + self.conf1[h1] + 16 * (p1 == p2)
         return h1, h2, p1, p2, state
 
+    def flag_place(self, state, flag):
+        """Where the share of a flag starts, and its size."""
+        one, two = self.flag1[state], self.flag2[state]
+        start = np.where(flag == 0, _U(0), np.where(flag == 1, one, two))
+        return start, np.where(flag == 0, one, np.where(flag == 1, two, _U(1 << _FLAG_BITS))) - start
+
     def learn(self, h1, h2, p1, p2, state, flag, ids):
         """Takes in some steps, flat and in step order (of equal slots the last counts)."""
-        np.add.at(self.flags, (state, flag), 1)
+        self.flags += np.bincount(state * 3 + flag, minlength=96).reshape(32, 3)
         c1, c2 = self.conf1[h1], self.conf2[h2]
         self.conf1[h1] = np.where(p1 == ids, np.minimum(c1 + 1, 3), 0)
         self.conf2[h2] = np.where(p2 == ids, np.minimum(c2 + 1, 3), 0)
@@ -90,8 +104,8 @@ class Writer:
         self.out = np.zeros((lanes, 4 * steps + 8), np.uint16)
         self.n = np.zeros(lanes, np.int64)
 
-    def put(self, lane: np.ndarray, start: np.ndarray, freq: np.ndarray, total: np.ndarray) -> None:
-        low, rng = self.low[lane], self.range[lane] // total
+    def put(self, lane: np.ndarray, start: np.ndarray, freq: np.ndarray, bits: int) -> None:
+        low, rng = self.low[lane], self.range[lane] >> _U(bits)
         low, rng = low + start * rng, rng * freq
         at = np.flatnonzero(_due(low, rng))
         while len(at):
@@ -126,9 +140,9 @@ class Reader:
             self.code = (self.code << _W16) | self.words[self.at]
             self.at += 1
 
-    def value(self, lane: np.ndarray, total: np.ndarray) -> np.ndarray:
-        self.unit = self.range[lane] // total
-        return np.minimum((self.code[lane] - self.low[lane]) // self.unit, total - np.uint64(1))
+    def value(self, lane: np.ndarray, bits: int) -> np.ndarray:
+        self.unit = self.range[lane] >> _U(bits)
+        return np.minimum((self.code[lane] - self.low[lane]) // self.unit, _U((1 << bits) - 1))
 
     def take(self, lane: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
         low, rng, code = self.low[lane] + start * self.unit, self.unit * freq, self.code[lane]
@@ -147,10 +161,6 @@ def _lanes(n: int) -> int:
     return max(1, min(LANES, n // MIN_LANE_IDS))
 
 
-def _u(x) -> np.ndarray:
-    return x.astype(np.uint64)
-
-
 def encode_block(ids: np.ndarray, vocab: int) -> bytes:
     """The bytes of one block."""
     n = len(ids)
@@ -167,17 +177,15 @@ def encode_block(ids: np.ndarray, vocab: int) -> bytes:
         now = grid[a:b].ravel()
         h1, h2, p1, p2, state = model.predict(prev[a:b].ravel(), prev[a + 1:b + 1].ravel())
         flag = np.where(p2 == now, 0, np.where(p1 == now, 1, 2))
-        f0, f1 = model.flag_cum[state, flag], model.flag_cum[state, flag + 1]
-        f_total, i0, i1 = _u(model.flag_cum[state, 3]), _u(model.cum[now]), _u(model.cum[now + 1])
-        total = np.uint64(model.cum[-1])
-        f0, f1 = _u(f0), _u(f1)
+        f_start, f_size = model.flag_place(state, flag)
+        start = model.cum[now]
+        size = model.cum[now + 1] - start
         for k in range(b - a):
             s = slice(k * lanes, (k + 1) * lanes)
-            out.put(every, f0[s], f1[s] - f0[s], f_total[s])
+            out.put(every, f_start[s], f_size[s], _FLAG_BITS)
             left = np.flatnonzero(flag[s] == 2)
             if len(left):
-                lo, hi = i0[s][left], i1[s][left]
-                out.put(left, lo, hi - lo, np.full(len(left), total))
+                out.put(left, start[s][left], size[s][left], _ID_BITS)
         model.learn(h1, h2, p1, p2, state, flag, now)
     out.end()
     words = out.out[np.arange(out.out.shape[1]) < out.n[:, None]]
@@ -202,18 +210,15 @@ def decode_block(block: bytes, vocab: int) -> np.ndarray:
         b, told = min(steps, a + STEPS), []
         for t in range(a, b):
             h1, h2, p1, p2, state = model.predict(prev[t], prev[t + 1])
-            cum = _u(model.flag_cum[state])
-            v = reader.value(every, cum[:, 3])
-            flag = (v >= cum[:, 1]).astype(np.int64) + (v >= cum[:, 2])
-            lo = cum[every, flag]
-            reader.take(every, lo, cum[every, flag + 1] - lo)
+            v = reader.value(every, _FLAG_BITS)
+            flag = (v >= model.flag1[state]).astype(np.int64) + (v >= model.flag2[state])
+            reader.take(every, *model.flag_place(state, flag))
             now = np.where(flag == 0, p2, p1).astype(np.int64)
             left = np.flatnonzero(flag == 2)
             if len(left):
-                v = reader.value(left, np.full(len(left), np.uint64(model.cum[-1])))
-                got = np.searchsorted(model.cum, v.astype(np.int64), "right") - 1
-                lo = _u(model.cum[got])
-                reader.take(left, lo, _u(model.cum[got + 1]) - lo)
+                got = np.searchsorted(model.cum, reader.value(left, _ID_BITS), "right") - 1
+                lo = model.cum[got]
+                reader.take(left, lo, model.cum[got + 1] - lo)
                 now[left] = got
             prev[t + 2] = now
             told.append((h1, h2, p1, p2, state, flag, now))
@@ -228,7 +233,7 @@ BLOCKS = ("part int, block int, first long, n_ids long, doc_id array<long>, doc_
           "piece_no array<int>, n array<int>, payload binary")
 
 
-def _write(batches, path, end_id, vocab):
+def _write(batches, path, end_id, vocab, block_ids):
     part, block, first, doc_no = TaskContext.get().partitionId(), 0, 0, -1
     ids: list[np.ndarray] = []
     rows: list[tuple] = []           # doc_id, doc_no, piece_no, n
@@ -253,11 +258,11 @@ def _write(batches, path, end_id, vocab):
                 at += int(count[i - a])
                 doc_no, piece = doc_no + 1, 0
                 while len(own):
-                    take = own[:BLOCK_IDS - held]
+                    take = own[:block_ids - held]
                     ids.append(take)
                     rows.append((names[i], doc_no, piece, len(take)))
                     held, own, piece = held + len(take), own[len(take):], piece + 1
-                    if held == BLOCK_IDS:
+                    if held == block_ids:
                         yield flush()
     if held:
         yield flush()
@@ -268,11 +273,12 @@ _ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.in
                     ("piece_no", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("payload", pa.binary())])
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, vocab: int = 50_257) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, vocab: int = 50_257,
+              block_ids: int = BLOCK_IDS) -> None:
     """Writes the ids of all documents to ``path``, in ascending order of doc_id."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     ordered = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    ordered.mapInArrow(partial(_write, path=tokenizer, end_id=end_id, vocab=vocab), BLOCKS).write.parquet(path)
+    ordered.mapInArrow(tidied(partial(_write, path=tokenizer, end_id=end_id, vocab=vocab, block_ids=block_ids)), BLOCKS).write.parquet(path)
 
 
 def _read(batches, vocab):
@@ -308,7 +314,7 @@ def read_ids(spark, path: str, vocab: int = 50_257) -> DataFrame:
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).select(
         "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     found = blocks.mapInArrow(
-        partial(_read, vocab=vocab), "part int, doc_no long, piece_no int, doc_id long, at long, n long, crc long")
+        tidied(partial(_read, vocab=vocab)), "part int, doc_no long, piece_no int, doc_id long, at long, n long, crc long")
     docs = found.groupBy("part", "doc_no").agg(
         F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n_tokens"),
         F.sort_array(F.collect_list(F.struct("piece_no", "n", "crc"))).alias("pieces"))

@@ -93,11 +93,9 @@ def test_repeats_compress():
 
 
 @pytest.mark.parametrize("block", [1 << 20, 700])
-def test_files(docs, docs_rows, tokenizer, tmp_path, block, spark, monkeypatch):
+def test_files(docs, docs_rows, tokenizer, tmp_path, block, spark):
     # blocks of 700 ids: documents go over several
-    real = idcoder._write
-    monkeypatch.setattr(idcoder, "_write", _Small(real, block))
-    idcoder.write_ids(docs, str(tmp_path / "ids"), tokenizer)
+    idcoder.write_ids(docs, str(tmp_path / "ids"), tokenizer, block_ids=block)
     got = sorted((r.doc_id is not None, r.doc_id or 0, r.start, r.n_tokens, r.ids_crc32) for r in idcoder.read_ids(spark, str(tmp_path / "ids")).collect())
     want = {(d, len(i), crc(i)) for d, i in brute(docs_rows, tokenizer, 0)}
     assert {(d if some else None, n, c) for some, d, _, n, c in got} == want and len(got) == len(docs_rows)
@@ -108,21 +106,6 @@ def test_files(docs, docs_rows, tokenizer, tmp_path, block, spark, monkeypatch):
     assert [x[1] for x in sorted(got, key=lambda x: x[2]) if x[0]] == sorted(d for d, *_ in docs_rows if d is not None)
 
 
-class _Small:
-    """``_write`` with another block size, set in the Python worker."""
-
-    def __init__(self, write, block):
-        self.write, self.block = write, block
-
-    def __call__(self, batches, **args):
-        from huddle.llm import idcoder as c
-        before, c.BLOCK_IDS = c.BLOCK_IDS, self.block
-        try:
-            yield from self.write(batches, **args)
-        finally:
-            c.BLOCK_IDS = before
-
-
 def test_files_empty(none, tokenizer, tmp_path, spark):
     idcoder.write_ids(none, str(tmp_path / "ids"), tokenizer)
     assert idcoder.read_ids(spark, str(tmp_path / "ids")).count() == 0
