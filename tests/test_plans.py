@@ -25,7 +25,7 @@ def hash_exchanges(p):
 @pytest.fixture(scope="module")
 def written(spark):
     t = fx.load(spark, SF_DIR)
-    beats, rank = build_scoreboards(t.weekly, None, t.rosters, t.users, write=True)
+    beats, rank, _ = build_scoreboards(t.weekly, t.rosters, t.users, write=True)
     yield beats, rank
     release(spark)
 
