@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by its LENGTH nearest pivots in order; the pivots are a
-sample of PIVOTS vectors. A block of vectors posts each of them in the inverted
+A vector is represented by its LENGTH nearest pivots in order; the pivots are
+PIVOTS vectors of a sample, each the farthest from those before, so that a close
+cluster, however many of the vectors it holds, takes few of them. A block of vectors posts each of them in the inverted
 files of its pivots, with the pivot's place. A query reads the files of its own
 pivots and adds up the footrule distance (places differ by; a pivot that is
 missing counts as place LENGTH); the nearest by footrule, a share of each block
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from huddle.llm.common import written
 
-PIVOTS, LENGTH = 128, 64
-SHARE, LEAST = 0.08, 1_000   # ranked again: this share of all vectors, and so many more
+PIVOTS, LENGTH = 256, 128
+SAMPLE = 4_096               # vectors that pivots are chosen from
+SHARE = 0.12                 # ranked again: this share of each block, and no fewer than an answer needs
 BLOCK_ROWS = 4_096           # vectors indexed together, and queries sent together
 
 
@@ -47,6 +49,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0))
 
 
+def spread(x: np.ndarray, count: int) -> np.ndarray:
+    """``count`` of the rows (all, if fewer): the first, then each the farthest from those before."""
+    at, d = [0], np.full(len(x), np.inf)
+    while len(at) < min(count, len(x)):
+        d = np.minimum(d, ((x - x[at[-1]]) ** 2).sum(1))
+        d[at] = -1
+        at.append(int(d.argmax()))
+    return x[at[:len(x)]]
+
+
 def _nearest_pivots(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     d = (x ** 2).sum(1)[:, None] + (pivots ** 2).sum(1)[None, :] - 2 * x @ pivots.T
     return np.argsort(d, axis=1, kind="stable")[:, :length]
@@ -81,7 +93,7 @@ def _search(batches, sent, share, k):
             part = batch.slice(a, BLOCK_ROWS)
             x, cid = _matrix(part.column("embedding")), part.column("cid").to_numpy()
             files = Files(x, pivots, length)
-            count = int(np.ceil(share * len(x)))
+            count = max(int(np.ceil(share * len(x))), k)
             for i in range(len(names)):
                 at = files.nearest(orders[i], count)
                 d = np.sqrt(((x[at] - queries[i]) ** 2).sum(1))
@@ -106,24 +118,22 @@ def nearest(vectors: DataFrame, query, k: int = 10) -> DataFrame:
     # no answer needs more than k + 1 ids of one vector
     classes = written(rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1).groupBy("embedding").agg(
         F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("cid", F.col("ids")[0]), "classes")
-    total = classes.count()
-    pivots = classes.select("embedding", "cid").orderBy(F.xxhash64("cid"), "cid").limit(PIVOTS).toArrow().column("embedding")
+    sample = classes.select("embedding", "cid").orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).toArrow().column("embedding")
+    p = spread(_matrix(sample.combine_chunks()), PIVOTS)
     asked = rows.filter(query)
     asked = written(asked.join(classes.select("embedding", "cid"), "embedding").select(F.col("vec_id").alias("query_id"), F.col("cid").alias("q")), "asked")
     queries = classes.join(asked.select(F.col("q").alias("cid")).distinct(), "cid", "left_semi").select("cid", "embedding")
     queries = written(queries, "queries")
     blocks = -(-queries.count() // BLOCK_ROWS)
-    share = min(1.0, SHARE + LEAST / max(total, 1))
     schema = "q long, cid long, score double"
     found = spark.createDataFrame([], schema)
     for b in range(blocks):
         block = queries.filter(F.pmod(F.xxhash64("cid"), F.lit(blocks)) == b).toArrow()
         if block.num_rows:
-            p = _matrix(pivots.combine_chunks())
             sent = spark.sparkContext.broadcast((block.column("cid").to_numpy(), _matrix(block.column("embedding").combine_chunks()),
                                                  p, min(LENGTH, len(p))))
             found = found.unionByName(classes.select("cid", "embedding").mapInArrow(
-                lambda it, sent=sent: _search(it, sent, share, k + 1), schema))
+                lambda it, sent=sent: _search(it, sent, SHARE, k + 1), schema))
     per_query = Window.partitionBy("q").orderBy("score", "cid")
     top = written(found.withColumn("n", F.row_number().over(per_query)).filter(F.col("n") <= k + 1).drop("n"), "found")
     ids = top.join(classes.select("cid", "ids"), "cid").select("q", "score", F.explode("ids").alias("vec_id"))

@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,26 @@ def test_recall_on_the_given_vectors(spark, sf):
     assert hit >= 0.9 * total
 
 
+def test_recall_beside_a_close_cluster(spark):
+    """A third of the vectors are close to each other: the others are still told apart, and so are they."""
+    g = np.random.default_rng(8)
+    x = g.normal(size=(30_000, 64))
+    x[:10_000] = x[0] + 0.1 * g.normal(size=(10_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = g.permutation(x)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 300 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert len(got) == 100
+    hit = 0
+    for i, near in got.items():
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hit += len(near & set(np.argsort(d)[:10].tolist()))
+    assert hit >= 0.95 * 10 * len(got)
+
+
 def test_nearest_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (200, [1.0, 0.0])], "vec_id long, embedding array<double>")
     got = sorted(tuple(r) for r in ann.nearest(df, F.col("vec_id") % 100 == 0).collect())
