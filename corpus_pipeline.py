@@ -13,6 +13,8 @@ from huddle.llm import decontam, neardup, packing, pii, quality
 from huddle.llm.common import table, written
 from huddle.llm.tokens import default_tokenizer
 
+SIMILAR_PERCENT = 80   # of the near-duplicate stage
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents that the quality classifier rejects go."""
@@ -24,7 +26,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows without a doc_id stay; of rows with the same doc_id one stays.
     """
-    kept = neardup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id")
+    kept = neardup.near_duplicates(docs, SIMILAR_PERCENT).filter("kept and doc_id is not null").select("doc_id")
     named = docs.join(kept.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id is null"))
 

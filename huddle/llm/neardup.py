@@ -1,14 +1,15 @@
 """Near-duplicate documents: fast similarity sketches, banding, exact verification.
 
-A sketch has ``BANDS * ROWS`` coordinates. In round i every shingle is hashed to
+A sketch has ``ROWS`` coordinates for each of its bands. In round i every shingle is hashed to
 a bin with a value that begins with i; a bin keeps its least value. Rounds go on
 until all bins of a document are filled; after as many rounds as there are bins,
 round i puts every shingle into bin i modulo their number, so that each one does fill.
 Documents with equal sets are one class. Classes that share a band are
 candidates; connected candidates form a group, and in each group every pair of
 classes whose sizes allow it is compared on the full sets, in blocks of a
-bounded size. At the least similarity that is linked (0.85) two sets miss each
-other in all bands with a probability below 1e-6.
+bounded size. There are as many bands as it takes that two sets of the least
+similarity that is linked miss each other in all of them with a probability
+below 1e-6.
 
 Defined results: null text, and texts without words, have an empty set and are
 linked with nothing; repeated rows share a class; a row with a null doc_id has
@@ -18,6 +19,8 @@ not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +30,9 @@ from huddle.llm.common import components, release, written
 from huddle.llm.shingles import mix, row_slices, sets
 from huddle.llm.tokens import text_buffer, tidied
 
-ROWS, BANDS = 8, 44
-SIMILAR_PERCENT = 85
+ROWS = 8
+MISSED = 1e-6                # probability that a pair of the least similarity shares no band
+SIMILAR_PERCENT = 85         # op7's; other callers give their own
 BLOCK_CLASSES = 256          # classes compared with as many others by one task
 BLOCK_SHINGLES = 300_000
 PACK_SHINGLES = 1_000_000    # small groups handled by one task
@@ -38,6 +42,14 @@ _U = np.uint64
 _NONE = _U(0xFFFFFFFFFFFFFFFF)
 
 
+def band_count(percent: int) -> int:
+    """Bands (of ROWS) for pairs that are similar to ``percent`` or more."""
+    return math.ceil(math.log(MISSED) / math.log1p(-(percent / 100) ** ROWS)) if percent < 100 else 1
+
+
+BANDS = band_count(SIMILAR_PERCENT)
+
+
 def sketches(value: np.ndarray, off: np.ndarray, bins: int = ROWS * BANDS) -> np.ndarray:
     """Fast similarity sketch of each row's set; rows without shingles stay unfilled."""
     rows = len(off) - 1
@@ -59,10 +71,10 @@ def sketches(value: np.ndarray, off: np.ndarray, bins: int = ROWS * BANDS) -> np
 
 def bands(sketch: np.ndarray) -> np.ndarray:
     """One hash per band and row."""
-    rows = len(sketch)
+    rows, count = len(sketch), sketch.shape[1] // ROWS
     odd = np.arange(1, ROWS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) | _U(1)
-    joined = (mix(sketch).reshape(rows, BANDS, ROWS) * odd).sum(2, dtype=np.uint64)
-    return mix(joined + np.arange(BANDS, dtype=np.uint64) * _U(0xD1B54A32D192ED03)).view(np.int64)
+    joined = (mix(sketch).reshape(rows, count, ROWS) * odd).sum(2, dtype=np.uint64)
+    return mix(joined + np.arange(count, dtype=np.uint64) * _U(0xD1B54A32D192ED03)).view(np.int64)
 
 
 def _digests(value, off):
@@ -71,26 +83,27 @@ def _digests(value, off):
     return [(t[off[1:]] - t[off[:-1]]).view(np.int64) for t in total]
 
 
-def _signed(batches):
+def _signed(batches, count):
     for batch in batches:
         raw, off = text_buffer(batch.column("text"))
         for a, b in row_slices(off):
             value, at = sets(raw[off[a]:off[b]], off[a:b + 1] - off[a])
             k1, k2 = _digests(value, at)
             n = np.diff(at)
-            flat = bands(sketches(value, at))
+            flat = bands(sketches(value, at, ROWS * count))
             some = n > 0
             lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)), pa.array(flat[some].ravel()))
+                pa.array(np.concatenate([[0], np.cumsum(some * count)]).astype(np.int32)), pa.array(flat[some].ravel()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array(k1), pa.array(k2), lists],
                 names=["doc_id", "n", "k1", "k2", "bands"])
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, percent: int = SIMILAR_PERCENT) -> DataFrame:
     """doc_id, size and digest of the set, band hashes."""
+    count = band_count(percent)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        tidied(_signed), "doc_id long, n long, k1 long, k2 long, bands array<long>")
+        tidied(lambda it: _signed(it, count)), "doc_id long, n long, k1 long, k2 long, bands array<long>")
 
 
 def _full_sets(batches):
@@ -108,7 +121,7 @@ def _full_sets(batches):
             yield got.filter(pa.array(same)).drop_columns(["own1", "own2"])
 
 
-def _linked(values: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _linked(values: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
     """Whether each of the rows ``left`` is similar to each of the rows ``right``."""
     size = np.array([len(v) for v in values])
     flat, owner = np.concatenate(values), np.repeat(np.arange(len(values)), size)
@@ -125,17 +138,17 @@ def _linked(values: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
         m[owner[a:b], col[a:b] - c] = 1
         both += (m[left] @ m[right].T).astype(np.int64)
     union = size[left][:, None] + size[right][None, :] - both
-    return 100 * both >= SIMILAR_PERCENT * union
+    return 100 * both >= percent * union
 
 
-def _forest(values: list[np.ndarray], block: np.ndarray) -> np.ndarray:
+def _forest(values: list[np.ndarray], block: np.ndarray, percent: int) -> np.ndarray:
     """For each row the least row that links between (or, with one block, in) the blocks reach."""
     n = len(values)
     near = np.zeros((n, n), bool)
     names = np.unique(block)
     left = np.flatnonzero(block == names[0])
     right = np.flatnonzero(block == names[-1])
-    got = _linked(values, left, right)
+    got = _linked(values, left, right, percent)
     near[np.ix_(left, right)] = got
     near |= near.T
     np.fill_diagonal(near, True)
@@ -148,7 +161,7 @@ def _forest(values: list[np.ndarray], block: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _links(unit, rows):
+def _links(rows, percent):
     """Edges that connect what is linked among a unit's classes."""
     rows = rows.combine_chunks()
     doc = rows.column("doc_id").to_numpy()
@@ -160,7 +173,7 @@ def _links(unit, rows):
     for group in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
         group = group[np.concatenate([[True], np.diff(doc[group]) != 0])]   # repeated rows
         if len(group) > 1:
-            label = _forest([flat[off[i]:off[i + 1]] for i in group], block[group])
+            label = _forest([flat[off[i]:off[i + 1]] for i in group], block[group], percent)
             tied = np.flatnonzero(label != np.arange(len(group)))
             a.append(doc[group[tied]])
             b.append(doc[group[label[tied]]])
@@ -168,14 +181,14 @@ def _links(unit, rows):
     return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
 
 
-def _units(members: DataFrame, packs: int) -> DataFrame:
+def _units(members: DataFrame, packs: int, percent: int) -> DataFrame:
     """Deals the members (doc_id, root, n) into units of a bounded size.
 
     A small group is one unit, with other small groups. A large one is cut by
-    size classes, each the next one's ``SIMILAR_PERCENT``, and hashed blocks;
+    size classes, each ``percent`` of the next one, and hashed blocks;
     its units are the pairs of blocks of equal or neighbouring size classes.
     """
-    level = F.floor(F.log("n") / float(np.log(100 / SIMILAR_PERCENT))).cast("int")
+    level = F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")
     m = members.withColumn("level", level)
     sized = m.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
     big = (F.col("size") > BLOCK_CLASSES) | (F.col("shingles") > BLOCK_SHINGLES)
@@ -201,9 +214,12 @@ def _units(members: DataFrame, packs: int) -> DataFrame:
         "doc_id", "root", "k1", "k2", F.xxhash64("level", "s").alias("block"), units.alias("units")))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
-    every = written(signed(docs), "signed")
+def near_duplicates(docs: DataFrame, percent: int = SIMILAR_PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept.
+
+    Texts are linked whose sets' Jaccard similarity is at least ``percent``.
+    """
+    every = written(signed(docs, percent), "signed")
     classes = written(every.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("k1", "k2", "n").agg(
         F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     posted = classes.select("rep", F.explode("bands").alias("band"))
@@ -215,12 +231,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = written(nodes.join(classes.select(F.col("rep").alias("node"), "n", "k1", "k2"), "node")
                       .withColumnRenamed("node", "doc_id"), "members")
     total = members.agg(F.sum("n")).first()[0] or 0
-    units = _units(members, max(1, -(-total // PACK_SHINGLES)))
+    units = _units(members, max(1, -(-total // PACK_SHINGLES)), percent)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     full = text.join(units, "doc_id").mapInArrow(
         tidied(_full_sets), "doc_id long, root long, block long, units array<string>, shingles array<long>")
     edges = written(full.select(F.explode("units").alias("unit"), "doc_id", "root", "block", "shingles")
-                    .groupBy("unit").applyInArrow(_links, "a long, b long"), "links")
+                    .groupBy("unit").applyInArrow(lambda unit, rows: _links(rows, percent), "a long, b long"), "links")
     joined = components(edges, "near").withColumnRenamed("node", "rep")
     found = classes.select("k1", "k2", "n", "rep").join(joined, "rep", "left").select(
         "k1", "k2", "n", F.coalesce("root", "rep").alias("component_id"))
