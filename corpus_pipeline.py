@@ -8,6 +8,7 @@ packed into sequences.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from huddle.llm import decontam, neardup, packing, pii, quality
 from huddle.llm.common import table, written
@@ -22,12 +23,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: the document with the smallest doc_id of each group stays.
+    """Operator 7: of each group the row with the smallest doc_id stays.
 
-    Rows without a doc_id stay; of rows with the same doc_id one stays.
+    Rows are told by id and text: of equal ones one stays, and rows of one id
+    whose texts are not linked are judged apart. Rows without a doc_id stay.
     """
-    kept = neardup.near_duplicates(docs, SIMILAR_PERCENT).filter("kept and doc_id is not null").select("doc_id")
-    named = docs.join(kept.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # nulls are left out of a hash, so a null text is told from an empty one by a flag
+    rows = docs.filter("doc_id is not null").withColumn("_row", F.xxhash64("doc_id", F.col("text").isNull(), "text"))
+    found = written(neardup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), SIMILAR_PERCENT).select(
+        F.col("doc_id").alias("_row"), "component_id").distinct(), "near-rows")
+    least = rows.select("doc_id", "_row").distinct().join(found, "_row").groupBy("component_id").agg(
+        F.min(F.struct("doc_id", "_row")).alias("least")).select("least._row")
+    named = rows.join(least, "_row", "left_semi").dropDuplicates(["doc_id", "_row"]).drop("_row")
     return named.unionByName(docs.filter("doc_id is null"))
 
 

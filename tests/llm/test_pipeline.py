@@ -47,3 +47,12 @@ def test_near_copies_from_080_go(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
     assert got == [0, 2]                                                # 0.815 and 0.774
+
+
+def test_rows_of_one_id_are_told_by_text(spark):
+    """Two texts of one id both stay, unless one is a copy of another document's."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(1, text("a")), (1, text("b")), (1, text("a")), (2, text("b")), (3, text("c")), (0, text("c")), (4, None), (4, ""), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, r.text or "", r.text is None) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert got == [(0, text("c"), False), (1, text("a"), False), (1, text("b"), False), (4, "", False), (4, "", True)]
