@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huddle.llm import ann, decontam, idcoder, licenses, neardup, packing, pii, quality, sharding, toxicity
+from huddle.llm import (ann, decontam, idcoder, licenses, linededup, merkle, neardup, packing, pii, quality, sharding,
+                        spelling, toxicity)
 from huddle.llm.common import table
 from huddle.llm.tokens import default_tokenizer
 from huddle.session import scratch_path
@@ -59,6 +60,18 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_range_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.deduplicated_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_dag_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_extendible_hashing": op1_extendible_hashing,
     "op2_disclosure": op2_disclosure,
@@ -70,4 +83,7 @@ QUERIES = {
     "op8_range_coder": op8_range_coder,
     "op9_empirical_bayes": op9_empirical_bayes,
     "op10_kneser_ney": op10_kneser_ney,
+    "op11_range_lines": op11_range_lines,
+    "op12_bit_sliced": op12_bit_sliced,
+    "op13_dag_descent": op13_dag_descent,
 }
