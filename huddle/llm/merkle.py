@@ -139,8 +139,8 @@ def forest(nodes: DataFrame, name: str) -> tuple[list[DataFrame], DataFrame]:
 
 @dataclass
 class Manifest:
-    """``leaves`` (with lang, tree, rank), ``trees`` (tree, lang, height, subroot), ``store`` (digest,
-    height, children), ``top`` (one row: digest, height; none for an empty table)."""
+    """``leaves`` (with lang, tree, rank), ``trees`` (tree, lang, height, subroot, above: the top tree),
+    ``store`` (digest, height, children), ``top`` (one row: digest, height; none for an empty table)."""
     leaves: DataFrame
     trees: DataFrame
     store: DataFrame
@@ -158,10 +158,11 @@ def manifest(docs: DataFrame) -> Manifest:
     langs = written(langs.select(F.col("lang").alias("of"), F.col("rank").alias("tree")), "merkle-trees")
     leaves = written(rows.join(langs, F.col("lang").eqNullSafe(F.col("of"))).drop("of"), "merkle-leaves")
     bands, tops = forest(leaves.select("tree", "rank", F.col("leaf").alias("digest")), "merkle")
-    trees = written(tops.join(langs, "tree").select("tree", F.col("of").alias("lang"), "height",
-                                                    F.col("top").alias("subroot")), "merkle-tops")
+    trees = written(tops.join(langs, "tree").select(
+        "tree", F.col("of").alias("lang"), "height", F.col("top").alias("subroot"), F.lit(-1).cast("long").alias("above")),
+        "merkle-tops")
     # the trees' tops are the leaves of the top tree, in the order of the languages
-    upper, top = forest(trees.select(F.lit(-1).cast("long").alias("tree"), F.col("tree").alias("rank"),
+    upper, top = forest(trees.select(F.col("above").alias("tree"), F.col("tree").alias("rank"),
                                      F.col("subroot").alias("digest")), "merkle-top")
     store = None
     for band in [*bands, *upper]:
