@@ -1,20 +1,6 @@
-"""Numeric helpers shared by every report.
-
-Two things decide whether two engines print the same number:
-
-* rounding: the report rounds with ``round(x * 10^n) / 10^n`` on doubles,
-  half away from zero. Spark's own ``round(x, n)`` rounds the shortest decimal
-  text of ``x`` instead, which differs on values such as 1.005.
-* averages of decimal scores: summing doubles depends on the order of the
-  additions, so an average lying on a half cent may round either way.
-
-Scores are therefore summed exactly as integer millionths (``units``) in 64-bit
-integer arithmetic, and turned into a double once; a score that isn't a whole
-number of millionths raises an error, it is never rounded. An exact integer
-divided by 10^6 is the correctly rounded value, the same number a decimal sum
-cast to double gives, independent of order and parallelism. Integer sums
-stay in primitive, code-generated arithmetic (a ``decimal(28,2)`` sum buffer
-allocates an object per addition), which matters in the raw-event aggregation.
+"""Rounding as the reports do it: ``round(x * 10^n) / 10^n`` on doubles, half away from
+zero. Spark's own ``round(x, n)`` rounds the shortest decimal text of ``x`` instead,
+which differs on values such as 1.005. Sums and averages are in ``exact.py``.
 """
 
 from __future__ import annotations
@@ -22,9 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Decimals that a score may carry; a ninth of a billion still fits the sums.
-SCORE_SCALE = 6
-
 
 def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -41,42 +24,3 @@ def round_ref(col: Column | str, n: int = 2) -> Column:
     f = float(10 ** n)
     r = F.round(c * F.lit(f)) / F.lit(f)
     return F.when(r == 0.0, c * F.lit(0.0)).otherwise(r)
-
-
-def units(col: Column | str, scale: int = SCORE_SCALE) -> Column:
-    """A score as an exact count of ``10^-scale`` units (bigint).
-
-    Raises an error for a score that has more decimals (or is too large) to be one.
-    """
-    c = _c(col)
-    f = F.lit(float(10 ** scale))
-    whole = F.rint(c * f).cast("bigint")
-    wrong = F.raise_error(F.concat(F.lit(f"score with more than {scale} decimals: "), c.cast("string")))
-    return F.when(c.isNull(), F.lit(None).cast("bigint")).when(
-        whole.cast("double") / f == c, whole).otherwise(wrong.cast("bigint"))
-
-
-def from_units(col: Column | str, scale: int = SCORE_SCALE) -> Column:
-    """Exact units back to a (correctly rounded) double."""
-    return _c(col).cast("double") / F.lit(float(10 ** scale))
-
-
-def avg_units(total_units: Column, n: Column, scale: int = SCORE_SCALE) -> Column:
-    """Average from an exact unit total and a count (NULL when n is 0)."""
-    return F.when(n > 0, from_units(total_units, scale) / n)
-
-
-def exact_avg(col: Column | str, scale: int | None = SCORE_SCALE) -> Column:
-    """Average that does not depend on the order of the additions.
-
-    With ``scale=None`` this is the plain double ``avg``.
-    """
-    c = _c(col)
-    if scale is None:
-        return F.avg(c)
-    return avg_units(F.sum(units(c, scale)), F.count(c), scale)
-
-
-def exact_diff(a: Column, b: Column, scale: int = SCORE_SCALE) -> Column:
-    """``a - b`` in exact units (for margins that are averaged)."""
-    return units(a, scale) - units(b, scale)

@@ -13,11 +13,11 @@ Sorted reports keep list order among equal values (a stable sort), so
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from huddle.functions.exact import average, summarise, with_average
 from huddle.functions.names import drafting_team_name, player_name, player_position
-from huddle.functions.numeric import avg_units, from_units, units
 from huddle.operators.common import LEAGUE, top_n
 from huddle.operators.scoreboard import league_rosters, roster_lookup
 
@@ -32,12 +32,10 @@ PICK_REPORT_COLUMNS = [LEAGUE, "pick_no", "round", "player_name", "pos", "total_
 
 
 def player_totals(player_points: DataFrame) -> DataFrame:
-    """Season total per (league, player) over positive player-week scores,
-    summed exactly as integer units (``total_units``). Map-side partial
-    sums run before the shuffle."""
-    return (player_points.filter(F.col("points") > 0)
-            .groupBy(LEAGUE, "player_id")
-            .agg(F.sum(units("points")).alias("total_units")))
+    """Season total (``total_points``) per (league, player) over positive player-week
+    scores, summed exactly. Map-side partial sums run before the shuffle."""
+    s = summarise(player_points.filter(F.col("points") > 0), [LEAGUE, "player_id"], "points")
+    return s.select(LEAGUE, "player_id", F.col("total").alias("total_points"))
 
 
 def player_points_from_weekly(weekly: DataFrame) -> DataFrame:
@@ -79,7 +77,7 @@ def enrich_picks(picks: DataFrame, players: DataFrame, totals: DataFrame,
         F.when(listed, F.col("_name")).otherwise(player_name(unlisted, F.col("player_id"))).alias("player_name"),
         F.when(listed, F.col("_pos")).otherwise(player_position(unlisted)).alias("pos"),
         "position",
-        F.coalesce(F.col("total_units"), F.lit(0).cast("bigint")).alias("total_units"),
+        F.coalesce(F.col("total_points"), F.lit(0.0)).alias("total_points"),
         F.expr(f"(pick_no - 1) div {TEAMS_PER_ROUND} + 1").cast("int").alias("round"),
         drafting_team_name(F.col("roster_id"), F.col("roster_found"), F.col("user_found"),
                            F.col("metadata")).alias("team_name"),
@@ -94,9 +92,8 @@ def steals_from(e: DataFrame, n: int = 10, per_league: bool = True,
     if skill_only:
         rows = rows.filter(F.col("in_catalog") & ~F.coalesce(
             F.col("pos").isin(NON_SKILL_POSITIONS), F.lit(False)))
-    rows = rows.filter(F.col("total_units") > 0).withColumn(
-        "total_points", from_units("total_units"))
-    order = [F.col("total_units").desc(), F.col("ord").asc()]
+    rows = rows.filter(F.col("total_points") > 0)
+    order = [F.col("total_points").desc(), F.col("ord").asc()]
     return top_n(rows, order, n, per_league).select(*PICK_REPORT_COLUMNS)
 
 
@@ -124,26 +121,22 @@ def bracket_averages_from(e: DataFrame) -> DataFrame:
     p = e.filter(_player_id_set(F.col("player_id")) & F.col("in_catalog")
                  & F.col("position").isin(BRACKET_POSITIONS))
     has = _pick_no_set(F.col("pick_no"))
-    brackets = {
-        "early": has & (F.col("pick_no") <= EARLY_MAX),
-        "mid": has & (F.col("pick_no") > EARLY_MAX) & (F.col("pick_no") <= MID_MAX),
-        "late": has & (F.col("pick_no") > MID_MAX),
-    }
+    bracket = F.when(has & (F.col("pick_no") <= EARLY_MAX), "early").when(
+        has & (F.col("pick_no") <= MID_MAX), "mid").when(has, "late")
+    s = summarise(p.withColumn("bracket", bracket), [LEAGUE, "position", "bracket"], "total_points")
     aggs = []
-    for name, cond in brackets.items():
-        cnt = F.count(F.when(cond, F.lit(1)))
-        total = F.sum(F.when(cond, F.col("total_units")))
-        aggs.append(F.coalesce(avg_units(total, cnt), F.lit(0.0)).alias(f"{name}_avg"))
-        aggs.append(cnt.alias(f"{name}_n"))
-    return p.groupBy(LEAGUE, "position").agg(*aggs)
+    for name in ("early", "mid", "late"):
+        here = F.col("bracket") == name
+        aggs.append(F.coalesce(F.max(F.when(here, average())), F.lit(0.0)).alias(f"{name}_avg"))
+        aggs.append(F.coalesce(F.max(F.when(here, F.col("n"))), F.lit(0).cast("bigint")).alias(f"{name}_n"))
+    return s.groupBy(LEAGUE, "position").agg(*aggs)
 
 
 def positional_performance_from(e: DataFrame) -> DataFrame:
     """Per catalog position: number of drafted players and their average total."""
     p = e.filter(_player_id_set(F.col("player_id")) & F.col("in_catalog"))
-    n = F.count(F.lit(1))
-    return p.groupBy(LEAGUE, F.col("pos").alias("position")).agg(
-        n.alias("count"), avg_units(F.sum("total_units"), n).alias("avg_pts"))
+    s = summarise(p.withColumn("position", F.col("pos")), [LEAGUE, "position"], "total_points")
+    return s.select(LEAGUE, "position", F.col("n").alias("count"), average().alias("avg_pts"))
 
 
 def bracket_averages(picks: DataFrame, players: DataFrame, totals: DataFrame) -> DataFrame:
@@ -155,7 +148,7 @@ def bracket_averages(picks: DataFrame, players: DataFrame, totals: DataFrame) ->
          .filter(F.col("position").isin(BRACKET_POSITIONS))
          .join(totals, [LEAGUE, "player_id"], "left")
          .select(LEAGUE, "player_id", "pick_no", "position", F.lit(True).alias("in_catalog"),
-                 F.coalesce(F.col("total_units"), F.lit(0).cast("bigint")).alias("total_units")))
+                 F.coalesce(F.col("total_points"), F.lit(0.0)).alias("total_points")))
     return bracket_averages_from(p)
 
 
@@ -167,7 +160,7 @@ def positional_performance(picks: DataFrame, players: DataFrame,
          .join(cat, "player_id", "inner")
          .join(totals, [LEAGUE, "player_id"], "left")
          .select(LEAGUE, "player_id", "pos", F.lit(True).alias("in_catalog"),
-                 F.coalesce(F.col("total_units"), F.lit(0).cast("bigint")).alias("total_units")))
+                 F.coalesce(F.col("total_points"), F.lit(0.0)).alias("total_points")))
     return positional_performance_from(p)
 
 
@@ -187,10 +180,8 @@ def worst_value_picks_from(e: DataFrame, n: int = 10, per_league: bool = True,
         & _pick_no_set(F.col("pick_no")) & (F.col("pick_no") <= MID_MAX))
     e = e.withColumn("bracket", F.when(F.col("pick_no") <= EARLY_MAX, F.lit("early"))
                      .otherwise(F.lit("mid")))
-    g = Window.partitionBy(LEAGUE, "pos", "bracket")
-    expected = from_units(F.sum("total_units").over(g)) / F.count(F.lit(1)).over(g)
-    rows = (e.withColumn("actual", from_units("total_units"))
-            .withColumn("expected", expected)
+    rows = (with_average(e, [LEAGUE, "pos", "bracket"], "total_points", "expected")
+            .withColumnRenamed("total_points", "actual")
             .withColumn("miss", F.col("expected") - F.col("actual"))
             .filter(F.col("miss") > min_miss))
     order = [F.col("miss").desc(), F.col("ord").asc()]
@@ -211,6 +202,5 @@ def biggest_busts_from(e: DataFrame, n: int = 10, per_league: bool = True) -> Da
     e = e.filter(
         _pick_no_set(F.col("pick_no")) & (F.col("pick_no") <= MID_MAX)
         & _player_id_set(F.col("player_id")) & F.col("in_catalog"))
-    rows = e.withColumn("total_points", from_units("total_units"))
-    order = [F.col("total_units").asc(), F.col("ord").asc()]
-    return top_n(rows, order, n, per_league).select(*PICK_REPORT_COLUMNS)
+    order = [F.col("total_points").asc(), F.col("ord").asc()]
+    return top_n(e, order, n, per_league).select(*PICK_REPORT_COLUMNS)

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from huddle.functions.numeric import avg_units, exact_avg, exact_diff, round_ref
+from huddle.functions.exact import average, summarise
+from huddle.functions.numeric import round_ref
 from huddle.operators.common import LEAGUE, top_n
 from huddle.operators.scoreboard import contests
 
@@ -21,9 +22,8 @@ def _vs_opponent_extreme(m: DataFrame, lowest: bool, won: int, count_name: str,
     ext = F.min("opp_points").over(w) if lowest else F.max("opp_points").over(w)
     rows = c.withColumn("_ext", ext).filter(
         (F.col("opp_points") == F.col("_ext")) & (F.col("won") == won))
-    return rows.groupBy(LEAGUE, "team_name").agg(
-        F.count(F.lit(1)).alias(count_name),
-        round_ref(exact_avg("opp_points")).alias("avg_opp_score"))
+    s = summarise(rows, [LEAGUE, "team_name"], "opp_points", {count_name: ("count", F.lit(1))})
+    return s.select(LEAGUE, "team_name", count_name, round_ref(average()).alias("avg_opp_score"))
 
 
 def wins_vs_low_opp(m: DataFrame, weeks=(1, 14), played_only=True) -> DataFrame:
@@ -40,9 +40,8 @@ def losses_vs_high_opp(m: DataFrame, weeks=(1, 14), played_only=True) -> DataFra
 def avg_margin(m: DataFrame, weeks=(1, 14), played_only=True) -> DataFrame:
     """Average of own points minus opponent points (no opponent -> 0)."""
     c = contests(m, weeks, played_only, how="left")
-    margin = exact_diff(F.col("points"), F.coalesce(F.col("opp_points"), F.lit(0.0)))
-    avg = avg_units(F.sum(margin), F.count(F.lit(1)))
-    return c.groupBy(LEAGUE, "team_name").agg(round_ref(avg).alias("avg_margin"))
+    s = summarise(c, [LEAGUE, "team_name"], F.col("points") - F.coalesce(F.col("opp_points"), F.lit(0.0)))
+    return s.select(LEAGUE, "team_name", round_ref(average()).alias("avg_margin"))
 
 
 def dominant_wins(m: DataFrame, n: int = 10, per_league: bool = True, weeks=(1, 14),
@@ -92,8 +91,8 @@ def volatility(m: DataFrame, weeks=(1, 14)) -> DataFrame:
     pairs = rows.select(LEAGUE, "team_name", "points", F.explode("_next").alias("_p2"))
     swing = pairs.select(LEAGUE, "team_name",
                          round_ref(F.abs(F.col("points") - F.col("_p2"))).alias("swing"))
-    return swing.groupBy(LEAGUE, "team_name").agg(
-        round_ref(exact_avg("swing")).alias("avg_swing"), F.max("swing").alias("biggest_swing"))
+    s = summarise(swing, [LEAGUE, "team_name"], "swing", {"biggest_swing": ("max", F.col("swing"))})
+    return s.select(LEAGUE, "team_name", round_ref(average()).alias("avg_swing"), "biggest_swing")
 
 
 def head_to_head(m: DataFrame, weeks=(1, 14), played_only=True) -> DataFrame:

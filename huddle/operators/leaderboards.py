@@ -12,11 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from huddle.functions.numeric import exact_avg, round_ref
+from huddle.functions.exact import average, summarise
+from huddle.functions.numeric import round_ref
 from huddle.operators.common import LEAGUE, result_letter, top_n, week_list
 from huddle.operators.scoreboard import played
 
 
+TEAM = [LEAGUE, "team_name"]
+
+
 def _week_leaders(m: DataFrame, highest: bool) -> DataFrame:
     """Rows that rank first in their (league, week), ties to the lower roster id."""
     pts = F.col("points").desc_nulls_last() if highest else F.col("points").asc_nulls_last()
@@ -61,9 +65,8 @@ def _own_extreme_result(m: DataFrame, lowest: bool, won: int, count_name: str) -
     ext = F.min("points").over(w) if lowest else F.max("points").over(w)
     rows = m.withColumn("_ext", ext).filter(
         (F.col("points") == F.col("_ext")) & (F.col("won") == won))
-    return rows.groupBy(LEAGUE, "team_name").agg(
-        F.count(F.lit(1)).alias(count_name), exact_avg("points").alias("avg_points"),
-        week_list().alias("weeks"))
+    s = summarise(rows, TEAM, "points", {count_name: ("count", F.lit(1)), "weeks": ("texts", F.col("week"))})
+    return s.select(*TEAM, count_name, average().alias("avg_points"), "weeks")
 
 
 def own_low_wins(m: DataFrame) -> DataFrame:
@@ -76,28 +79,29 @@ def own_high_losses(m: DataFrame) -> DataFrame:
     return _own_extreme_result(m, lowest=False, won=0, count_name="losses_with_highest_score")
 
 
+def _points_profile(rows: DataFrame, games: str, kind: str) -> DataFrame:
+    s = summarise(rows, TEAM, "points", {games: ("count", F.lit(1)), f"min_{kind}": ("min", F.col("points")),
+                                         f"max_{kind}": ("max", F.col("points"))})
+    return s.select(*TEAM, games, average().alias(f"avg_points_in_{kind}"), f"min_{kind}", f"max_{kind}")
+
+
 def win_points_profile(m: DataFrame) -> DataFrame:
     """Wins with average, lowest and highest points scored in them."""
-    return m.filter(F.col("won") == 1).groupBy(LEAGUE, "team_name").agg(
-        F.count(F.lit(1)).alias("wins"), exact_avg("points").alias("avg_points_in_win"),
-        F.min("points").alias("min_win"), F.max("points").alias("max_win"))
+    return _points_profile(m.filter(F.col("won") == 1), "wins", "win")
 
 
 def loss_points_profile(m: DataFrame) -> DataFrame:
     """Losses (ties included) with average, lowest and highest points in them."""
-    return m.filter(F.col("won") == 0).groupBy(LEAGUE, "team_name").agg(
-        F.count(F.lit(1)).alias("losses"), exact_avg("points").alias("avg_points_in_loss"),
-        F.min("points").alias("min_loss"), F.max("points").alias("max_loss"))
+    return _points_profile(m.filter(F.col("won") == 0), "losses", "loss")
 
 
 # --- weekly report (completed weeks) ---------------------------------------
 
 def standings(m: DataFrame, weeks=(1, 14), played_only=True) -> DataFrame:
     """Wins, losses (ties count as losses) and average points."""
-    wins = F.sum("won").cast("bigint")
-    return played(m, weeks, played_only).groupBy(LEAGUE, "team_name").agg(
-        wins.alias("wins"), (F.count(F.lit(1)) - wins).alias("losses"),
-        round_ref(exact_avg("points")).alias("avg_pts"))
+    s = summarise(played(m, weeks, played_only), TEAM, "points",
+                  {"wins": ("sum", F.col("won").cast("bigint")), "games": ("count", F.lit(1))})
+    return s.select(*TEAM, "wins", (F.col("games") - F.col("wins")).alias("losses"), round_ref(average()).alias("avg_pts"))
 
 
 def top_scores(m: DataFrame, n: int = 10, per_league: bool = True, weeks=(1, 14),
@@ -120,9 +124,8 @@ def low_scores(m: DataFrame, n: int = 10, per_league: bool = True, weeks=(1, 14)
 
 def consistency(m: DataFrame, weeks=(1, 14), played_only=True) -> DataFrame:
     """Average and population standard deviation of weekly points."""
-    return played(m, weeks, played_only).groupBy(LEAGUE, "team_name").agg(
-        round_ref(exact_avg("points")).alias("avg_pts"),
-        round_ref(F.stddev_pop("points")).alias("std_dev"))
+    s = summarise(played(m, weeks, played_only), TEAM, "points", spread=True)
+    return s.select(*TEAM, round_ref(average()).alias("avg_pts"), round_ref("std").alias("std_dev"))
 
 
 def high_week_counts(m: DataFrame, weeks=(1, 14), played_only=True) -> DataFrame:
@@ -139,11 +142,11 @@ def low_week_counts(m: DataFrame, weeks=(1, 14), played_only=True) -> DataFrame:
 
 def avg_points_in_wins(m: DataFrame, weeks=(1, 14), played_only=True) -> DataFrame:
     """Average points in completed-week wins."""
-    return played(m, weeks, played_only).filter(F.col("won") == 1).groupBy(
-        LEAGUE, "team_name").agg(round_ref(exact_avg("points")).alias("avg_pts_in_win"))
+    s = summarise(played(m, weeks, played_only).filter(F.col("won") == 1), TEAM, "points")
+    return s.select(*TEAM, round_ref(average()).alias("avg_pts_in_win"))
 
 
 def avg_points_in_losses(m: DataFrame, weeks=(1, 14), played_only=True) -> DataFrame:
     """Average points in completed-week losses (ties included)."""
-    return played(m, weeks, played_only).filter(F.col("won") == 0).groupBy(
-        LEAGUE, "team_name").agg(round_ref(exact_avg("points")).alias("avg_pts_in_loss"))
+    s = summarise(played(m, weeks, played_only).filter(F.col("won") == 0), TEAM, "points")
+    return s.select(*TEAM, round_ref(average()).alias("avg_pts_in_loss"))

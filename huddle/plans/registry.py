@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from huddle.functions.display import with_position
-from huddle.functions.numeric import exact_avg, from_units
+from huddle.functions.exact import average, summarise
 from huddle.operators import draft as dr
 from huddle.operators import headtohead as h2h
 from huddle.operators import leaderboards as lb
@@ -93,8 +93,24 @@ def _season_global(fn):
 
 def _b06(spark, d):
     m = scoreboard(spark, d, "beats", weeks=COMPLETED_WEEKS, eighths=True)
-    return sb.played(m).groupBy("league_id", "team_name").agg(
-        F.count("*").alias("games"), F.round(exact_avg("points"), 7).alias("avg_points"), F.min("points").alias("least"))
+    s = summarise(sb.played(m), ["league_id", "team_name"], "points",
+                  {"games": ("count", F.lit(1)), "least": ("min", F.col("points"))})
+    return s.select("league_id", "team_name", "games", F.round(average(), 7).alias("avg_points"), "least")
+
+
+def _a04(spark, d):
+    """Sums and averages of scores as feeds have them: noise behind the decimals, tiny and large ones."""
+    kind, value = F.col("event_id") % 3, F.col("value")
+    score = F.when(kind == 0, value * 1e-6).when(kind == 1, value + 0.1 + 0.2).otherwise(value * 10000.0 / 3.0)
+    s = summarise(fx.scores(spark, d), ["league_id", "roster_id"], score, {"largest": ("max", score)})
+    return s.select("league_id", "roster_id", "n", F.col("total").alias("total_points"), average().alias("avg_points"), "largest")
+
+
+def _a07(spark, d):
+    """Spread of scores whose mean is a million times as large, unrounded."""
+    score = F.lit(1e6) + F.floor("value").cast("double") / 1024.0
+    s = summarise(fx.scores(spark, d), ["league_id", "roster_id"], score, spread=True)
+    return s.select("league_id", "roster_id", "n", average().alias("avg_points"), F.col("std").alias("std_dev"))
 
 
 def _o02(spark, d):
@@ -115,7 +131,7 @@ def _draft_cat(fn):
 
 def _b03(spark, d):
     t = dr.player_totals(fx.player_points(spark, d))
-    return t.select("league_id", "player_id", from_units("total_units").alias("total_points"))
+    return t.select("league_id", "player_id", "total_points")
 
 
 def _b04(spark, d):
@@ -167,6 +183,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "b02_matchups_rank": lambda spark, d: scoreboard(spark, d, "rank", coarse=True),
     "b02_matchups_rank_exact": lambda spark, d: scoreboard(spark, d, "rank"),
     "b06_fine_scores": _b06,
+    "a04_any_scores": _a04,
+    "a07_far_spread": _a07,
     "q05_own_low_wins_exact": _season(lb.own_low_wins),
     "q06_own_high_losses_exact": _season(lb.own_high_losses),
     "o02_standings_order": _o02,

@@ -15,8 +15,6 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from huddle.functions.numeric import from_units, units
-
 SEASON_START = date(2024, 1, 1)  # week 1; a day of events is a week
 PENALISED = 11             # players whose number it divides score negatively
 TEAMS_PER_LEAGUE = 10      # league_id = user_id div 10
@@ -36,6 +34,19 @@ POSITION_OF_TYPE = {
 NAMELESS_POSITION = "DEF"  # catalog entries of this position carry no full_name
 
 
+UNITS = 1e6                # of a score; the tables' values have two decimals, an eighth of one five
+
+
+def _units(value):
+    """A value of the tables as a whole number of millionths."""
+    return F.rint(value * UNITS).cast("bigint")
+
+
+def _score(units):
+    """The score nearest to a sum of millionths."""
+    return units.cast("double") / UNITS
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -64,7 +75,7 @@ def weekly(spark: SparkSession, sf_dir: str, coarse: bool = False,
         (F.datediff(F.col("ts"), F.lit(SEASON_START)) + 1).alias("week"),
         (F.col("user_id") % TEAMS_PER_LEAGUE).cast("int").alias("roster_id"),
         F.col("event_type").alias("player_id"),
-        units(F.col("value") / 8 if eighths else F.col("value")).alias("v"),
+        _units(F.col("value") / 8 if eighths else F.col("value")).alias("v"),
     )
     # Partial aggregation runs before the shuffle, so a user with a huge share
     # of the events sends at most one row per (day, type) per map task.
@@ -77,10 +88,10 @@ def weekly(spark: SparkSession, sf_dir: str, coarse: bool = False,
         F.sum("s").alias("total"),
         # at most one entry per distinct player of the team-week
         F.sort_array(F.collect_list(F.struct(
-            F.col("player_id").alias("key"), from_units(F.col("s")).alias("value")))
+            F.col("player_id").alias("key"), _score(F.col("s")).alias("value")))
         ).alias("entries"),
     )
-    points = from_units(F.col("total"))
+    points = _score(F.col("total"))
     if coarse:
         points = (F.floor(points / F.lit(100.0)) * F.lit(100)).cast("double")
     r, w = F.col("roster_id"), F.col("week")
@@ -97,6 +108,13 @@ def weekly(spark: SparkSession, sf_dir: str, coarse: bool = False,
     )
 
 
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a score of its roster: (league_id, roster_id, event_id, value)."""
+    return _read(spark, sf_dir, "events").select(
+        F.expr(f"user_id div {TEAMS_PER_LEAGUE}").alias("league_id"),
+        (F.col("user_id") % TEAMS_PER_LEAGUE).cast("int").alias("roster_id"), "event_id", "value")
+
+
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One user per customer; a positive balance means the metadata carries a
     team name, otherwise the key is missing."""

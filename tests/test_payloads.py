@@ -1,13 +1,14 @@
 """Null and broken payloads, exact scores, whole results, fresh reads."""
 
 import json
+import math
 import os
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from huddle.functions.numeric import exact_avg
+from huddle.functions.exact import average, summarise
 from huddle.operators import leaderboards as lb
 from huddle.operators import scoreboard as sb
 from huddle.plans.pipeline import landing_pipeline
@@ -100,11 +101,20 @@ def test_a_broken_fetch_never_replaces_a_good_one(spark, tmp_path):
 
 
 def test_scores_are_never_rounded(spark):
-    df = spark.createDataFrame([(1, 1.005), (1, 1.005), (2, 0.125), (2, 0.125), (3, 0.004), (3, None)], "g int, x double")
-    got = {r.g: r.a for r in df.groupBy("g").agg(exact_avg("x").alias("a")).collect()}
-    assert got == {1: 1.005, 2: 0.125, 3: 0.004}
-    with pytest.raises(Exception, match="more than 6 decimals"):
-        spark.createDataFrame([(1.0 / 3,)], "x double").agg(exact_avg("x")).collect()
+    df = spark.createDataFrame([(1, 1.005), (1, 1.005), (2, 0.125), (2, 0.125), (3, 0.004), (3, None), (4, 1.0 / 3)], "g int, x double")
+    got = {r.g: r.a for r in summarise(df, ["g"], "x").select("g", average().alias("a")).collect()}
+    assert got == {1: 1.005, 2: 0.125, 3: 0.004, 4: 1.0 / 3}
+
+
+def test_a_noisy_score_does_not_end_the_run(spark, tmp_path):
+    root = str(tmp_path / "in")
+    base(root)
+    noisy = [101.30000000000001, 1e-9, 0.1 + 0.2]
+    for w, p in enumerate(noisy, 1):
+        land(root, "A", f"week={w}/matchups.json", week(p))
+    out = landing_pipeline(spark, root, str(tmp_path / "out"))
+    loss = out["loss_points_profile"].filter("team_name = 'Team_1'").first()
+    assert loss.avg_points_in_loss == math.fsum([noisy[1], noisy[2]]) / 2 and loss.min_loss == 1e-9
 
 
 def test_few_files_from_many_tasks(spark, tmp_path):
