@@ -31,140 +31,105 @@ SUMS = [f"s{i}" for i in range(PARTS)]
 SQUARES = [f"q{i}" for i in range(SQUARE_PARTS)]
 
 
-def _scaled(x: Column, bits: Column) -> Column:
-    """x * 2^bits, in two steps that neither overflow nor lose bits (bits is even)."""
-    half = F.pow(F.lit(2.0), bits / 2)
-    return x * half * half
+_FINITE = "(_x is not null and not isnan(_x) and abs(_x) < double('Infinity'))"
+# A finite value's size in digits, one off at a border at most; none for zero.
+_BIN = f"if({_FINITE} and _x <> 0d, int(floor(log2(abs(_x)) / {DIGIT})), null)"
+# x * 2^(-DIGIT * bin), in two steps that neither overflow nor lose bits
+_SCALED = f"abs(_x * pow(2d, -{DIGIT // 2} * _bin) * pow(2d, -{DIGIT // 2} * _bin))"
+_SHIFT = f"{float(1 << DIGIT)}D"
 
 
-def finite(x: Column) -> Column:
-    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-
-
-def bin_of(x: Column) -> Column:
-    """The bin of a finite value that isn't zero: its size in digits, one off at a border at most."""
-    size = F.floor(F.log2(F.abs(x)) / DIGIT).cast("int")
-    return F.when(finite(x) & (x != 0.0), size)
-
-
-def parts_of(x: Column, bin: Column) -> Column:
-    """``x = sum(parts[i] * 2^(DIGIT * (bin - i)))``, whole numbers of the sign of x."""
-    a = F.abs(_scaled(x, -DIGIT * bin))
-    whole = F.floor(a)
-    second = (a - whole) * float(1 << DIGIT)
-    third = (second - F.floor(second)) * float(1 << DIGIT)
-    sign = F.when(x < 0.0, -1).otherwise(1).cast("bigint")
-    return F.array(whole * sign, F.floor(second) * sign, F.floor(third) * sign)
-
-
-def _square_parts(parts: Column) -> Column:
-    """The digits of x * x from those of x; ``DIGIT * (2 * bin + 1 - i)`` is the place of the i-th."""
-    h, m, l = (F.abs(parts[i]) for i in range(PARTS))
-    columns = [l * l, m * l * 2, m * m + h * l * 2, h * m * 2, h * h]
-    digits, carry = [], F.lit(0).cast("bigint")
-    for c in columns:
-        v = c + carry
-        digits.append(v.bitwiseAND(MASK))
-        carry = F.shiftright(v, DIGIT)
-    return F.array(carry, *digits[::-1])
+def _square_numbers() -> list[str]:
+    """The digits of x * x from the numbers of x; ``DIGIT * (2 * bin + 1 - i)`` is the place of the i-th."""
+    h, m, l = (f"abs(_s{i})" for i in range(PARTS))
+    digits, carry = [], "0L"
+    for c in (f"{l} * {l}", f"{m} * {l} * 2", f"{m} * {m} + {h} * {l} * 2", f"{h} * {m} * 2", f"{h} * {h}"):
+        digits.append(f"({c} + {carry}) & {MASK}")
+        carry = f"shiftright({c} + {carry}, {DIGIT})"
+    return [carry, *digits[::-1]]
 
 
 def _entries(rows: DataFrame, value: Column, squares: bool) -> DataFrame:
-    """Adds _bin, the whole numbers of the value, and _odd (a value that isn't finite)."""
-    rows = rows.withColumn("_x", value.cast("double")).withColumn("_bin", bin_of(F.col("_x")))
-    rows = rows.withColumn("_parts", parts_of(F.col("_x"), F.col("_bin")))
-    if squares:
-        rows = rows.withColumn("_squares", _square_parts(F.col("_parts")))
-    return rows.withColumn("_odd", F.when(~finite(F.col("_x")), F.col("_x")))
+    """Adds _bin, the whole numbers of the value ``x = sum(_s[i] * 2^(DIGIT * (_bin - i)))``, with its
+    sign, those of its square, and _odd (a value that isn't finite). Plain columns, so all is compiled."""
+    rows = rows.withColumn("_x", value.cast("double")).selectExpr("*", f"{_BIN} as _bin")
+    rows = rows.selectExpr("*", f"{_SCALED} as _a", f"if({_FINITE}, null, _x) as _odd")
+    rows = rows.selectExpr("*", f"(_a - floor(_a)) * {_SHIFT} as _b")
+    numbers = ("floor(_a)", "floor(_b)", f"floor((_b - floor(_b)) * {_SHIFT})")
+    rows = rows.selectExpr("*", *[f"if(_x < 0d, -{x}, {x}) as _s{i}" for i, x in enumerate(numbers)])
+    return rows.selectExpr("*", *[f"{q} as _q{i}" for i, q in enumerate(_square_numbers())]) if squares else rows
 
 
-def _let(value: Column, then) -> Column:
-    """``then(value)`` with the value found once, however often it is used."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+# The few expressions that bring a key's bins together are SQL text: one parse each, where
+# nested column calls would cost more than the query. ``_let`` finds a value once.
 
+def _let(value: str, name: str, then: str) -> str:
+    return f"get(transform(array({value}), {name} -> {then}), 0)"
 
-def _digits(entries: Column, names: list[str], step: int, top: int) -> Column:
-    """Sums by place: struct(low, digits), lowest place first. The i-th number of a bin
-    has the place ``step * bin + top - i``."""
-    n = len(names)
-    bins = F.transform(entries, lambda e: e["bin"])
 
-    def at(place):
-        def add(total, e):
-            numbers = F.array(*[e[c] for c in names])
-            i = e["bin"] * step + top - place
-            return total + F.when((i >= 0) & (i < n), F.get(numbers, i)).otherwise(0)
-        return F.aggregate(entries, F.lit(0).cast("bigint"), add)
-    ends = F.struct((F.array_min(bins) * step + top - (n - 1)).alias("low"), (F.array_max(bins) * step + top).alias("high"))
-    return _let(ends, lambda e: F.struct(e["low"].alias("low"), F.transform(F.sequence(e["low"], e["high"]), at).alias("digits")))
+def _digits(names: list[str], step: int, top: int) -> str:
+    """Sums of ``_entries`` by place: struct(low, digits), lowest place first. The i-th number
+    of a bin has the place ``step * bin + top - i``."""
+    n = len(names)
+    ends = (f"named_struct('low', array_min(_entries.bin) * {step} + {top - n + 1}, "
+            f"'high', array_max(_entries.bin) * {step} + {top})")
+    i = f"x.bin * {step} + {top} - place"
+    number = f"get(array({', '.join(f'x.{c}' for c in names)}), if({i} between 0 and {n - 1}, {i}, null))"
+    sums = f"aggregate(_entries, 0L, (sum, x) -> sum + coalesce({number}, 0L))"
+    return _let(ends, "e", f"named_struct('low', e.low, 'digits', transform(sequence(e.low, e.high), place -> {sums}))")
 
 
-def _carried(digits: Column) -> Column:
+def _carried(digits: str) -> str:
     """struct(carry, text, digits): the number in proper digits; a negative carry for a negative number."""
-    start = F.struct(F.lit(0).cast("bigint").alias("carry"), F.lit("").alias("text"),
-                     F.array().cast("array<bigint>").alias("digits"))
-
-    def step(acc, d):
-        return _let(d + acc["carry"], lambda v: F.struct(
-            F.shiftright(v, DIGIT).alias("carry"),
-            F.concat(F.lpad(F.hex(v.bitwiseAND(MASK)), DIGIT // 4, "0"), acc["text"]).alias("text"),
-            F.concat(acc["digits"], F.array(v.bitwiseAND(MASK))).alias("digits")))
-    return F.aggregate(digits, start, step)
+    low = f"(d + a.carry) & {MASK}"
+    return (f"aggregate({digits}, named_struct('carry', 0L, 'text', '', 'digits', cast(array() as array<bigint>)), "
+            f"(a, d) -> named_struct('carry', shiftright(d + a.carry, {DIGIT}), "
+            f"'text', concat(lpad(hex({low}), {DIGIT // 4}, '0'), a.text), 'digits', concat(a.digits, array({low}))))")
 
 
-def _magnitude(digits: Column) -> Column:
-    """struct(negative, of): the sign and the proper digits of the absolute value."""
-    def signed(up):
-        down = _carried(F.transform(digits, lambda d: -d))
-        return F.struct((up["carry"] < 0).alias("negative"), F.when(up["carry"] < 0, down).otherwise(up).alias("of"))
-    return _let(_carried(digits), signed)
+def _magnitude(digits: str) -> str:
+    """struct(sign, of): the sign and the proper digits of the absolute value."""
+    signed = _carried(f"transform({digits}, y -> y * s)")
+    return f"get(filter(transform(array(1L, -1L), s -> named_struct('sign', s, 'of', {signed})), t -> t.of.carry >= 0), 0)"
 
 
-def _rounded(number: Column) -> Column:
+def _rounded(number: str) -> str:
     """The double nearest to ``sum(digits[i] * 2^(DIGIT * (low + i)))``: a hexadecimal
     literal of all digits is rounded once."""
-    def nearest(m, low):
-        text = F.concat(F.lit("0x"), F.hex(m["of"]["carry"]), m["of"]["text"], F.lit("p"), (low * DIGIT).cast("string"))
-        return F.when(m["negative"], -text.cast("double")).otherwise(text.cast("double"))
-    return _let(number, lambda x: _let(_magnitude(x["digits"]), lambda m: nearest(m, x["low"])))
+    literal = f"concat('0x', hex(m.of.carry), m.of.text, 'p', v.low * {DIGIT})"
+    return _let(number, "v", _let(_magnitude("v.digits"), "m", f"m.sign * cast({literal} as double)"))
 
 
-def _total(entries: Column, odd: Column) -> Column:
-    exact = F.when(F.size(entries) > 0, _rounded(_digits(entries, SUMS, 1, 0))).otherwise(0.0)
-    return F.coalesce(odd, exact)
+TOTAL = f"coalesce(_odd, if(size(_entries) > 0, {_rounded(_digits(SUMS, 1, 0))}, 0d))"
 
 
-def _proper(carried: Column) -> Column:
+def _proper(carried: str) -> str:
     """All digits of a number that isn't negative; the carry may be wider than one."""
-    return F.concat(carried["digits"], F.array(carried["carry"].bitwiseAND(MASK), F.shiftright(carried["carry"], DIGIT)))
+    return f"concat({carried}.digits, array({carried}.carry & {MASK}, shiftright({carried}.carry, {DIGIT})))"
 
 
-def _square(a: Column) -> Column:
-    """The digits (not carried) of a number's square."""
-    def column(k):
-        first, last = F.greatest(F.lit(0), k - F.size(a) + 1), F.least(k, F.size(a) - 1)
-        return F.aggregate(F.sequence(first, last), F.lit(0).cast("bigint"),
-                           lambda acc, i: acc + F.get(a, i) * F.get(a, k - i))
-    return F.transform(F.sequence(F.lit(0), F.size(a) * 2 - 2), column)
+# The digits (not carried) of the square of a number with the digits ``c``.
+_SQUARE = ("transform(sequence(0, size(c) * 2 - 2), k -> aggregate(sequence(greatest(0, k - size(c) + 1), least(k, size(c) - 1)), "
+           "0L, (sum, i) -> sum + get(c, i) * get(c, k - i)))")
 
 
-def _spread_total(entries: Column, n: Column) -> Column:
-    """``n * sum(x * x) - sum(x) ** 2``, rounded once."""
-    def digit(x, place):
-        """Of the number x at a place; 0 outside."""
-        return F.when(place >= x["low"], F.coalesce(F.get(x["digits"], place - x["low"]), F.lit(0).cast("bigint"))).otherwise(0)
+def _at(number: str) -> str:
+    """The digit of a number at ``place``; 0 outside."""
+    return f"if(place < {number}.low, 0L, coalesce(get({number}.digits, place - {number}.low), 0L))"
 
-    def less(squares, product):
-        low = F.least(squares["low"], product["low"])
-        high = F.greatest(squares["low"] + F.size(squares["digits"]), product["low"] + F.size(product["digits"]))
-        return F.struct(low.alias("low"), F.transform(
-            F.sequence(low, high), lambda p: digit(squares, p) * n - digit(product, p)).alias("digits"))
 
-    def number(x, digits, factor):
-        return F.struct((x["low"] * factor).alias("low"), digits.alias("digits"))
-    squares = _let(_digits(entries, SQUARES, 2, 1), lambda x: number(x, _proper(_carried(x["digits"])), 1))
-    product = _let(_digits(entries, SUMS, 1, 0), lambda x: number(x, _let(_proper(_magnitude(x["digits"])["of"]), _square), 2))
-    return _rounded(_let(squares, lambda q: _let(product, lambda p: less(q, p))))
+def _spread_total() -> str:
+    """``_n * sum(x * x) - sum(x) ** 2``, rounded once."""
+    squares = _let(_digits(SQUARES, 2, 1), "f", _let(
+        _carried("f.digits"), "g", f"named_struct('low', f.low, 'digits', {_proper('g')})"))
+    product = _let(_digits(SUMS, 1, 0), "f", _let(
+        _magnitude("f.digits"), "g", _let(_proper("g.of"), "c", f"named_struct('low', f.low * 2, 'digits', {_SQUARE})")))
+    places = "sequence(least(q.low, r.low), greatest(q.low + size(q.digits), r.low + size(r.digits)))"
+    difference = f"named_struct('low', least(q.low, r.low), 'digits', transform({places}, place -> {_at('q')} * _n - {_at('r')}))"
+    return _rounded(_let(squares, "q", _let(product, "r", difference)))
+
+
+STD = f"""if(_odd is not null, double('NaN'), if(size(_entries) > 0, sqrt({_spread_total()} / (double(_n) * double(_n))), 0d))"""
 
 
 # How a plain aggregate is merged from its parts in bins.
@@ -181,9 +146,7 @@ def summarise(df: DataFrame, keys: list[str], value: Column | str, plain: dict[s
     value = F.col(value) if isinstance(value, str) else value
     rows = df.select(*keys, value.cast("double").alias("_v"), *[c.alias(f"_p_{name}") for name, (_, c) in plain.items()])
     rows = _entries(rows, F.col("_v"), spread)
-    numbers = [F.sum(F.col("_parts")[i]).alias(c) for i, c in enumerate(SUMS)]
-    if spread:
-        numbers += [F.sum(F.col("_squares")[i]).alias(c) for i, c in enumerate(SQUARES)]
+    numbers = [F.sum(f"_{c}").alias(c) for c in (SUMS + SQUARES if spread else SUMS)]
     part = [(F.collect_list if kind == "texts" else _PART[kind])(f"_p_{name}").alias(f"_p_{name}")
             for name, (kind, _) in plain.items()]
     bins = rows.groupBy(*keys, "_bin").agg(*numbers, F.count("_x").alias("_n"), F.sum("_odd").alias("_odd"), *part)
@@ -196,15 +159,11 @@ def summarise(df: DataFrame, keys: list[str], value: Column | str, plain: dict[s
         else:
             whole.append(_MERGE[kind](f"_p_{name}").alias(name))
     merged = bins.groupBy(*keys).agg(
-        F.collect_list(F.when(F.col("_bin").isNotNull(), entry)).alias("_entries"), F.sum("_n").alias("n"),
+        F.collect_list(F.when(F.col("_bin").isNotNull(), entry)).alias("_entries"), F.sum("_n").alias("_n"),
         F.sum("_odd").alias("_odd"), *whole)
-    total = F.when(F.col("n") > 0, _total(F.col("_entries"), F.col("_odd")))
-    out = [*keys, "n", total.alias("total")]
+    out = [*keys, F.col("_n").alias("n"), F.expr(f"if(_n > 0, {TOTAL}, null)").alias("total")]
     if spread:
-        exact = F.when(F.size("_entries") > 0, _spread_total(F.col("_entries"), F.col("n"))).otherwise(0.0)
-        count = F.col("n").cast("double")
-        std = F.when(F.col("_odd").isNotNull(), float("nan")).otherwise(F.sqrt(exact / (count * count)))
-        out.append(F.when(F.col("n") > 0, std).alias("std"))
+        out.append(F.expr(f"if(_n > 0, {STD}, null)").alias("std"))
     return merged.select(*out, *plain)
 
 
@@ -222,9 +181,8 @@ def with_average(df: DataFrame, keys: list[str], value: str, name: str) -> DataF
     cols = df.columns
     rows = _entries(df, F.col(value), False)
     inner, outer = Window.partitionBy(*keys, "_bin"), Window.partitionBy(*keys)
-    rows = rows.select(*cols, "_bin", "_x", "_odd", *[F.sum(F.col("_parts")[i]).over(inner).alias(c) for i, c in enumerate(SUMS)])
+    rows = rows.select(*cols, "_bin", "_x", "_odd", *[F.sum(f"_{c}").over(inner).alias(c) for c in SUMS])
     entry = F.when(F.col("_bin").isNotNull(), F.struct(F.col("_bin").alias("bin"), *SUMS))
     rows = rows.select(*cols, F.collect_set(entry).over(outer).alias("_entries"), F.sum("_odd").over(outer).alias("_odd"),
                        F.count("_x").over(outer).alias("_n"))
-    total = _total(F.col("_entries"), F.col("_odd"))
-    return rows.select(*cols, F.when(F.col("_n") > 0, total / F.col("_n")).alias(name))
+    return rows.select(*cols, F.expr(f"if(_n > 0, {TOTAL} / _n, null)").alias(name))
