@@ -138,18 +138,21 @@ _PART = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
 
 
 def summarise(df: DataFrame, keys: list[str], value: Column | str, plain: dict[str, tuple[str, Column]] | None = None,
-              spread: bool = False) -> DataFrame:
-    """Per key: ``n`` (values that aren't null), ``total`` (null if none), with ``spread``
+              spread: bool = False, first: tuple[str, ...] = ()) -> DataFrame:
+    """Columns ``first`` are more keys of the first aggregation only: rows partitioned by some of the
+    keys and ``first`` are added up where they are, and only those sums are moved.
+
+    Per key: ``n`` (values that aren't null), ``total`` (null if none), with ``spread``
     also ``std`` (population standard deviation), and the plain aggregates by name: (kind, column)
     with kind count, sum, min, max, or ``texts`` (the values in order, as ``"1, 4, 9"``)."""
     plain = plain or {}
     value = F.col(value) if isinstance(value, str) else value
-    rows = df.select(*keys, value.cast("double").alias("_v"), *[c.alias(f"_p_{name}") for name, (_, c) in plain.items()])
+    rows = df.select(*keys, *first, value.cast("double").alias("_v"), *[c.alias(f"_p_{name}") for name, (_, c) in plain.items()])
     rows = _entries(rows, F.col("_v"), spread)
     numbers = [F.sum(f"_{c}").alias(c) for c in (SUMS + SQUARES if spread else SUMS)]
     part = [(F.collect_list if kind == "texts" else _PART[kind])(f"_p_{name}").alias(f"_p_{name}")
             for name, (kind, _) in plain.items()]
-    bins = rows.groupBy(*keys, "_bin").agg(*numbers, F.count("_x").alias("_n"), F.sum("_odd").alias("_odd"), *part)
+    bins = rows.groupBy(*keys, *first, "_bin").agg(*numbers, F.count("_x").alias("_n"), F.sum("_odd").alias("_odd"), *part)
     entry = F.struct(F.col("_bin").alias("bin"), *SUMS, *(SQUARES if spread else []))
     whole = []
     for name, (kind, _) in plain.items():

@@ -7,8 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from huddle.functions import exact
+
 LEAGUE = "league_id"
 
+# Two-level partitioning: rows of a very large league carry their week here, those of
+# all others 0. Rows are spread by (league, slice), so a league of a third of all rows
+# is many tasks' work and a usual one a single task's. Absent where no league is large.
+SLICE = "_slice"
+
+
+def slices(df: DataFrame) -> list[str]:
+    return [SLICE] if SLICE in df.columns else []
+
+
+def place(df: DataFrame, *more: str) -> list[str]:
+    """Keys of work inside a league: (league, more), beginning with what the rows are spread by.
+
+    Only for keys that include the week, or where each slice is worked on by itself.
+    """
+    return [LEAGUE, *slices(df), *more]
+
+
+def summarise(df: DataFrame, keys, value, plain=None, spread: bool = False) -> DataFrame:
+    """``exact.summarise``, a league's slices added up where they are first."""
+    return exact.summarise(df, list(keys), value, plain, spread, tuple(slices(df)))
+
 
 def top_n(df: DataFrame, order: Sequence[Column], n: int = 10, per_league: bool = True,
           rank_col: str | None = None, keys: Sequence[str] = (LEAGUE,)) -> DataFrame:
@@ -24,6 +48,10 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int = 10, per_league: bool
     """
     name = rank_col or "_rn"
     if per_league:
+        if slices(df):
+            # the first rows of each slice where they are, then of the league
+            w = Window.partitionBy(*keys, SLICE).orderBy(*order)
+            df = df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n).drop(name)
         w = Window.partitionBy(*keys).orderBy(*order)
         out = df.withColumn(name, F.row_number().over(w).cast("bigint")).filter(F.col(name) <= n)
     else:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from huddle.functions.exact import average, summarise, with_average
 from huddle.functions.names import drafting_team_name, player_name, player_position
 from huddle.operators.common import LEAGUE, top_n
-from huddle.operators.scoreboard import league_rosters, roster_lookup
+from huddle.operators.scoreboard import roster_names
 
 TEAMS_PER_ROUND = 10                  # round = (pick_no - 1) div 10 + 1
 EARLY_MAX, MID_MAX = 50, 100          # brackets: <= 50 early, 51..100 mid, > 100 late
@@ -64,11 +64,7 @@ def enrich_picks(picks: DataFrame, players: DataFrame, totals: DataFrame,
     p = (picks
          .join(cat, "player_id", "left")
          .join(totals, [LEAGUE, "player_id"], "left")
-         .join(league_rosters(draft_rosters, users), LEAGUE, "left"))
-    owner = roster_lookup(F.col("rosters"), F.col("roster_id"))
-    p = p.select("*", owner["metadata"].alias("metadata"),
-                 owner["user_found"].alias("user_found"),
-                 owner.isNotNull().alias("roster_found"))
+         .join(roster_names(draft_rosters, users).withColumn("roster_found", F.lit(True)), [LEAGUE, "roster_id"], "left"))
     listed = F.coalesce(F.col("in_catalog"), F.lit(False))
     unlisted = F.lit(None).cast("map<string,string>")
     return p.select(

@@ -9,16 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from huddle.functions.exact import average, summarise
+from huddle.functions.exact import average
 from huddle.functions.numeric import round_ref
-from huddle.operators.common import LEAGUE, top_n
+from huddle.operators.common import LEAGUE, place, summarise, top_n
 from huddle.operators.scoreboard import contests
 
 
 def _vs_opponent_extreme(m: DataFrame, lowest: bool, won: int, count_name: str,
                          weeks, played_only) -> DataFrame:
     c = contests(m, weeks, played_only)
-    w = Window.partitionBy(LEAGUE, "week")
+    w = Window.partitionBy(*place(c, "week"))
     ext = F.min("opp_points").over(w) if lowest else F.max("opp_points").over(w)
     rows = c.withColumn("_ext", ext).filter(
         (F.col("opp_points") == F.col("_ext")) & (F.col("won") == won))
@@ -48,7 +48,7 @@ def dominant_wins(m: DataFrame, n: int = 10, per_league: bool = True, weeks=(1,
                   played_only=True) -> DataFrame:
     """Largest winning margins."""
     c = contests(m, weeks, played_only).filter(F.col("won") == 1).select(
-        LEAGUE, "team_name", "week", "roster_id", "opp_roster_id",
+        *place(m), "team_name", "week", "roster_id", "opp_roster_id",
         round_ref(F.col("points") - F.col("opp_points")).alias("margin"),
         round_ref("points").alias("pts_for"), round_ref("opp_points").alias("pts_against"))
     order = [F.col("margin").desc_nulls_last(), F.col("week").asc(), F.col("roster_id").asc(),
@@ -61,7 +61,7 @@ def closest_matchups(m: DataFrame, n: int = 10, per_league: bool = True, weeks=(
                      played_only=True) -> DataFrame:
     """Smallest margins; each game appears once per side, a tie reads ``L``."""
     c = contests(m, weeks, played_only).select(
-        LEAGUE, "team_name", "opponent", "week", "roster_id", "opp_roster_id",
+        *place(m), "team_name", "opponent", "week", "roster_id", "opp_roster_id",
         round_ref(F.abs(F.col("points") - F.col("opp_points"))).alias("margin"),
         F.when(F.col("points") > F.col("opp_points"), F.lit("W")).otherwise(F.lit("L"))
          .alias("result"))

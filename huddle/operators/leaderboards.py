@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from huddle.functions.exact import average, summarise
+from huddle.functions.exact import average
 from huddle.functions.numeric import round_ref
-from huddle.operators.common import LEAGUE, result_letter, top_n, week_list
+from huddle.operators.common import LEAGUE, place, result_letter, summarise, top_n, week_list
 from huddle.operators.scoreboard import played
 
 
@@ -24,7 +24,7 @@ TEAM = [LEAGUE, "team_name"]
 def _week_leaders(m: DataFrame, highest: bool) -> DataFrame:
     """Rows that rank first in their (league, week), ties to the lower roster id."""
     pts = F.col("points").desc_nulls_last() if highest else F.col("points").asc_nulls_last()
-    w = Window.partitionBy(LEAGUE, "week").orderBy(pts, F.col("roster_id").asc_nulls_last())
+    w = Window.partitionBy(*place(m, "week")).orderBy(pts, F.col("roster_id").asc_nulls_last())
     return m.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1)
 
 
@@ -61,7 +61,7 @@ def low_scores_all(m: DataFrame, n: int = 10, per_league: bool = True, weeks=Non
 
 
 def _own_extreme_result(m: DataFrame, lowest: bool, won: int, count_name: str) -> DataFrame:
-    w = Window.partitionBy(LEAGUE, "week")
+    w = Window.partitionBy(*place(m, "week"))
     ext = F.min("points").over(w) if lowest else F.max("points").over(w)
     rows = m.withColumn("_ext", ext).filter(
         (F.col("points") == F.col("_ext")) & (F.col("won") == won))

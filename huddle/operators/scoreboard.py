@@ -18,46 +18,46 @@ from pyspark.sql import functions as F
 
 from huddle.functions.jsontext import dumps_entries
 from huddle.functions.names import matchup_team_name
-
-LEAGUE = "league_id"
+from huddle.operators.common import LEAGUE, SLICE, place, slices
 
 MATCHUP_COLUMNS = [LEAGUE, "week", "roster_id", "team_name", "matchup_id", "points",
                    "top_player_id", "top_player_score", "players_json"]
 
 
-def league_rosters(rosters: DataFrame, users: DataFrame) -> DataFrame:
-    """One row per league: ``rosters`` lists (roster_id, metadata, user_found)
-    for each roster of the league, the owner looked up among the league's users.
+LARGE_LEAGUE = 10_000      # rosters; a larger league is spread by week
+
+
+def roster_names(rosters: DataFrame, users: DataFrame) -> DataFrame:
+    """(league_id, roster_id, metadata, user_found): each roster with its owner's metadata.
 
-    Rosters and users go through one shuffle by league together (a union and
-    one aggregation) instead of a join: both are small per league, so the
-    roster -> owner -> user chain is resolved inside the league's lists.
-    Joining this on ``league_id`` alone keeps a league-partitioned input where
-    it is.
+    Joins on (league, user) and then, by the caller, on (league, roster): work is in
+    proportion to rosters and users, however many a league has. Spark broadcasts the
+    result where it is small; else it is moved to rows that are partitioned by league
+    already (see ``session.tuned``).
     """
-    r_type = "struct<roster_id:int,owner_id:string>"
-    u_type = "struct<user_id:string,metadata:map<string,string>>"
     r = rosters.filter(F.col("roster_id").isNotNull()).select(
-        LEAGUE, F.struct("roster_id", "owner_id").cast(r_type).alias("r"),
-        F.lit(None).cast(u_type).alias("u"))
+        LEAGUE, F.col("roster_id").cast("int").alias("roster_id"), F.col("owner_id").cast("string").alias("owner_id"))
     u = users.filter(F.col("user_id").isNotNull()).select(
-        LEAGUE, F.lit(None).cast(r_type).alias("r"),
-        F.struct("user_id", "metadata").cast(u_type).alias("u"))
-    g = r.unionByName(u).groupBy(LEAGUE).agg(
-        F.collect_list("r").alias("_rs"), F.collect_list("u").alias("_us"))
+        LEAGUE, F.col("user_id").cast("string").alias("owner_id"), F.col("metadata").cast("map<string,string>").alias("metadata"),
+        F.lit(True).alias("user_found"))
+    return r.join(u, [LEAGUE, "owner_id"], "left").select(
+        LEAGUE, "roster_id", "metadata", F.coalesce("user_found", F.lit(False)).alias("user_found"))
 
-    def resolve(x):
-        owner = F.try_element_at(F.filter("_us", lambda v: v["user_id"] == x["owner_id"]), F.lit(1))
-        return F.struct(x["roster_id"].alias("roster_id"), owner["metadata"].alias("metadata"),
-                        owner.isNotNull().alias("user_found"))
 
-    return g.select(LEAGUE, F.transform("_rs", resolve).alias("rosters"))
+def large_leagues(rosters: DataFrame, limit: int = LARGE_LEAGUE) -> DataFrame:
+    """(league_id) of the leagues with more rosters than ``limit``: few by definition."""
+    return rosters.groupBy(LEAGUE).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select(LEAGUE)
 
 
-def roster_lookup(rosters: Column, roster_id: Column) -> Column:
-    """The (roster_id, metadata, user_found) entry of ``roster_id`` in its
-    league's list; NULL when the roster is unknown (or the id is NULL)."""
-    return F.try_element_at(F.filter(rosters, lambda e: e["roster_id"] == roster_id), F.lit(1))
+def sliced(weekly: DataFrame, large: DataFrame) -> DataFrame:
+    """Spreads the rows by (league, slice): the slice is the week in the leagues of ``large``, else 0.
+
+    Everything keyed by league and week then works on the slices of a large league in
+    many tasks; reports per team add up inside the slices first and move only those sums.
+    """
+    marked = weekly.join(large.select(LEAGUE, F.lit(True).alias("_large")), LEAGUE, "left")
+    marked = marked.withColumn(SLICE, F.when(F.col("_large"), F.col("week")).otherwise(0).cast("int")).drop("_large")
+    return marked.repartition(LEAGUE, SLICE)
 
 
 def player_scores(players: Column, players_points: Column) -> Column:
@@ -93,22 +93,21 @@ def matchups_raw(weekly: DataFrame, rosters: DataFrame, users: DataFrame,
     """Team-week records with team names and top players (no win flag yet);
     ``extra`` columns of ``weekly`` are kept.
 
-    Joined to the per-league roster map on ``league_id`` only: the result is
-    hash-partitioned by league, which every later window and aggregate (all
-    keyed by league plus more) reuses without another shuffle.
+    Rows partitioned by league (or by league and slice) stay so when the names are
+    joined; every later window and aggregate is keyed by league plus more and
+    reuses that without another shuffle.
     """
     w = with_top_player(weekly)
-    joined = w.join(league_rosters(rosters, users), LEAGUE, "left")
-    owner = roster_lookup(F.col("rosters"), F.col("roster_id"))
+    joined = w.join(roster_names(rosters, users), [LEAGUE, "roster_id"], "left")
     return joined.select(
-        LEAGUE, "week", "roster_id",
-        matchup_team_name(owner["metadata"], F.col("roster_id")).alias("team_name"),
+        *place(weekly), "week", "roster_id",
+        matchup_team_name(F.col("metadata"), F.col("roster_id")).alias("team_name"),
         "matchup_id", "points", "top_player_id", "top_player_score", "players_json", *extra)
 
 
-def _matchup_window() -> Window:
+def _matchup_window(df: DataFrame) -> Window:
     """Rows of one (league, week, matchup) group."""
-    return Window.partitionBy(LEAGUE, "week", "matchup_id")
+    return Window.partitionBy(*place(df, "week", "matchup_id"))
 
 
 def with_opponents(df: DataFrame, keep_unmatched: bool) -> DataFrame:
@@ -129,7 +128,7 @@ def with_opponents(df: DataFrame, keep_unmatched: bool) -> DataFrame:
     # A NULL matchup id pairs with nothing: those rows contribute no entries,
     # so their (possibly larger) group yields empty lists.
     group = F.collect_list(F.when(F.col("matchup_id").isNotNull(), entry)).over(
-        _matchup_window())
+        _matchup_window(df))
     others = F.filter(F.col("_group"), lambda e: e["opp_roster_id"] != F.col("roster_id"))
     exploded = F.explode_outer(others) if keep_unmatched else F.explode(others)
     cols = df.columns
@@ -149,13 +148,13 @@ def matchups(raw: DataFrame, rule: str = "beats") -> DataFrame:
     if rule == "beats":
         j = with_opponents(raw, keep_unmatched=True)
         won = F.when(F.col("points") > F.coalesce(F.col("opp_points"), F.lit(0.0)), 1).otherwise(0)
-        return j.select(*MATCHUP_COLUMNS, won.alias("won"))
+        return j.select(*MATCHUP_COLUMNS, *slices(raw), won.alias("won"))
     if rule == "rank":
-        w = Window.partitionBy(LEAGUE, "week", "matchup_id").orderBy(
+        w = _matchup_window(raw).orderBy(
             F.col("points").desc_nulls_last(), F.col("roster_id").asc_nulls_last())
         rk = F.row_number().over(w).cast("bigint")
         ranked = raw.withColumn("rank_in_matchup", rk)
-        return ranked.select(*MATCHUP_COLUMNS,
+        return ranked.select(*MATCHUP_COLUMNS, *slices(raw),
                              F.when(F.col("rank_in_matchup") == 1, 1).otherwise(0).alias("won"),
                              "rank_in_matchup")
     raise ValueError(f"unknown win rule: {rule!r}")
@@ -194,13 +193,12 @@ def opponent_names(weekly: DataFrame, rosters: DataFrame, users: DataFrame) -> D
     the first entry of the group, and the first entry whose roster differs from
     it, are enough to answer for every roster of the group.
     """
-    named = weekly.select(LEAGUE, "week", "ord", "roster_id", "matchup_id").join(
-        league_rosters(rosters, users), LEAGUE, "left")
-    owner = roster_lookup(F.col("rosters"), F.col("roster_id"))
+    named = weekly.select(*place(weekly), "week", "ord", "roster_id", "matchup_id").join(
+        roster_names(rosters, users), [LEAGUE, "roster_id"], "left")
     named = named.select(
-        LEAGUE, "week", "ord", "roster_id", "matchup_id",
-        matchup_team_name(owner["metadata"], F.col("roster_id")).alias("name"))
-    grp = Window.partitionBy(LEAGUE, "week", "matchup_id").orderBy("ord", "roster_id")
+        *place(weekly), "week", "ord", "roster_id", "matchup_id",
+        matchup_team_name(F.col("metadata"), F.col("roster_id")).alias("name"))
+    grp = _matchup_window(named).orderBy("ord", "roster_id")
     whole = grp.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     entry = F.struct(F.col("roster_id").alias("r"), F.col("name").alias("n"))
     first = F.first(entry).over(whole)
@@ -212,6 +210,6 @@ def opponent_names(weekly: DataFrame, rosters: DataFrame, users: DataFrame) -> D
     opp = F.when(~F.col("roster_id").eqNullSafe(F.col("_first.r")), F.col("_first.n")).otherwise(
         F.col("_second.n"))
     # One answer per key; repeated keys of a payload give the same answer.
-    return (both.select(LEAGUE, "week", "matchup_id", "roster_id", opp.alias("opponent_name"))
-            .groupBy(LEAGUE, "week", "matchup_id", "roster_id")
-            .agg(F.first("opponent_name").alias("opponent_name")))
+    return (both.select(*place(weekly), "week", "matchup_id", "roster_id", opp.alias("opponent_name"))
+            .groupBy(*place(weekly, "week", "matchup_id", "roster_id"))
+            .agg(F.first("opponent_name").alias("opponent_name")).drop(SLICE))

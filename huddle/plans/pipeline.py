@@ -26,9 +26,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from huddle.operators import draft as dr
+from huddle.operators.common import place, slices
 from huddle.operators import scoreboard as sb
 from huddle.plans.report import (buckets_for, materialize, run_draft_report, run_report,
                                  run_season_stats)
+from huddle.session import tuned
 from huddle.sources import fixture as fx
 from huddle.sources import landing
 from huddle.streaming.ingest import SOURCE_COLUMNS, current_rows
@@ -39,11 +41,12 @@ def build_scoreboards(weekly: DataFrame, rosters: DataFrame, users: DataFrame,
     """(beats scoreboard over the report weeks, rank scoreboard over the season
     weeks, team-weeks of the report). Names and top players are found once; with the
     flags of ``landing.flagged_weeks`` each scoreboard takes its own weeks."""
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        return materialize(df, name, bucket_by="league_id", buckets=buckets) if write else df
+    def keep(df: DataFrame, name: str, exchange: bool = False) -> DataFrame:
+        return materialize(df, name, bucket_by=place(df), buckets=buckets, exchange=exchange) if write else df
 
     flags = tuple(c for c in ("in_report", "in_season") if c in weekly.columns)
-    raw = keep(sb.matchups_raw(weekly, rosters, users, flags), "matchups_raw")
+    raw = sb.matchups_raw(weekly, rosters, users, flags)
+    raw = keep(raw, "matchups_raw", exchange=bool(slices(raw)))
     of = lambda flag: (raw.filter(flag) if flags else raw).drop(*flags)
     beats = keep(sb.matchups(of("in_report"), "beats"), "scoreboard_beats")
     rank = keep(sb.matchups(of("in_season"), "rank"), "scoreboard_rank")
@@ -69,10 +72,14 @@ def all_reports(beats: DataFrame, rank: DataFrame, picks: DataFrame, players: Da
     return out
 
 
-def fixture_pipeline(spark: SparkSession, sf_dir: str, write: bool = True) -> dict[str, DataFrame]:
+def fixture_pipeline(spark: SparkSession, sf_dir: str, write: bool = True,
+                     large_league: int = sb.LARGE_LEAGUE) -> dict[str, DataFrame]:
     """All reports over the driver tables (one weekly source for both rules)."""
-    t = fx.load(spark, sf_dir)
-    beats, rank, _ = build_scoreboards(t.weekly, t.rosters, t.users, write)
+    tuned(spark)
+    large = sb.large_leagues(fx.rosters(spark, sf_dir), large_league)
+    hot = not large.isEmpty()
+    t = fx.load(spark, sf_dir, spread=hot)
+    beats, rank, _ = build_scoreboards(sb.sliced(t.weekly, large) if hot else t.weekly, t.rosters, t.users, write)
     totals = dr.player_totals(t.player_points)
     if write:
         totals = materialize(totals, "player_totals")
@@ -86,7 +93,8 @@ def fixture_pipeline(spark: SparkSession, sf_dir: str, write: bool = True) -> di
 
 def landing_pipeline(spark: SparkSession, root: str, out_dir: str,
                      weeks: tuple[int, int] = (1, 14), per_league: bool = True,
-                     n: int = 10, table: str | None = None) -> dict[str, DataFrame]:
+                     n: int = 10, table: str | None = None,
+                     large_league: int = sb.LARGE_LEAGUE) -> dict[str, DataFrame]:
     """All reports over landed JSON: parse once into parquet, then report.
     ``weeks`` is the completed-week range of the weekly report; top-n lists
     rank within each league, or across all leagues with ``per_league=False``.
@@ -95,15 +103,21 @@ def landing_pipeline(spark: SparkSession, root: str, out_dir: str,
     written bucketed (in the checkpoint folder), so the windows over a league and
     the roster join of both scoreboards read them without a shuffle.
 
+    Leagues of more than ``large_league`` rosters are spread by week as well.
+
     ``table``: weekly rows come from the table of the incremental ingest, not from
     the landed files. ``broken`` lists the payloads that can't be read.
     """
+    tuned(spark)
     paths = landing.compact(spark, root, out_dir, weekly=False)
     read = spark.read.parquet
     users, rosters = read(paths["users"]), read(paths["rosters"])
     buckets = buckets_for(spark, table or root)
     parsed = current_rows(spark, table).drop(*SOURCE_COLUMNS) if table else landing.weekly_parsed(spark, root)
-    weekly = materialize(parsed, "weekly", bucket_by="league_id", buckets=buckets, exchange=True)
+    large = sb.large_leagues(rosters, large_league)
+    if not large.isEmpty():
+        parsed = sb.sliced(parsed, large)
+    weekly = materialize(parsed, "weekly", bucket_by=place(parsed), buckets=buckets, exchange=True)
     flagged = landing.flagged_weeks(weekly)
     weekly_report = flagged.filter("in_report")
     beats, rank, raw = build_scoreboards(flagged, rosters, users, buckets=buckets)

@@ -21,6 +21,7 @@ from huddle.operators import leaderboards as lb
 from huddle.operators import luck as lk
 from huddle.operators import scoreboard as sb
 from huddle.plans.report import adhoc
+from huddle.session import tuned
 from huddle.sources import fixture as fx
 from huddle.sources import landing, payloads
 
@@ -34,13 +35,14 @@ ADHOC_SQL = (
 
 def scoreboard(spark: SparkSession, sf_dir: str, rule: str = "beats", coarse: bool = False,
                weeks: tuple[int, int] | None = None, eighths: bool = False) -> DataFrame:
+    tuned(spark)
     raw = sb.matchups_raw(fx.weekly(spark, sf_dir, coarse, weeks, eighths), fx.rosters(spark, sf_dir),
                           fx.users(spark, sf_dir))
     return sb.matchups(raw, rule)
 
 
 def _draft_inputs(spark: SparkSession, sf_dir: str):
-    totals = dr.player_totals(fx.player_points(spark, sf_dir))
+    totals = dr.player_totals(fx.player_points(tuned(spark), sf_dir))
     return (fx.picks(spark, sf_dir), fx.players(spark, sf_dir), totals,
             fx.draft_rosters(spark, sf_dir), fx.users(spark, sf_dir))
 

@@ -43,7 +43,7 @@ def buckets_for(spark: SparkSession, path: str) -> int:
     return max(_bucket_count(spark), -(-size // BUCKET_BYTES))
 
 
-def materialize(df: DataFrame, name: str, bucket_by: str | None = None,
+def materialize(df: DataFrame, name: str, bucket_by: str | list[str] | None = None,
                 buckets: int | None = None, exchange: bool = False) -> DataFrame:
     """Write ``df`` to a fresh folder under the shared checkpoint root and
     return the re-read table.
@@ -66,10 +66,11 @@ def materialize(df: DataFrame, name: str, bucket_by: str | None = None,
         df.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
     n = buckets or _bucket_count(spark)
+    bucket_by = [bucket_by] if isinstance(bucket_by, str) else bucket_by
     if exchange:
-        df = df.repartition(n, bucket_by)
+        df = df.repartition(n, *bucket_by)
     table = f"huddle_{name}_{uuid.uuid4().hex[:12]}"
-    df.write.format("parquet").bucketBy(n, bucket_by).option("path", path).saveAsTable(table)
+    df.write.format("parquet").bucketBy(n, *bucket_by).option("path", path).saveAsTable(table)
     spark.__dict__.setdefault("_huddle_tables", []).append(table)
     return spark.table(table)
 

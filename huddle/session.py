@@ -20,6 +20,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",   # see ``tuned``
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
 }
@@ -46,6 +47,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """A session that others made, with the one setting that the league plans need: off, rows
+    partitioned by league are joined on (league, roster) where they are. Results never depend on it."""
+    spark.conf.set(CO_PARTITION, "false")
+    return spark
+
+
 def _configured_dir(spark: SparkSession) -> str | None:
     return (spark.conf.get("spark.checkpoint.dir", None)
             or spark.sparkContext.getConf().get("spark.checkpoint.dir", None))

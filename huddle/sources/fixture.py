@@ -47,8 +47,17 @@ def _score(units):
     return units.cast("double") / UNITS
 
 
+# The columns that are used. With a schema at hand no job reads the files' footers for it.
+SCHEMAS = {
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double",
+    "customer": "c_custkey long, c_name string, c_acctbal double",
+    "part": "p_partkey long, p_name string, p_type string, p_size int, p_retailprice double",
+    "lineitem": "l_partkey long, l_quantity double, l_returnflag string",
+}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _in_weeks(ts, weeks: tuple[int, int]):
@@ -58,7 +67,8 @@ def _in_weeks(ts, weeks: tuple[int, int]):
 
 
 def weekly(spark: SparkSession, sf_dir: str, coarse: bool = False,
-           weeks: tuple[int, int] | None = None, eighths: bool = False) -> DataFrame:
+           weeks: tuple[int, int] | None = None, eighths: bool = False,
+           spread: bool = False) -> DataFrame:
     """Team-week records: one row per (league, week, roster) with events.
 
     ``players_points`` sums each event type's values exactly (integer
@@ -66,6 +76,7 @@ def weekly(spark: SparkSession, sf_dir: str, coarse: bool = False,
     the types alphabetically. ``coarse`` floors points to hundreds, which gives
     many ties and zero weeks. ``weeks`` reads only the events of those weeks.
     ``eighths`` divides every value by 8, which gives scores of up to five decimals.
+    ``spread`` partitions by league and week, for leagues too large for one task.
     """
     raw = _read(spark, sf_dir, "events")
     if weeks is not None:
@@ -84,7 +95,7 @@ def weekly(spark: SparkSession, sf_dir: str, coarse: bool = False,
     # From here on a league is the unit of work: hash-partition the (small)
     # per-player sums by league once; the team-week aggregate and every later
     # window and aggregate keyed by league reuse that partitioning.
-    tw = per_player.repartition("league_id").groupBy("league_id", "week", "roster_id").agg(
+    tw = per_player.repartition("league_id", *(["week"] if spread else [])).groupBy("league_id", "week", "roster_id").agg(
         F.sum("s").alias("total"),
         # at most one entry per distinct player of the team-week
         F.sort_array(F.collect_list(F.struct(
@@ -204,9 +215,9 @@ class Tables:
     player_points: DataFrame
 
 
-def load(spark: SparkSession, sf_dir: str, coarse: bool = False) -> Tables:
+def load(spark: SparkSession, sf_dir: str, coarse: bool = False, spread: bool = False) -> Tables:
     return Tables(
-        weekly=weekly(spark, sf_dir, coarse=coarse),
+        weekly=weekly(spark, sf_dir, coarse=coarse, spread=spread),
         users=users(spark, sf_dir),
         rosters=rosters(spark, sf_dir),
         draft_rosters=draft_rosters(spark, sf_dir),

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from huddle.functions.names import map_get_or
+from huddle.operators.common import slices
 from huddle.sources import schemas as S
 
 LEAGUE_NAME_DEFAULT = "N/A"
@@ -187,17 +188,23 @@ def flagged_weeks(rows: DataFrame, regular=REGULAR_WEEKS, playoffs=PLAYOFF_WEEKS
     over the league, which also hash-partitions the rows by league for all that
     follows.
     """
-    league, week = Window.partitionBy("league_id"), F.col("week")
-    marker = F.col("ord").isNull()
+    week, marker = F.col("week"), F.col("ord").isNull()
     broken = marker & F.coalesce(F.col("broken"), F.lit(False))
-
-    def upto(bounds, ends):
-        within = week.between(*bounds)
-        stop = F.min(F.when(ends & within, week)).over(league)
-        return within & (stop.isNull() | (week < stop))
-    flagged = rows.withColumn("in_season", upto(regular, broken) | upto(playoffs, broken)).withColumn(
-        "in_report", upto(report, marker))
-    return flagged.filter(F.col("ord").isNotNull()).drop("broken")
+    rules = {"_regular": (regular, broken), "_playoffs": (playoffs, broken), "_report": (report, marker)}
+    stops = {name: F.min(F.when(ends & week.between(*bounds), week)) for name, (bounds, ends) in rules.items()}
+    if slices(rows):
+        # a large league is in many places: its few markers are gathered, not its rows
+        found = rows.filter(marker).groupBy("league_id").agg(*[s.alias(name) for name, s in stops.items()])
+        flagged = rows.join(found, "league_id", "left")
+    else:
+        league = Window.partitionBy("league_id")
+        flagged = rows.withColumns({name: s.over(league) for name, s in stops.items()})
+
+    def upto(name):
+        stop = F.col(name)
+        return week.between(*rules[name][0]) & (stop.isNull() | (week < stop))
+    flagged = flagged.withColumns({"in_season": upto("_regular") | upto("_playoffs"), "in_report": upto("_report")})
+    return flagged.filter(F.col("ord").isNotNull()).drop("broken", *rules)
 
 
 def season_weeks(rows: DataFrame, regular=REGULAR_WEEKS, playoffs=PLAYOFF_WEEKS) -> DataFrame:
