@@ -20,7 +20,8 @@ import sys
 
 from huddle.functions.display import ORDERS, ordered
 from huddle.plans.pipeline import landing_pipeline
-from huddle.plans.report import RAW_VIEW, SCOREBOARD_VIEW, adhoc, release, row_counts
+from huddle.plans.report import RAW_VIEW, SCOREBOARD_VIEW, adhoc
+from huddle.plans.versions import Versions
 from huddle.session import get_spark
 
 
@@ -43,6 +44,8 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--out", required=True, help="output folder (compacted tables, reports)")
         p.add_argument("--table", default=None,
                        help="weekly table of the ingest command, read in place of landed weekly files")
+    for p in (rep, sql):
+        p.add_argument("--store", default=None, help="folder of versions: the written tables become the next one")
     rep.add_argument("--show", nargs="*", default=[], help="reports to print (a sample)")
     rep.add_argument("--weeks", nargs=2, type=int, default=[1, 14], metavar=("FIRST", "LAST"),
                      help="completed-week range of the weekly report (default 1 14)")
@@ -61,28 +64,30 @@ def main(argv: list[str] | None = None) -> int:
         return 0 if q.exception() is None else 1
     if args.cmd == "tables":
         from huddle.plans.pipeline import fixture_pipeline
+        reports = fixture_pipeline(spark, args.sf_dir, write=True)
         try:
-            reports = fixture_pipeline(spark, args.sf_dir, write=True)
             for name, df in reports.items():
                 df.write.mode("overwrite").parquet(f"{args.out.rstrip('/')}/reports/{name}")
-            print(row_counts(spark))
+            print(reports.build.row_counts())
             for name in args.show:
                 df = reports[name]
                 (ordered(df, name) if name in ORDERS else df).show(50, truncate=False)
             return 0
         finally:
-            release(spark)
+            reports.close()
     out = args.out.rstrip("/")
+    store = Versions(spark, args.store) if args.store else None
+    reports = None
     try:
         weeks = tuple(getattr(args, "weeks", (1, 14)))
         reports = landing_pipeline(spark, args.landing, f"{out}/compacted", weeks=weeks,
                                    n=getattr(args, "top", 10),
                                    per_league=not getattr(args, "across_leagues", False),
-                                   table=getattr(args, "table", None))
+                                   table=getattr(args, "table", None), versions=store)
         if args.cmd == "report":
             for name, df in reports.items():
                 df.write.mode("overwrite").parquet(f"{out}/reports/{name}")
-            print(row_counts(spark))
+            print(reports.build.row_counts())
             for name in args.show:
                 df = reports[name]
                 (ordered(df, name) if name in ORDERS else df).show(50, truncate=False)
@@ -96,7 +101,8 @@ def main(argv: list[str] | None = None) -> int:
             print(f"whole result: {out}/sql")
         return 0
     finally:
-        release(spark)
+        if reports:
+            reports.close()
         spark.catalog.dropTempView(SCOREBOARD_VIEW)
         spark.catalog.dropTempView(RAW_VIEW)
 

@@ -28,21 +28,37 @@ from pyspark.sql import DataFrame, SparkSession
 from huddle.operators import draft as dr
 from huddle.operators.common import place, slices
 from huddle.operators import scoreboard as sb
-from huddle.plans.report import (buckets_for, materialize, run_draft_report, run_report,
-                                 run_season_stats)
+from huddle.plans.report import run_draft_report, run_report, run_season_stats
+from huddle.plans.versions import Build, Versions, buckets_for
 from huddle.session import tuned
 from huddle.sources import fixture as fx
 from huddle.sources import landing
 from huddle.streaming.ingest import SOURCE_COLUMNS, current_rows
 
 
+class Reports(dict):
+    """Reports and shared tables by name, and the ``build`` that holds the written tables.
+
+    The frames read them: ``close`` when done. It deletes the files unless they are a version."""
+
+    build: Build | None = None
+
+    def close(self) -> None:
+        if self.build:
+            self.build.close()
+
+
+def _new_build(spark: SparkSession, versions: Versions | None) -> Build:
+    return versions.build() if versions else Build(spark)
+
+
 def build_scoreboards(weekly: DataFrame, rosters: DataFrame, users: DataFrame,
-                      write: bool = True, buckets: int | None = None):
-    """(beats scoreboard over the report weeks, rank scoreboard over the season
+                      build: Build | None, buckets: int | None = None):
+    """Written by ``build`` if given: (beats scoreboard over the report weeks, rank scoreboard over the season
     weeks, team-weeks of the report). Names and top players are found once; with the
     flags of ``landing.flagged_weeks`` each scoreboard takes its own weeks."""
     def keep(df: DataFrame, name: str, exchange: bool = False) -> DataFrame:
-        return materialize(df, name, bucket_by=place(df), buckets=buckets, exchange=exchange) if write else df
+        return build.materialize(df, name, place(df), buckets, exchange) if build else df
 
     flags = tuple(c for c in ("in_report", "in_season") if c in weekly.columns)
     raw = sb.matchups_raw(weekly, rosters, users, flags)
@@ -56,15 +72,16 @@ def build_scoreboards(weekly: DataFrame, rosters: DataFrame, users: DataFrame,
 def all_reports(beats: DataFrame, rank: DataFrame, picks: DataFrame, players: DataFrame,
                 totals: DataFrame, draft_rosters: DataFrame, users: DataFrame,
                 weeks=(1, 14), n: int = 10, per_league: bool = True,
-                write: bool = True, buckets: int | None = None) -> dict[str, DataFrame]:
-    """Every report. With ``write`` the picks are enriched once (catalog,
+                build: Build | None = None, buckets: int | None = None) -> Reports:
+    """Every report. With a ``build`` the picks are enriched once (catalog,
     totals, drafting team) and written bucketed by league, so the six draft
     reports run without a shuffle, like the scoreboard reports."""
     enriched = None
-    if write:
-        enriched = materialize(dr.enrich_picks(picks, players, totals, draft_rosters, users),
-                               "picks_enriched", bucket_by="league_id", buckets=buckets, exchange=buckets is not None)
-    out: dict[str, DataFrame] = {}
+    if build:
+        enriched = build.materialize(dr.enrich_picks(picks, players, totals, draft_rosters, users),
+                                     "picks_enriched", "league_id", buckets, exchange=buckets is not None)
+    out = Reports()
+    out.build = build
     out.update(run_season_stats(rank, n, per_league))
     out.update(run_report(beats, weeks, n, per_league))
     out.update(run_draft_report(picks, players, totals, draft_rosters, users, n, per_league,
@@ -73,28 +90,31 @@ def all_reports(beats: DataFrame, rank: DataFrame, picks: DataFrame, players: Da
 
 
 def fixture_pipeline(spark: SparkSession, sf_dir: str, write: bool = True,
-                     large_league: int = sb.LARGE_LEAGUE) -> dict[str, DataFrame]:
+                     large_league: int = sb.LARGE_LEAGUE, versions: Versions | None = None) -> Reports:
     """All reports over the driver tables (one weekly source for both rules)."""
     tuned(spark)
+    build = _new_build(spark, versions) if write else None
     large = sb.large_leagues(fx.rosters(spark, sf_dir), large_league)
     hot = not large.isEmpty()
     t = fx.load(spark, sf_dir, spread=hot)
-    beats, rank, _ = build_scoreboards(sb.sliced(t.weekly, large) if hot else t.weekly, t.rosters, t.users, write)
+    beats, rank, _ = build_scoreboards(sb.sliced(t.weekly, large) if hot else t.weekly, t.rosters, t.users, build)
     totals = dr.player_totals(t.player_points)
-    if write:
-        totals = materialize(totals, "player_totals")
+    if build:
+        totals = build.materialize(totals, "player_totals")
     out = all_reports(beats, rank, t.picks, t.players, totals, t.draft_rosters, t.users,
-                      write=write)
+                      build=build)
     out["scoreboard"] = beats
     out["scoreboard_rank"] = rank
     out["player_totals"] = totals
+    if versions:
+        build.commit()
     return out
 
 
 def landing_pipeline(spark: SparkSession, root: str, out_dir: str,
                      weeks: tuple[int, int] = (1, 14), per_league: bool = True,
                      n: int = 10, table: str | None = None,
-                     large_league: int = sb.LARGE_LEAGUE) -> dict[str, DataFrame]:
+                     large_league: int = sb.LARGE_LEAGUE, versions: Versions | None = None) -> Reports:
     """All reports over landed JSON: parse once into parquet, then report.
     ``weeks`` is the completed-week range of the weekly report; top-n lists
     rank within each league, or across all leagues with ``per_league=False``.
@@ -105,10 +125,13 @@ def landing_pipeline(spark: SparkSession, root: str, out_dir: str,
 
     Leagues of more than ``large_league`` rosters are spread by week as well.
 
+    ``versions``: the written tables become its next version, once all are whole.
+
     ``table``: weekly rows come from the table of the incremental ingest, not from
     the landed files. ``broken`` lists the payloads that can't be read.
     """
     tuned(spark)
+    build = _new_build(spark, versions)
     paths = landing.compact(spark, root, out_dir, weekly=False)
     read = spark.read.parquet
     users, rosters = read(paths["users"]), read(paths["rosters"])
@@ -117,17 +140,18 @@ def landing_pipeline(spark: SparkSession, root: str, out_dir: str,
     large = sb.large_leagues(rosters, large_league)
     if not large.isEmpty():
         parsed = sb.sliced(parsed, large)
-    weekly = materialize(parsed, "weekly", bucket_by=place(parsed), buckets=buckets, exchange=True)
+    weekly = build.materialize(parsed, "weekly", place(parsed), buckets, exchange=True)
     flagged = landing.flagged_weeks(weekly)
     weekly_report = flagged.filter("in_report")
-    beats, rank, raw = build_scoreboards(flagged, rosters, users, buckets=buckets)
-    totals = materialize(dr.player_totals(dr.player_points_from_weekly(weekly_report)),
-                         "player_totals")
+    beats, rank, raw = build_scoreboards(flagged, rosters, users, build, buckets)
+    totals = build.materialize(dr.player_totals(dr.player_points_from_weekly(weekly_report)), "player_totals")
     out = all_reports(beats, rank, read(paths["picks"]), read(paths["players"]), totals,
-                      rosters, users, weeks=weeks, n=n, per_league=per_league, buckets=buckets)
+                      rosters, users, weeks=weeks, n=n, per_league=per_league, build=build, buckets=buckets)
     out["broken"] = landing.broken_payloads(spark, root)
     out["scoreboard"] = beats
     out["scoreboard_rank"] = rank
     out["matchups_raw"] = raw
     out["league"] = read(paths["league"])
+    if versions:
+        build.commit()
     return out

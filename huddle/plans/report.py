@@ -1,93 +1,19 @@
-"""Report runners, ad-hoc SQL and materialization of the scoreboard.
-
-The scoreboard feeds every report, so a full run writes it once as parquet
-under the cluster's shared checkpoint folder and reads it back: that cuts
-the lineage (a lost executor re-reads the written files instead of
-recomputing the event aggregation) and later scans get column pruning and
-pushed-down filters. Tables are not partitioned by league on disk: with
-millions of leagues that would mean millions of directories.
-"""
+"""Report runners and ad-hoc SQL. The scoreboard that every report reads is written once
+by ``plans/pipeline.py`` (see ``plans/versions.py``)."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from huddle.operators import headtohead as h2h
 from huddle.operators import leaderboards as lb
 from huddle.operators import luck as lk
-from huddle.session import scratch_path
 
 SCOREBOARD_VIEW = "matchups"
 RAW_VIEW = "matchups_raw"
 
 
-def _bucket_count(spark: SparkSession) -> int:
-    try:
-        return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    except (TypeError, ValueError):
-        return 200
-
-
-BUCKET_BYTES = 128 << 20
-
-
-def buckets_for(spark: SparkSession, path: str) -> int:
-    """Buckets for what is read from ``path``: one for each 128 MB, and at least as many
-    as shuffle partitions."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
-    return max(_bucket_count(spark), -(-size // BUCKET_BYTES))
-
-
-def materialize(df: DataFrame, name: str, bucket_by: str | list[str] | None = None,
-                buckets: int | None = None, exchange: bool = False) -> DataFrame:
-    """Write ``df`` to a fresh folder under the shared checkpoint root and
-    return the re-read table.
-
-    With ``bucket_by="league_id"`` the table is written bucketed by league and
-    registered as an external table over that folder: a reader then knows the
-    rows are hash-partitioned by league, so every later window or aggregate
-    keyed by league (plus more) runs without a shuffle. An input that is
-    already hash-partitioned by league into the same number of partitions
-    writes one file per bucket; any other needs ``exchange``, or each task writes
-    a file into every bucket.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    # Row count of the written table, gathered while writing (no extra job).
-    obs = Observation(f"{name}_rows")
-    df = df.observe(obs, F.count(F.lit(1)).alias("rows"))
-    spark.__dict__.setdefault("_huddle_row_counts", {})[name] = obs
-    if not bucket_by:
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-    n = buckets or _bucket_count(spark)
-    bucket_by = [bucket_by] if isinstance(bucket_by, str) else bucket_by
-    if exchange:
-        df = df.repartition(n, *bucket_by)
-    table = f"huddle_{name}_{uuid.uuid4().hex[:12]}"
-    df.write.format("parquet").bucketBy(n, *bucket_by).option("path", path).saveAsTable(table)
-    spark.__dict__.setdefault("_huddle_tables", []).append(table)
-    return spark.table(table)
-
-
-def row_counts(spark: SparkSession) -> dict[str, int]:
-    """Rows written per table by ``materialize`` in this session."""
-    return {name: obs.get["rows"] for name, obs in
-            spark.__dict__.get("_huddle_row_counts", {}).items()}
-
-
-def release(spark: SparkSession) -> None:
-    """Drop the catalog entries of tables written by ``materialize`` (the files
-    stay under the checkpoint folder, which the cluster cleans)."""
-    for table in spark.__dict__.pop("_huddle_tables", []):
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
-
-
 def adhoc(spark: SparkSession, sql: str, scoreboard: DataFrame | None = None,
           raw: DataFrame | None = None) -> DataFrame | None:
     """Run any SQL over the scoreboard view ``matchups`` (and ``matchups_raw``,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from huddle.operators import scoreboard as sb
 from huddle.operators.common import SLICE
 from huddle.plans.pipeline import build_scoreboards, landing_pipeline
+from huddle.plans.versions import Build
 from huddle.plans.report import run_report, run_season_stats
 from huddle.sources import landing
 
@@ -77,7 +78,7 @@ def test_no_task_has_over_three_times_the_median(spark, frames):
         assert most(spread) <= 3
         assert most(weekly.repartition("league_id")) > 3
         # on written tables windows run where the rows are; a report per team moves its sums alone
-        beats, rank, _ = build_scoreboards(sb.sliced(weekly, sb.large_leagues(rosters, 50)), rosters, users, buckets=8)
+        beats, rank, _ = build_scoreboards(sb.sliced(weekly, sb.large_leagues(rosters, 50)), rosters, users, Build(spark), buckets=8)
         plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
         for name, df in {**run_season_stats(rank), **run_report(beats)}.items():
             p = plan(df)

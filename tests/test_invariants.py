@@ -81,7 +81,6 @@ PIPELINE_TO_QUERY = {
 def test_pipeline_over_written_tables_equals_registered_queries(spark):
     import __spark_entry__ as se
     from huddle.plans.pipeline import fixture_pipeline
-    from huddle.plans.report import release
     out = fixture_pipeline(spark, SF_DIR, write=True)
     try:
         for name, key in PIPELINE_TO_QUERY.items():
@@ -90,4 +89,4 @@ def test_pipeline_over_written_tables_equals_registered_queries(spark):
             b = sorted(map(tuple, q.select(*out[name].columns).collect()), key=repr)
             assert a == b, name
     finally:
-        release(spark)
+        out.close()

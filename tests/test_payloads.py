@@ -118,9 +118,9 @@ def test_a_noisy_score_does_not_end_the_run(spark, tmp_path):
 
 
 def test_few_files_from_many_tasks(spark, tmp_path):
-    from huddle.plans.report import materialize
+    from huddle.plans.versions import Build
     df = spark.range(0, 4000, numPartitions=60).select((F.col("id") % 97).alias("league_id"), "id")
-    out = materialize(df, "many", bucket_by="league_id", buckets=8, exchange=True)
+    out = Build(spark).materialize(df, "many", "league_id", 8, exchange=True)
     assert len({r[0] for r in out.select(F.input_file_name()).distinct().collect()}) <= 8 and out.count() == 4000
 
 

@@ -7,7 +7,8 @@ import pytest
 
 import __spark_entry__ as se
 from huddle.plans.pipeline import build_scoreboards
-from huddle.plans.report import adhoc, release, row_counts, run_report, run_season_stats
+from huddle.plans.report import adhoc, run_report, run_season_stats
+from huddle.plans.versions import Build
 from huddle.sources import fixture as fx
 
 SF_DIR = os.environ.get("HUDDLE_TEST_SF", "/root/testdata/sf0.001")
@@ -25,13 +26,13 @@ def hash_exchanges(p):
 @pytest.fixture(scope="module")
 def written(spark):
     t = fx.load(spark, SF_DIR)
-    beats, rank, _ = build_scoreboards(t.weekly, t.rosters, t.users, write=True)
-    yield beats, rank
-    release(spark)
+    with Build(spark) as build:
+        beats, rank, _ = build_scoreboards(t.weekly, t.rosters, t.users, build)
+        yield beats, rank, build
 
 
 def test_reports_on_written_scoreboards_do_not_shuffle(written):
-    beats, rank = written
+    beats, rank, _ = written
     reports = {**run_season_stats(rank), **run_report(beats)}
     assert len(reports) == 24
     for name, df in reports.items():
@@ -72,8 +73,8 @@ def test_adhoc_sql(spark):
 
 
 def test_written_row_counts(spark, written):
-    beats, _ = written
-    counts = row_counts(spark)
+    beats, _, build = written
+    counts = build.row_counts()
     assert counts["scoreboard_beats"] == beats.count()
     assert counts["matchups_raw"] > 0
 
@@ -113,4 +114,4 @@ def test_every_pipeline_report_runs_without_a_shuffle(spark):
         for name, df in reports.items():
             assert "Exchange" not in plan(df), name
     finally:
-        release(spark)
+        out.close()
