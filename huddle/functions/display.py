@@ -63,18 +63,19 @@ def _key(spec: str) -> Column:
     return F.col(spec).asc_nulls_last()
 
 
-def _keys(name: str) -> list[Column]:
+def sort_keys(name: str) -> list[Column]:
+    """The printed order of a report, inside a league."""
     return [_key(k) for k in ORDERS[name]]
 
 
 def ordered(df: DataFrame, name: str) -> DataFrame:
     """The report sorted for printing (league first)."""
-    return df.orderBy(F.col(LEAGUE).asc(), *_keys(name))
+    return df.orderBy(F.col(LEAGUE).asc(), *sort_keys(name))
 
 
 def with_position(df: DataFrame, name: str, col: str = "pos_no") -> DataFrame:
     """Adds the printed 1-based position of each row within its league."""
-    w = Window.partitionBy(LEAGUE).orderBy(*_keys(name))
+    w = Window.partitionBy(LEAGUE).orderBy(*sort_keys(name))
     return df.withColumn(col, F.row_number().over(w))
 
 

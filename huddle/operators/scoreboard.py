@@ -83,7 +83,7 @@ def with_top_player(weekly: DataFrame) -> DataFrame:
     scored = weekly.select("*", player_scores(F.col("players"), F.col("players_points"))
                            .alias("_scores"))
     top = scored.select("*", top_of(F.col("_scores")).alias("_top"),
-                        dumps_entries(F.col("_scores")).alias("players_json"))
+                        dumps_entries("_scores").alias("players_json"))
     return top.select(*weekly.columns, F.col("_top.id").alias("top_player_id"),
                       F.col("_top.score").alias("top_player_score"), "players_json")
 

@@ -62,9 +62,12 @@ def _elements(df: DataFrame, element, keep: list[str], outer: bool = False) -> D
 
 def league_info(spark: SparkSession, root: str) -> DataFrame:
     """(league_id, name); a missing name reads ``N/A``, an explicit null stays null."""
-    raw = _payloads(spark, root, "league_id=*/league.json", "league_id string")
+    return league_info_from(_payloads(spark, root, "league_id=*/league.json", "league_id string"))
+
+
+def league_info_from(payloads: DataFrame) -> DataFrame:
     obj = F.from_json("value", "map<string,string>")
-    return raw.select("league_id", map_get_or(obj, "name", F.lit(LEAGUE_NAME_DEFAULT)).alias(
+    return payloads.select("league_id", map_get_or(obj, "name", F.lit(LEAGUE_NAME_DEFAULT)).alias(
         "name"))
 
 
@@ -229,8 +232,11 @@ def weekly_report(spark: SparkSession, root: str) -> DataFrame:
 
 def drafts(spark: SparkSession, root: str) -> DataFrame:
     """Drafts of each league in list order."""
-    raw = _payloads(spark, root, "league_id=*/drafts.json", "league_id string")
-    return _elements(raw, S.DRAFT_ELEMENT, ["league_id"])
+    return drafts_from(_payloads(spark, root, "league_id=*/drafts.json", "league_id string"))
+
+
+def drafts_from(payloads: DataFrame) -> DataFrame:
+    return _elements(payloads, S.DRAFT_ELEMENT, ["league_id"])
 
 
 def picks(spark: SparkSession, root: str) -> DataFrame:

@@ -25,6 +25,18 @@ def as_lists(df: DataFrame, keys: list[str], order: Column, element: Column) ->
     return df.groupBy(*keys).agg(F.concat(F.lit("["), joined, F.lit("]")).alias("value"))
 
 
+def leagues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """League objects: with a name, without one, with an explicit null."""
+    ids = fx.rosters(spark, sf_dir).select("league_id").distinct()
+    name = F.concat(F.lit('{"name": "League '), F.col("league_id").cast("string"), F.lit('"}'))
+    return ids.withColumn("value", F.when(F.col("league_id") % 3 == 0, name).when(
+        F.col("league_id") % 3 == 1, "{}").otherwise('{"name": null}'))
+
+
+def draft_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_lists(drafts(spark, sf_dir), ["league_id"], F.col("ord"), F.struct("draft_id"))
+
+
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users of each league; every third user is listed twice, first under an old name."""
     now = fx.users(spark, sf_dir).withColumn("at", F.col("user_id").cast("long") * 2 + 1)
