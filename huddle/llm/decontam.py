@@ -33,6 +33,8 @@ SEGMENT, STRIDE, LEAST = 96, 48, 32
 EDIT_SHARE = 0.1
 BLOCK_SEGMENTS = 40_000      # about 4 MB of segments broadcast at once
 _SLICE = 1 << 20
+HITS = 1 << 21               # shared q-grams looked at together
+REGIONS = 1 << 15            # regions aligned together
 _FILTER_BITS, _BAND_BITS = 22, 22
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -112,22 +114,28 @@ class Index:
         row = np.searchsorted(off, at, "right") - 1
         inside = at + Q <= off[row + 1]
         at, where, row = at[inside], where[inside], row[inside]
-        n = self.bound[where + 1] - self.bound[where]
-        hit = np.repeat(self.bound[where] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        seg = self.owner[hit]
-        row = np.repeat(row, n)
-        diagonal = np.repeat(at, n) - self.place[hit] - off[row] + SEGMENT
-        band = diagonal // self.width
-        key = ((row.astype(np.uint64) << _U(40)) + (seg.astype(np.uint64) << _U(24)) + band.astype(np.uint64) if len(self.size) < 1 << 16
-               and off[-1] < 1 << 24 else _wide(row, seg, band))
-        # hashed counts are upper bounds; what remains is counted exactly
-        count = np.bincount(_hash(key, _BAND_BITS), minlength=1 << _BAND_BITS)
-        near = count[_hash(key, _BAND_BITS)] + np.maximum(
-            count[_hash(key + _U(1), _BAND_BITS)], count[_hash(key - _U(1), _BAND_BITS)])
-        keep = near >= self.least[seg]
-        key, row, seg, band = key[keep], row[keep], seg[keep], band[keep]
-        key, first, count = np.unique(key, return_index=True, return_counts=True)
-        row, seg, band = row[first], seg[first], band[first]
+        # hashed counts are upper bounds; bands that may reach the bound are counted exactly
+        hashed = np.zeros(1 << _BAND_BITS, np.int64)
+        chunks = self._chunks(where)
+        held = None
+        for a, b in chunks:
+            held = self._hits(at[a:b], where[a:b], row[a:b], off)
+            hashed += np.bincount(_hash(held[0], _BAND_BITS), minlength=1 << _BAND_BITS)
+        kept = []
+        for a, b in chunks:
+            key, of_row, seg, band = held if len(chunks) == 1 else self._hits(at[a:b], where[a:b], row[a:b], off)
+            near = hashed[_hash(key, _BAND_BITS)] + np.maximum(
+                hashed[_hash(key + _U(1), _BAND_BITS)], hashed[_hash(key - _U(1), _BAND_BITS)])
+            keep = np.flatnonzero(near >= self.least[seg])
+            key, first, count = np.unique(key[keep], return_index=True, return_counts=True)
+            kept.append((key, count, *(x[keep[first]] for x in (of_row, seg, band))))
+        if not kept:
+            return np.zeros((0, 3), np.int64)
+        key, count, row, seg, band = (np.concatenate(x) for x in zip(*kept))
+        if len(kept) > 1:
+            key, first, group = np.unique(key, return_index=True, return_inverse=True)
+            count = np.bincount(group, count, len(key)).astype(np.int64)
+            row, seg, band = row[first], seg[first], band[first]
         out = []
         for step in (0, 1):                                       # bands b-1, b and b, b+1
             other = key - _U(1) if step == 0 else key + _U(1)
@@ -137,8 +145,36 @@ class Index:
             out.append(np.column_stack([row, seg, (band - 1 + step) * self.width - SEGMENT])[good])
         return np.unique(np.concatenate(out), axis=0) if len(out[0]) + len(out[1]) else np.zeros((0, 3), np.int64)
 
+    def _chunks(self, where):
+        """Ranges of text places with about HITS hits each, so that a text of one letter is
+        worked on in a bounded space too."""
+        total = np.cumsum(self.bound[where + 1] - self.bound[where])
+        out, a = [], 0
+        while a < len(where):
+            done = total[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(total, done + HITS, "right")))
+            out.append((a, b))
+            a = b
+        return out
+
+    def _hits(self, at, where, row, off):
+        """(key of row, segment and band; row; segment; band) of each q-gram shared with a segment."""
+        n = self.bound[where + 1] - self.bound[where]
+        hit = np.repeat(self.bound[where] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        seg = self.owner[hit]
+        row = np.repeat(row, n)
+        diagonal = np.repeat(at, n) - self.place[hit] - off[row] + SEGMENT
+        band = diagonal // self.width
+        key = ((row.astype(np.uint64) << _U(40)) + (seg.astype(np.uint64) << _U(24)) + band.astype(np.uint64) if len(self.size) < 1 << 16
+               and off[-1] < 1 << 24 else _wide(row, seg, band))
+        return key, row, seg, band
+
     def verify(self, raw: np.ndarray, off: np.ndarray, found: np.ndarray):
-        """Least edits of each region, and where in the row its alignment ends."""
+        """Of the regions that are within their edits: the region, its edits, and where in the row its alignment ends."""
+        parts = [self._verify(raw, off, found[a:a + REGIONS]) for a in range(0, len(found), REGIONS)]
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _verify(self, raw: np.ndarray, off: np.ndarray, found: np.ndarray):
         row, seg, start = found.T
         size, edits = self.size[seg], self.edits[seg]
         span = 3 * self.width                                     # two bands, and the drift of the alignment
@@ -183,9 +219,11 @@ def _matches(batch, index):
         found = index.regions(own, at)
         if len(found):
             found, edits, end = index.verify(own, at, found)
-            for (row, seg, _), e, stop in zip(found, edits, end):
-                head = own[at[row]:at[row] + stop]
-                yield a + int(row), int(seg), int(e), int(np.count_nonzero((head & 0xC0) != 0x80))
+            if len(found):
+                points = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
+                row, seg = found[:, 0], found[:, 1]
+                stop = points[at[row] + end] - points[at[row]]
+                yield from zip((a + row).tolist(), seg.tolist(), edits.tolist(), stop.tolist())
 
 
 def _blocks(benchmark: DataFrame):
@@ -195,7 +233,11 @@ def _blocks(benchmark: DataFrame):
     for k in range(n):
         rows = every.filter(F.pmod(F.xxhash64("item_id", "segment", "text"), F.lit(n)) == k).toArrow()
         if rows.num_rows:
-            yield rows.column("item_id").to_pylist(), rows.column("segment").to_pylist(), rows.column("text").to_pylist()
+            # equal segments (of a repetitive item, or of several) are searched once
+            owners: dict[bytes, list] = {}
+            for item, no, text in zip(*(rows.column(c).to_pylist() for c in ("item_id", "segment", "text"))):
+                owners.setdefault(text, []).append((item, no))
+            yield list(owners.values()), list(owners)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -203,30 +245,34 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     edits, and the places (code points) where the first and the last one end."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, item_id long, segment int, edits int, stop long"
+    schema = "doc_id long, item_id long, segment int, edits int, first long, last long"
     out = spark.createDataFrame([], schema)
-    for item, no, text in _blocks(benchmark):
-        sent = spark.sparkContext.broadcast((item, no, Index(text)))
+    for owners, text in _blocks(benchmark):
+        sent = spark.sparkContext.broadcast((owners, Index(text)))
 
         def find(batches, sent=sent):
-            item, no, index = sent.value
+            owners, index = sent.value
             for batch in batches:
                 doc = batch.column("doc_id").to_pylist()
-                got = [(doc[r], item[s], no[s], e, p) for r, s, e, p in _matches(batch, index)]
+                best: dict[tuple, list] = {}     # of a text and segment: least edits, first and last end
+                for r, s, e, p in _matches(batch, index):
+                    b = best.setdefault((r, s), [e, p, p])
+                    best[r, s] = [min(b[0], e), min(b[1], p), max(b[2], p)]
+                got = [(doc[r], item, no, *b) for (r, s), b in best.items() for item, no in owners[s]]
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got), (
-                        pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))],
-                        names=["doc_id", "item_id", "segment", "edits", "stop"])
+                        pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))],
+                        names=["doc_id", "item_id", "segment", "edits", "first", "last"])
 
         out = out.unionByName(texts.mapInArrow(tidied(find), schema))
-    best = out.groupBy("doc_id", "item_id", "segment").agg(F.min("edits").alias("edits"), F.min("stop").alias("a"), F.max("stop").alias("b"))
+    best = out.groupBy("doc_id", "item_id", "segment").agg(F.min("edits").alias("edits"), F.min("first").alias("a"), F.max("last").alias("b"))
     return best.groupBy("doc_id", "item_id").agg(
         F.count("*").alias("segments"), F.sum("edits").alias("edits"), F.min("a").alias("first_end"), F.max("b").alias("last_end"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text holds no passage of the benchmark, all columns kept."""
-    for _, _, text in _blocks(benchmark):
+    for _, text in _blocks(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(Index(text))
 
         def keep(batches, sent=sent):

@@ -93,3 +93,38 @@ def test_empty(none, docs, bench):
     assert decontam.matches(docs, bench[0].filter("false")).count() == 0
     assert decontam.decontaminated(docs, bench[0].filter("false")).count() == docs.count()
     assert np.isfinite(decontam.decontaminated(docs, bench[0]).count())
+
+
+def test_texts_of_one_letter(spark):
+    """A run of a letter in a text and in the benchmark shares all q-grams on all diagonals: bounded space, whole result."""
+    import tracemalloc
+    index = decontam.Index([b"a" * 96, b"a" * 95 + b"b"])
+    text = "a" * 200_000 + "b" + "-" * 50_000
+    tracemalloc.start()
+    got = list(decontam._matches(pa.RecordBatch.from_pydict({"text": [text, "c" * 200_000]}), index))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 700e6
+    assert {r for r, *_ in got} == {0} and {s for _, s, *_ in got} == {0, 1}
+    # every band of diagonals holds the run, from the first place where it fits on
+    ends = sorted(p for _, s, e, p in got if s == 0 and e == 0)
+    assert ends[0] <= 96 + 10 and ends[-1] >= 200_000 - 10 and max(np.diff(ends)) <= index.width * 2
+
+
+def test_hits_in_chunks_give_the_same(monkeypatch):
+    r = random.Random(12)
+    items = [words(r, 60).encode()[:96] for _ in range(30)]
+    texts = [words(r, 400) + " " + items[i % 30].decode() + " " + words(r, 50) for i in range(40)] + [items[3].decode() * 20]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    whole = sorted(decontam._matches(batch, decontam.Index(items)))
+    monkeypatch.setattr(decontam, "HITS", 50)
+    monkeypatch.setattr(decontam, "REGIONS", 7)
+    assert sorted(decontam._matches(batch, decontam.Index(items))) == whole and len(whole) > 40
+
+
+def test_equal_segments_of_items(spark):
+    bench = spark.createDataFrame([(1, "ab " * 400), (2, "ab " * 100), (3, "xyz" * 40)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "head " + "ab " * 120), (2, "nothing"), (3, "xyz" * 50)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.segments for r in decontam.matches(docs, bench).collect()}
+    n = {r.item_id: r["count"] for r in decontam.segments(bench).groupBy("item_id").count().collect()}
+    assert got == {(1, 1): n[1], (1, 2): n[2], (3, 3): n[3]}
