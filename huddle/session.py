@@ -7,6 +7,7 @@ names. Only when that is unset (local tests) do we pick a directory ourselves.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -98,3 +99,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package, wherever the driver was started.
+    (On a cluster the package is sent with ``--py-files`` or installed.)"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])

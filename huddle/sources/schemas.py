@@ -51,3 +51,7 @@ ROSTERS_COLUMNS = ["league_id", "roster_id", "owner_id"]
 PICKS_COLUMNS = ["league_id", "ord", "pick_no", "player_id", "roster_id"]
 PLAYERS_COLUMNS = ["player_id", "attrs"]
 PLAYER_POINTS_COLUMNS = ["league_id", "player_id", "points"]
+
+# Rows and markers of ``landing.weekly_rows`` with the file they come from.
+WEEKLY_ROWS = ("league_id string, week int, source_file string, landed_at timestamp, ord int, roster_id int, matchup_id int, "
+               "points double, players array<string>, players_points map<string,double>, broken boolean")

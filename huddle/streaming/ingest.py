@@ -30,19 +30,24 @@ PATTERN = "league_id=*/week=*/matchups*.json"
 SOURCE_COLUMNS = ["source_file", "landed_at"]
 
 
-def weekly_stream(spark: SparkSession, root: str, max_files_per_trigger: int | None = None
-                  ) -> DataFrame:
-    """Streaming DataFrame of parsed weekly rows from newly landed files; an
-    empty payload yields one marker row with ``ord`` NULL."""
+def landed_files(spark: SparkSession, root: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Stream of newly landed weekly files: league_id, week, value, source_file, landed_at."""
     root = root.rstrip("/")
     r = (spark.readStream.schema("value string, league_id string, week int")
          .option("basePath", root).option("wholetext", True))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    files = r.text(f"{root}/{PATTERN}").select(
+    return r.text(f"{root}/{PATTERN}").select(
         "league_id", "week", "value",
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_modification_time").alias("landed_at"))
+
+
+def weekly_stream(spark: SparkSession, root: str, max_files_per_trigger: int | None = None
+                  ) -> DataFrame:
+    """Streaming DataFrame of parsed weekly rows from newly landed files; an
+    empty payload yields one marker row with ``ord`` NULL."""
+    files = landed_files(spark, root, max_files_per_trigger)
     return landing.weekly_rows(files, extra=SOURCE_COLUMNS, keep_empty=True)
 
 
