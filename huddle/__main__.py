@@ -37,6 +37,8 @@ def main(argv: list[str] | None = None) -> int:
     ing = sub.add_parser("ingest", help="append newly landed weekly payloads to a table")
     ing.add_argument("--landing", required=True, help="root of the landed payloads")
     ing.add_argument("--table", required=True, help="append-only weekly table (parquet)")
+    ing.add_argument("--newest", action="store_true",
+                     help="keep only payloads that are the newest of their week (for report --refresh)")
     ing.add_argument("--checkpoint", default=None,
                      help="stream checkpoint (default: under spark.checkpoint.dir)")
     for p in (rep, sql):
@@ -44,6 +46,8 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--out", required=True, help="output folder (compacted tables, reports)")
         p.add_argument("--table", default=None,
                        help="weekly table of the ingest command, read in place of landed weekly files")
+    rep.add_argument("--refresh", action="store_true",
+                     help="with --store and a --table of ingest --newest: work on the leagues that changed only")
     for p in (rep, sql):
         p.add_argument("--store", default=None, help="folder of versions: the written tables become the next one")
     rep.add_argument("--show", nargs="*", default=[], help="reports to print (a sample)")
@@ -58,7 +62,11 @@ def main(argv: list[str] | None = None) -> int:
     spark = get_spark()
     if args.cmd == "ingest":
         from huddle.streaming.ingest import start_weekly_ingest
-        q = start_weekly_ingest(spark, args.landing, args.table, checkpoint=args.checkpoint)
+        from huddle.streaming.newest import start_newest_ingest
+        if args.newest:
+            q = start_newest_ingest(spark, args.landing, args.table)
+        else:
+            q = start_weekly_ingest(spark, args.landing, args.table, checkpoint=args.checkpoint)
         q.awaitTermination()
         print(q.lastProgress and {"rows": q.lastProgress.get("numInputRows")})
         return 0 if q.exception() is None else 1
@@ -75,11 +83,24 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         finally:
             reports.close()
+    if getattr(args, "refresh", False) and not (args.store and args.table):
+        ap.error("--refresh needs --store and --table")
     out = args.out.rstrip("/")
     store = Versions(spark, args.store) if args.store else None
     reports = None
     try:
         weeks = tuple(getattr(args, "weeks", (1, 14)))
+        if getattr(args, "refresh", False):
+            from huddle.plans.refresh import refresh
+            reports = refresh(spark, args.landing, f"{out}/compacted", args.table, store, weeks, args.top, not args.across_leagues)
+            changed = reports.pop("changed")
+            for name, df in reports.items():
+                df.write.mode("overwrite").parquet(f"{out}/reports/{name}")
+            print({"version": store.current(), "leagues": "all" if changed is None else changed.count()})
+            for name in args.show:
+                df = reports[name]
+                (ordered(df, name) if name in ORDERS else df).show(50, truncate=False)
+            return 0
         reports = landing_pipeline(spark, args.landing, f"{out}/compacted", weeks=weeks,
                                    n=getattr(args, "top", 10),
                                    per_league=not getattr(args, "across_leagues", False),
@@ -103,6 +124,8 @@ def main(argv: list[str] | None = None) -> int:
     finally:
         if reports:
             reports.close()
+        if store:
+            store.close()
         spark.catalog.dropTempView(SCOREBOARD_VIEW)
         spark.catalog.dropTempView(RAW_VIEW)
 

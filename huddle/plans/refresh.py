@@ -69,14 +69,13 @@ def _weeks(versions: Versions, old: int, changed: DataFrame, new: DataFrame) ->
     return landing.merge_weeks(held, new)
 
 
-def refresh(spark: SparkSession, root: str, out_dir: str, table: str, versions: Versions,
-            weeks: tuple[int, int] = (1, 14), n: int = 10, per_league: bool = True,
-            large_league: int = sb.LARGE_LEAGUE) -> Reports:
-    """All reports over the newest payloads, from the next version of the tables.
+def update(spark: SparkSession, root: str, out_dir: str, table: str, versions: Versions,
+           large_league: int = sb.LARGE_LEAGUE) -> tuple[int, DataFrame | None]:
+    """Brings the tables of ``versions`` up to the newest payloads.
 
     ``root``: landed users, rosters, drafts, picks and catalog, compacted to ``out_dir``;
-    ``table``: weekly rows of ``streaming.newest``. ``changed`` in the result lists the leagues worked on
-    (None after a full build).
+    ``table``: weekly rows of ``streaming.newest``. Returns the current version and the leagues
+    worked on (None after a full build).
     """
     tuned(spark)
     paths = landing.compact(spark, root, out_dir, weekly=False)
@@ -100,13 +99,19 @@ def refresh(spark: SparkSession, root: str, out_dir: str, table: str, versions:
             # read by every table's replacement, so written once
             changed = build.materialize(changed_leagues(new, digests, versions.read("digests", old)), "changed")
             if not build.row_counts()["changed"]:
-                return _reports(versions, old, weeks, n, per_league, spark.createDataFrame([], changed.schema))
+                return old, spark.createDataFrame([], changed.schema)
             new = _weeks(versions, old, changed, new)
         _write(build, new, users, rosters, picks, players, digests, large if spread else None, layout["buckets"], changed, old)
         build.notes = {**layout, "batch": upto}
         number = build.commit()
-    if changed is not None:
-        changed = versions.read("changed", number)
+    return number, None if changed is None else versions.read("changed", number)
+
+
+def refresh(spark: SparkSession, root: str, out_dir: str, table: str, versions: Versions,
+            weeks: tuple[int, int] = (1, 14), n: int = 10, per_league: bool = True,
+            large_league: int = sb.LARGE_LEAGUE) -> Reports:
+    """``update``, and all reports over its tables; ``changed`` lists the leagues worked on (None after a full build)."""
+    number, changed = update(spark, root, out_dir, table, versions, large_league)
     return _reports(versions, number, weeks, n, per_league, changed)
 
 

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from huddle.plans import versions as vs
 from huddle.plans.pipeline import landing_pipeline
-from huddle.plans.refresh import changed_leagues, league_digests, refresh
+from huddle.plans.refresh import changed_leagues, league_digests, refresh, update
 from huddle.plans.versions import PART, Versions
-from huddle.sources import landing
-from huddle.streaming.ingest import SOURCE_COLUMNS, current_rows, start_weekly_ingest
+from huddle.streaming.ingest import current_rows, start_weekly_ingest
 from huddle.streaming.newest import batch_rows, finished_batches, start_newest_ingest
 
 LEAGUES = [f"L{i}" for i in range(12)]
@@ -60,14 +59,14 @@ def test_the_stream_takes_what_the_whole_history_gives(spark, tmp_path):
     rng, clock = random.Random(5), list(range(1, 200))
     rng.shuffle(clock)                                   # files arrive in another order than they were fetched
     n = 0
-    for _ in range(4):
-        for _ in range(12):
+    for _ in range(2):
+        for _ in range(24):
             kind = rng.random()
             value = "<html>" if kind < 0.25 else [] if kind < 0.4 else week(rng)
             # every fourth file has the time of another one
             land(root, rng.choice("AB"), f"week={rng.randint(1, 4)}/matchups-{n}.json", value, clock[n - n % 4])
             n += 1
-        take(spark, root, table, max_files_per_trigger=5)
+        take(spark, root, table, max_files_per_trigger=12)
         q = start_weekly_ingest(spark, root, every, checkpoint=ck)
         q.awaitTermination(300)
         want = current_rows(spark, every)
@@ -106,13 +105,19 @@ def test_changed_leagues_by_digests(spark):
     assert {r[0] for r in changed_leagues(spark.createDataFrame([("Z",)], "league_id string"), before, before).collect()} == {"Z"}
 
 
-def same_reports(spark, out, root, table, tmp_path, large=10_000):
-    """Every report is what a full build over all that was ever taken gives."""
+TABLES = ("weekly", "matchups_raw", "scoreboard_beats", "scoreboard_rank", "player_totals", "picks_enriched", "digests")
+
+
+def ids(df):
+    return sorted(r[0] for r in df.collect())
+
+
+def same_tables(spark, v, root, table, tmp_path, large):
+    """Every table is what a full build over all that was ever taken gives."""
     whole = Versions(spark, str(tmp_path))
-    full = refresh(spark, root, f"{tmp_path}-c", table, whole, large_league=large)
-    assert full["changed"] is None
-    for name in sorted(set(full) - {"changed"}):
-        assert content(out[name]) == content(full[name]), name
+    assert update(spark, root, f"{tmp_path}-c", table, whole, large) == (1, None)
+    for name in TABLES:
+        assert content(v.read(name)) == content(whole.read(name)), name
     whole.close()
 
 
@@ -122,40 +127,32 @@ def test_a_refetched_week_rebuilds_its_league_only(spark, tmp_path, large):
     rng = random.Random(large)
     base(root)
     for league in LEAGUES:
-        for w in range(1, 4):
+        for w in (1, 2):
             land(root, league, f"week={w}/matchups-1.json", week(rng), at=w)
     take(spark, root, table)
     v = Versions(spark, store, keep=1)
-    first = refresh(spark, root, str(tmp_path / "c"), table, v, large_league=large)
-    assert first["changed"] is None and first["standings"].count() == 48
-    # a full build by the landed files gives the same reports
-    final = str(tmp_path / "final")
-    shutil.copytree(root, final)
-    for league in LEAGUES:
-        for w in range(1, 4):
-            os.rename(f"{final}/league_id={league}/week={w}/matchups-1.json", f"{final}/league_id={league}/week={w}/matchups.json")
-    landed = landing_pipeline(spark, final, str(tmp_path / "lc"), large_league=large)
-    for name in ("standings", "head_to_head", "late_round_steals", "win_points_profile", "volatility"):
-        assert content(first[name]) == content(landed[name]), name
-    landed.close()
+    step = lambda: update(spark, root, str(tmp_path / "c"), table, v, large)
+    assert step() == (1, None) and v.read("scoreboard_rank").count() == 4 * 2 * len(LEAGUES)
 
     land(root, "L5", "week=2/matchups-2.json", week(rng), at=9)
     take(spark, root, table)
-    out = refresh(spark, root, str(tmp_path / "c"), table, v, large_league=large)
-    assert [r[0] for r in out["changed"].collect()] == ["L5"] and v.numbers() == [2]
+    number, changed = step()
+    assert ids(changed) == ["L5"] and v.numbers() == [number] == [2]
     # what was read of the weekly rows: one file's payload; what was written: the parts of L5
     assert {(r.league_id, r.week) for r in batch_rows(spark, table, after=0).collect()} == {("L5", 2)}
     for name, t in v.tables().items():
         if "parts" in t:
-            new = {int(p) for p, number in t["parts"].items() if number == 2}
-            mine = {r[0] for r in v.read(name, with_part=True).filter("league_id = 'L5'").select(PART).distinct().collect()}
-            assert new == mine and len(new) < len(t["parts"]), name
-    same_reports(spark, out, root, table, tmp_path / "w2", large)
-    assert not [n for n in os.listdir(f"{store}/manifests") if n.startswith("000000000001")]
-
-    # nothing new: no version; the reports are the last one's
-    again = refresh(spark, root, str(tmp_path / "c"), table, v, large_league=large)
-    assert v.numbers() == [2] and again["changed"].isEmpty() and content(again["standings"]) == content(out["standings"])
+            new = {int(p) for p, at in t["parts"].items() if at == 2}
+            mine = ids(v.read(name, with_part=True).filter("league_id = 'L5'").select(PART).distinct())
+            assert sorted(new) == mine and len(new) < len(t["parts"]), name
+    # the older version is gone but for the parts that are still referred to
+    assert os.listdir(f"{store}/manifests") and not os.path.exists(f"{store}/manifests/000000000001.json")
+    left = {p for p in os.listdir(f"{store}/data/000000000001/weekly") if p.startswith(PART)}
+    assert left == {f"{PART}={p}" for p, at in v.tables()["weekly"]["parts"].items() if at == 1}
+
+    # nothing new: no version
+    number, changed = step()
+    assert number == 2 and changed.isEmpty() and v.numbers() == [2]
 
     # a new league, one whose names changed, one that lost its rosters, and an emptied week
     base(root, ["NEW"])
@@ -164,17 +161,8 @@ def test_a_refetched_week_rebuilds_its_league_only(spark, tmp_path, large):
     os.remove(f"{root}/league_id=L2/rosters.json")
     land(root, "L3", "week=2/matchups-3.json", [], at=11)
     take(spark, root, table)
-    out = refresh(spark, root, str(tmp_path / "c"), table, v, large_league=large)
-    changed = {r[0] for r in out["changed"].collect()}
-    assert {"NEW", "L1", "L2", "L3"} == changed
-    same_reports(spark, out, root, table, tmp_path / "w3", large)
-
-    # another catalog concerns every league
-    with open(os.path.join(root, "players.json"), "w") as f:
-        json.dump({"p1": {"full_name": "Other", "position": "WR"}}, f)
-    out = refresh(spark, root, str(tmp_path / "c"), table, v, large_league=large)
-    assert out["changed"] is None
-    same_reports(spark, out, root, table, tmp_path / "w4", large)
+    assert ids(step()[1]) == ["L1", "L2", "L3", "NEW"]
+    same_tables(spark, v, root, table, tmp_path / "whole", large)
     v.close()
 
 
@@ -183,23 +171,31 @@ def test_a_killed_refresh_leaves_the_version_and_its_parts(spark, tmp_path, monk
     rng = random.Random(2)
     base(root, ["A", "B"])
     for league in "AB":
-        land(root, league, "week=1/matchups-1.json", week(rng), at=1)
+        land(root, league, "week=1/matchups.json", week(rng), at=1)
     take(spark, root, table)
     v = Versions(spark, store, keep=1)
-    want = content(refresh(spark, root, str(tmp_path / "c"), table, v)["standings"])
-    land(root, "A", "week=2/matchups-1.json", week(rng), at=2)
+    compacted = str(tmp_path / "c")
+    out = refresh(spark, root, compacted, table, v)
+    landed = landing_pipeline(spark, root, str(tmp_path / "lc"))     # the same payloads, without stream and versions
+    for name in ("standings", "head_to_head", "late_round_steals", "win_points_profile"):
+        assert content(out[name]) == content(landed[name]), name
+    landed.close()
+    land(root, "A", "week=2/matchups.json", week(rng), at=2)
     take(spark, root, table)
 
     def ended(self):
         raise KeyboardInterrupt
     monkeypatch.setattr(vs.Build, "commit", ended)
     with pytest.raises(KeyboardInterrupt):
-        refresh(spark, root, str(tmp_path / "c"), table, v)
+        update(spark, root, compacted, table, v)
     monkeypatch.undo()
     assert v.numbers() == [1] and v.read("scoreboard_beats").count() == 8
-    out = refresh(spark, root, str(tmp_path / "c"), table, v)
-    assert content(out["standings"]) != want and [r[0] for r in out["changed"].collect()] == ["A"]
-    same_reports(spark, out, root, table, tmp_path / "w")
+    _, changed = update(spark, root, compacted, table, v)
+    assert ids(changed) == ["A"] and v.read("scoreboard_beats").count() == 12
+    # another catalog concerns every league
+    with open(os.path.join(root, "players.json"), "w") as f:
+        json.dump({"p1": {"full_name": "Other", "position": "WR"}}, f)
+    assert update(spark, root, compacted, table, v)[1] is None
     v.close()
 
 
