@@ -7,9 +7,10 @@ step codes the next id of every lane with array operations.
 
 For each id, order 2 and order 1 predict one id each (the last one that
 followed the same two ids, or the same id) with a confidence; order 0 gives
-every id a share by its count. A first symbol says which prediction holds; the
+every id a share by its count. A flag says which prediction holds; the
 shares of its three values are learnt for each state of confidence, which mixes
-the orders. If neither prediction holds, the id is coded with order 0. The models learn
+the orders. If neither prediction holds, the id takes its share of order 0 within
+the flag's, so flag and id are one symbol for the range coder. The models learn
 after every ``STEPS`` steps, from what the reader has read by then too.
 
 Defined results: null text is an empty text (the end id alone); documents are
@@ -38,12 +39,13 @@ BLOCK_IDS = 1 << 20
 LANES = 4096
 MIN_LANE_IDS = 128
 STEPS = 16
+TEXT_BYTES = 12 << 20        # text turned into ids at once
 _BITS1, _BITS2 = 16, 20
-_FLAG_BITS, _ID_BITS = 12, 21      # shares are of these powers of two
+_FLAG_BITS, _ID_BITS = 10, 20      # shares are of these powers of two
+_BITS = _FLAG_BITS + _ID_BITS      # of a flag and an id, coded as one symbol
 _U = np.uint64
-_TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 32)
-_W16, _W48 = np.uint64(16), np.uint64(48)
-_MAGIC = b"IDC1"
+_BOT, _W32 = np.uint64(1 << 32), np.uint64(32)
+_MAGIC = b"IDC2"
 _HEAD = struct.Struct("<4sIIII")             # magic, ids, lanes, crc32 of ids, crc32 of the rest
 
 
@@ -51,8 +53,8 @@ class Model:
     """What a block has learnt so far; the same on the writing and the reading side."""
 
     def __init__(self, vocab: int):
-        self.pred1, self.conf1 = np.zeros(1 << _BITS1, np.int32), np.zeros(1 << _BITS1, np.uint8)
-        self.pred2, self.conf2 = np.zeros(1 << _BITS2, np.int32), np.zeros(1 << _BITS2, np.uint8)
+        # the id that followed last, and how often in a row (2 bits)
+        self.slots1, self.slots2 = np.zeros(1 << _BITS1, np.int32), np.zeros(1 << _BITS2, np.int32)
         self.count, self.seen = np.zeros(vocab, np.int64), 0
         self.flags = np.ones((32, 3), np.int64)
         self._tables()
@@ -68,30 +70,30 @@ class Model:
         self.cum[1:] = np.cumsum(freq)
         self.cum[-1] = 1 << _ID_BITS
         share = 1 + self.flags * ((1 << _FLAG_BITS) - 3) // self.flags.sum(1, keepdims=True)
-        self.flag1, self.flag2 = share[:, 0].astype(np.uint64), (share[:, 0] + share[:, 1]).astype(np.uint64)
+        one, two = share[:, 0], share[:, 0] + share[:, 1]
+        # by 3 * state + flag: where the share of a flag starts, and its size
+        self.flag_start = np.column_stack([np.zeros_like(one), one, two]).ravel().astype(np.uint64) << _U(_ID_BITS)
+        self.flag_size = np.column_stack([one, two - one, (1 << _FLAG_BITS) - two]).ravel().astype(np.uint64)
+        self.flag1, self.flag2 = self.flag_start[1::3].copy(), self.flag_start[2::3].copy()
+
+    def id_table(self) -> np.ndarray:
+        """The id at every place of order 0."""
+        return np.repeat(np.arange(len(self.count), dtype=np.int32), np.diff(self.cum.astype(np.int64)))
 
     def predict(self, before: np.ndarray, last: np.ndarray):
-        """Slots of both contexts, both predictions and the state of confidence."""
+        """Slots of both contexts, what they hold, both predictions and the state of confidence."""
         h1 = (last * 40503 >> 3) & ((1 << _BITS1) - 1)
         h2 = ((before * 2654435761 + last * 40503001) >> 7) & ((1 << _BITS2) - 1)
-        p1, p2 = self.pred1[h1], self.pred2[h2]
-        state = self.conf2[h2].astype(np.int64) * 4 + self.conf1[h1] + 16 * (p1 == p2)
-        return h1, h2, p1, p2, state
-
-    def flag_place(self, state, flag):
-        """Where the share of a flag starts, and its size."""
-        one, two = self.flag1[state], self.flag2[state]
-        start = np.where(flag == 0, _U(0), np.where(flag == 1, one, two))
-        return start, np.where(flag == 0, one, np.where(flag == 1, two, _U(1 << _FLAG_BITS))) - start
+        g1, g2 = self.slots1.take(h1), self.slots2.take(h2)
+        p1, p2 = g1 >> 2, g2 >> 2
+        c1, c2 = g1 & 3, g2 & 3
+        return h1, h2, c1, c2, p1, p2, (c2 << 2) + c1 + ((p1 == p2) * np.int32(16))
 
-    def learn(self, h1, h2, p1, p2, state, flag, ids):
+    def learn(self, h1, h2, c1, c2, p1, p2, state, flag, ids):
         """Takes in some steps, flat and in step order (of equal slots the last counts)."""
         self.flags += np.bincount(state * 3 + flag, minlength=96).reshape(32, 3)
-        c1, c2 = self.conf1[h1], self.conf2[h2]
-        self.conf1[h1] = np.where(p1 == ids, np.minimum(c1 + 1, 3), 0)
-        self.conf2[h2] = np.where(p2 == ids, np.minimum(c2 + 1, 3), 0)
-        self.pred1[h1] = ids
-        self.pred2[h2] = ids
+        self.slots1[h1] = (ids << 2) + np.minimum(c1 + 1, 3) * (p1 == ids)
+        self.slots2[h2] = (ids << 2) + np.minimum(c2 + 1, 3) * (p2 == ids)
         self.count += np.bincount(ids, minlength=len(self.count))
         self.seen += len(ids)
         self._tables()
@@ -101,60 +103,65 @@ class Writer:
     def __init__(self, lanes: int, steps: int):
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        self.out = np.zeros((lanes, 4 * steps + 8), np.uint16)
+        self.out = np.zeros((lanes, steps + 2), np.uint32)   # a symbol of _BITS bits ends one word at most
         self.n = np.zeros(lanes, np.int64)
 
-    def put(self, lane: np.ndarray, start: np.ndarray, freq: np.ndarray, bits: int) -> None:
-        low, rng = self.low[lane], self.range[lane] >> _U(bits)
-        low, rng = low + start * rng, rng * freq
-        at = np.flatnonzero(_due(low, rng))
-        while len(at):
-            l, r, k = low[at], rng[at], lane[at]
-            r = np.where((l ^ (l + r)) >= _TOP, (~l + np.uint64(1)) & (_BOT - np.uint64(1)), r)
-            self.out[k, self.n[k]] = l >> _W48
+    def put(self, start: np.ndarray, size: np.ndarray) -> None:
+        """One symbol of every lane."""
+        self.range >>= _U(_BITS)
+        self.low += start * self.range
+        self.range *= size
+        k = np.flatnonzero(_due(self.low, self.range))
+        if len(k):
+            low = self.low[k]
+            self.out[k, self.n[k]] = low >> _W32
             self.n[k] += 1
-            low[at], rng[at] = l << _W16, r << _W16
-            at = at[_due(low[at], rng[at])]
-        self.low[lane], self.range[lane] = low, rng
+            self.range[k] = _cut(low, self.range[k]) << _W32
+            self.low[k] = low << _W32
 
     def end(self) -> None:
         k = np.arange(len(self.low))
-        for _ in range(4):
-            self.out[k, self.n] = self.low >> _W48
-            self.low = self.low << _W16
+        for _ in range(2):
+            self.out[k, self.n] = self.low >> _W32
+            self.low = self.low << _W32
             self.n += 1
 
 
 def _due(low, rng):
-    return ((low ^ (low + rng)) < _TOP) | (rng < _BOT)
+    """Whether the upper word is settled, or the range too small for a symbol."""
+    return ((low ^ (low + rng)) < _BOT) | (rng < _BOT)
+
+
+def _cut(low, rng):
+    """The range, ended where the upper word would change."""
+    return np.where((low ^ (low + rng)) >= _BOT, (~low + _U(1)) & (_BOT - _U(1)), rng)
 
 
 class Reader:
     def __init__(self, words: np.ndarray, n: np.ndarray):
-        self.words = np.append(words, np.zeros(4, np.uint16)).astype(np.uint64)
+        self.words = np.append(words, np.zeros(2, np.uint32)).astype(np.uint64)
         self.at = np.cumsum(n) - n
         self.low = np.zeros(len(n), np.uint64)
         self.range = np.full(len(n), 0xFFFFFFFFFFFFFFFF, np.uint64)
         self.code = np.zeros(len(n), np.uint64)
-        for _ in range(4):
-            self.code = (self.code << _W16) | self.words[self.at]
+        for _ in range(2):
+            self.code = (self.code << _W32) | self.words[self.at]
             self.at += 1
 
-    def value(self, lane: np.ndarray, bits: int) -> np.ndarray:
-        self.unit = self.range[lane] >> _U(bits)
-        return np.minimum((self.code[lane] - self.low[lane]) // self.unit, _U((1 << bits) - 1))
-
-    def take(self, lane: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        low, rng, code = self.low[lane] + start * self.unit, self.unit * freq, self.code[lane]
-        at = np.flatnonzero(_due(low, rng))
-        while len(at):
-            l, r, k = low[at], rng[at], lane[at]
-            r = np.where((l ^ (l + r)) >= _TOP, (~l + np.uint64(1)) & (_BOT - np.uint64(1)), r)
-            code[at] = (code[at] << _W16) | self.words[self.at[k]]
+    def value(self) -> np.ndarray:
+        self.range >>= _U(_BITS)
+        return np.minimum((self.code - self.low) // self.range, _U((1 << _BITS) - 1))
+
+    def take(self, start: np.ndarray, size: np.ndarray) -> None:
+        self.low += start * self.range
+        self.range *= size
+        k = np.flatnonzero(_due(self.low, self.range))
+        if len(k):
+            low = self.low[k]
+            self.code[k] = (self.code[k] << _W32) | self.words[self.at[k]]
             self.at[k] += 1
-            low[at], rng[at] = l << _W16, r << _W16
-            at = at[_due(low[at], rng[at])]
-        self.low[lane], self.range[lane], self.code[lane] = low, rng, code
+            self.range[k] = _cut(low, self.range[k]) << _W32
+            self.low[k] = low << _W32
 
 
 def _lanes(n: int) -> int:
@@ -171,25 +178,24 @@ def encode_block(ids: np.ndarray, vocab: int) -> bytes:
     grid = grid.reshape(lanes, steps).T
     prev = np.zeros((steps + 2, lanes), np.int64)
     prev[2:] = grid
-    model, out, every = Model(vocab), Writer(lanes, steps), np.arange(lanes)
+    model, out = Model(vocab), Writer(lanes, steps)
     for a in range(0, steps, STEPS):
         b = min(steps, a + STEPS)
         now = grid[a:b].ravel()
-        h1, h2, p1, p2, state = model.predict(prev[a:b].ravel(), prev[a + 1:b + 1].ravel())
+        told = model.predict(prev[a:b].ravel(), prev[a + 1:b + 1].ravel())
+        p1, p2, state = told[-3:]
         flag = np.where(p2 == now, 0, np.where(p1 == now, 1, 2))
-        f_start, f_size = model.flag_place(state, flag)
-        start = model.cum[now]
-        size = model.cum[now + 1] - start
-        for k in range(b - a):
-            s = slice(k * lanes, (k + 1) * lanes)
-            out.put(every, f_start[s], f_size[s], _FLAG_BITS)
-            left = np.flatnonzero(flag[s] == 2)
-            if len(left):
-                out.put(left, start[s][left], size[s][left], _ID_BITS)
-        model.learn(h1, h2, p1, p2, state, flag, now)
+        f_start, f_size = model.flag_start.take(state * 3 + flag), model.flag_size.take(state * 3 + flag)
+        # a flag that tells the id takes the whole of its share, the others the share of the id in it
+        first, escaped = model.cum.take(now), flag == 2
+        start = f_start + first * f_size * escaped
+        size = f_size * np.where(escaped, model.cum.take(now + 1) - first, _U(1 << _ID_BITS))
+        for k in range(0, len(now), lanes):
+            out.put(start[k:k + lanes], size[k:k + lanes])
+        model.learn(*told, flag, now)
     out.end()
     words = out.out[np.arange(out.out.shape[1]) < out.n[:, None]]
-    rest = out.n.astype("<u4").tobytes() + words.astype("<u2").tobytes()
+    rest = out.n.astype("<u4").tobytes() + words.astype("<u4").tobytes()
     return _HEAD.pack(_MAGIC, n, lanes, zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(rest)) + rest
 
 
@@ -202,26 +208,31 @@ def decode_block(block: bytes, vocab: int) -> np.ndarray:
     if magic != _MAGIC or zlib.crc32(rest) != rest_crc:
         raise ValueError("damaged block")
     count = np.frombuffer(rest, "<u4", lanes).astype(np.int64)
-    reader = Reader(np.frombuffer(rest, "<u2", offset=4 * lanes), count)
+    reader = Reader(np.frombuffer(rest, "<u4", offset=4 * lanes), count)
     steps = -(-n // lanes)
     prev = np.zeros((steps + 2, lanes), np.int64)
-    model, every = Model(vocab), np.arange(lanes)
+    model = Model(vocab)
     for a in range(0, steps, STEPS):
-        b, told = min(steps, a + STEPS), []
+        b, told, table = min(steps, a + STEPS), [], model.id_table()
         for t in range(a, b):
-            h1, h2, p1, p2, state = model.predict(prev[t], prev[t + 1])
-            v = reader.value(every, _FLAG_BITS)
-            flag = (v >= model.flag1[state]).astype(np.int64) + (v >= model.flag2[state])
-            reader.take(every, *model.flag_place(state, flag))
-            now = np.where(flag == 0, p2, p1).astype(np.int64)
-            left = np.flatnonzero(flag == 2)
-            if len(left):
-                got = np.searchsorted(model.cum, reader.value(left, _ID_BITS), "right") - 1
-                lo = model.cum[got]
-                reader.take(left, lo, model.cum[got + 1] - lo)
-                now[left] = got
+            guess = model.predict(prev[t], prev[t + 1])
+            p1, p2, state = guess[-3:]
+            v = reader.value()
+            second, escaped = v >= model.flag1.take(state), v >= model.flag2.take(state)
+            flag = second.astype(np.int64) + escaped
+            now = np.where(second, p1, p2)
+            start, size = model.flag_start.take(state * 3 + flag), model.flag_size.take(state * 3 + flag)
+            left = np.flatnonzero(escaped)
+            own = size[left]
+            got = table.take(((v[left] - start[left]) // own).astype(np.int64))
+            first = model.cum.take(got)
+            now[left] = got
+            start[left] += first * own
+            size <<= _U(_ID_BITS)
+            size[left] = own * (model.cum.take(got + 1) - first)
+            reader.take(start, size)
             prev[t + 2] = now
-            told.append((h1, h2, p1, p2, state, flag, now))
+            told.append((*guess, flag, now))
         model.learn(*(np.concatenate(x) for x in zip(*told)))
     ids = prev[2:].T.ravel()[:n]
     if zlib.crc32(ids.astype("<u4").tobytes()) != ids_crc:
@@ -251,7 +262,7 @@ def _write(batches, path, end_id, vocab, block_ids):
 
     for batch in batches:
         names = batch.column("doc_id").to_pylist()
-        for a, b, flat, count in encoded_slices(batch.column("text"), path):
+        for a, b, flat, count in encoded_slices(batch.column("text"), path, TEXT_BYTES):
             at = 0
             for i in range(a, b):
                 own = np.append(flat[at:at + int(count[i - a])], end_id).astype(np.int32)

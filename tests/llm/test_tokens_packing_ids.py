@@ -87,6 +87,33 @@ def test_block_damage():
         idcoder.decode_block(b"IDC", 50_257)
 
 
+def test_writer_ends_one_word_a_symbol():
+    """The least shares there are, at the ends and across word borders, against the reader."""
+    g = np.random.default_rng(5)
+    top, lanes = 1 << idcoder._BITS, 300
+    start = g.choice(np.array([0, 1, top // 2 - 1, top // 2, top - 1]), (200, lanes)).astype(np.uint64)
+    size = np.ones_like(start)
+    writer = idcoder.Writer(lanes, len(start))
+    for s, z in zip(start, size):
+        writer.put(s, z)
+    writer.end()
+    assert (writer.n <= len(start) + 2).all()
+    reader = idcoder.Reader(writer.out[np.arange(writer.out.shape[1]) < writer.n[:, None]], writer.n)
+    for s, z in zip(start, size):
+        assert (reader.value() == s).all()
+        reader.take(s, z)
+
+
+def test_flag_and_id_are_one_symbol(monkeypatch):
+    """A step of all lanes costs one call of the coder, however many ids no order foretells."""
+    calls = []
+    put = idcoder.Writer.put
+    monkeypatch.setattr(idcoder.Writer, "put", lambda self, *a: (calls.append(1), put(self, *a)))
+    ids = np.random.default_rng(1).integers(0, 50_257, 50_000)
+    idcoder.encode_block(ids, 50_257)
+    assert len(calls) == -(-len(ids) // idcoder._lanes(len(ids)))
+
+
 def test_repeats_compress():
     ids = np.tile(np.random.default_rng(0).integers(0, 50_257, 300), 700)
     assert len(idcoder.encode_block(ids, 50_257)) < 0.75 * len(ids)
