@@ -113,3 +113,52 @@ def test_no_python_state_of_doc_ids(corpus):
     base = {r.doc_id: r.score for r in toxicity.score(docs, labels).collect()}
     other = docs.withColumn("lang", F.lit("zz")).withColumn("source", F.lit("q"))
     assert {r.doc_id: r.score for r in toxicity.score(other, labels).collect()} == base
+
+
+def test_toxicity_counts_all_labelled_rows(spark):
+    """Classes of unequal size: the counts of each are those of all its rows that may be learnt from."""
+    r = random.Random(9)
+    vocab = ["".join(r.choice("abcdefghijklm") for _ in range(r.randint(2, 9))) for _ in range(60)]
+    rows = [(i, " ".join(r.choice(vocab) for _ in range(r.randint(0, 30)))) for i in range(400)]
+    labels = [(i, int(i % 10 == 0)) for i in range(400)] + [(3, 1), (7, None), (None, 1), (4000, 0)]
+    docs = spark.createDataFrame([*rows, rows[8], (None, "x y")], "doc_id long, text string").repartition(3)
+    known = toxicity._labelled(spark.createDataFrame(labels, "doc_id long, toxic int"))
+    want_rows = {i: int(i % 10 == 0 or i == 3) for i in [*range(400), 4000] if zlib.crc32(str(i).encode()) % 5}
+    assert {r.doc_id: r.toxic for r in known.collect()} == want_rows and known.count() == len(want_rows)
+    words, pairs = {}, {}
+    for i, text in rows:
+        if i in want_rows:
+            w = ["", "", *text.split()]
+            for k in range(2, len(w)):
+                words.setdefault((want_rows[i], w[k]), set()).add(w[k - 1])
+                pairs.setdefault((want_rows[i], w[k - 1], w[k]), set()).add(w[k - 2])
+    got = toxicity._counts(toxicity._texts_of(docs, known)).collect()
+    told = lambda pair: sorted((r.toxic, r.n) for r in got if r.pair == pair)
+    assert told(0) == sorted((c, len(x)) for (c, _), x in words.items())
+    assert told(1) == sorted((c, len(x)) for (c, *_), x in pairs.items() if len(x) > toxicity.DISCOUNT)
+
+
+def test_toxicity_of_unequal_classes(corpus):
+    """More ordinary rows than toxic ones leave the words that no row has without evidence."""
+    docs, labels, known, _ = corpus
+    few = labels.filter("toxic = 0 or doc_id % 3 = 0")
+    got = [r for r in toxicity.score(docs, few).collect() if r.held_out and r.doc_id in known]
+    assert np.mean([r.predicted == known[r.doc_id][1] for r in got]) > 0.9
+    assert np.mean([r.predicted for r in got if known[r.doc_id][1] == 0]) < 0.05
+
+
+def test_sketches_of_tasks_join(spark):
+    """Sketches sent in blocks give what one task's sketch gives."""
+    r = random.Random(2)
+    texts = [" ".join(f"w{r.randrange(900)}x" for _ in range(40)) for _ in range(90)]
+    from huddle.llm.shingles import words
+    raw = " ".join(texts).encode()
+    h, _, _, *stems = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), toxicity._GAPS, toxicity.STEMS)
+    vocab = np.unique(np.concatenate(toxicity._units(toxicity._keys(h, stems))))
+    shared = spark.sparkContext.broadcast(vocab)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    all_at_once = docs.coalesce(1).mapInArrow(
+        lambda it: toxicity._spread(it, shared, toxicity._keys, toxicity._units), "cell long, rank int")
+    blocks = docs.repartition(5).mapInArrow(lambda it: toxicity._spread_blocks(it, shared), "block long, ranks binary")
+    joined = blocks.groupBy("block").applyInArrow(toxicity._largest, "cell long, rank int")
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, all_at_once.collect()))
