@@ -38,8 +38,8 @@ from huddle.llm.tokens import encoded_slices, tidied
 BLOCK_IDS = 1 << 20
 LANES = 4096
 MIN_LANE_IDS = 128
-STEPS = 16
-TEXT_BYTES = 12 << 20        # text turned into ids at once
+STEPS = 24
+TEXT_BYTES = 16 << 20        # text turned into ids at once
 _BITS1, _BITS2 = 16, 20
 _FLAG_BITS, _ID_BITS = 10, 20      # shares are of these powers of two
 _BITS = _FLAG_BITS + _ID_BITS      # of a flag and an id, coded as one symbol
@@ -81,19 +81,19 @@ class Model:
         return np.repeat(np.arange(len(self.count), dtype=np.int32), np.diff(self.cum.astype(np.int64)))
 
     def predict(self, before: np.ndarray, last: np.ndarray):
-        """Slots of both contexts, what they hold, both predictions and the state of confidence."""
+        """Slots of both contexts, both predictions and the state of confidence."""
         h1 = (last * 40503 >> 3) & ((1 << _BITS1) - 1)
         h2 = ((before * 2654435761 + last * 40503001) >> 7) & ((1 << _BITS2) - 1)
         g1, g2 = self.slots1.take(h1), self.slots2.take(h2)
         p1, p2 = g1 >> 2, g2 >> 2
         c1, c2 = g1 & 3, g2 & 3
-        return h1, h2, c1, c2, p1, p2, (c2 << 2) + c1 + ((p1 == p2) * np.int32(16))
+        return h1, h2, p1, p2, (c2 << 2) + c1 + ((p1 == p2) * np.int32(16))
 
-    def learn(self, h1, h2, c1, c2, p1, p2, state, flag, ids):
+    def learn(self, h1, h2, p1, p2, state, flag, ids):
         """Takes in some steps, flat and in step order (of equal slots the last counts)."""
         self.flags += np.bincount(state * 3 + flag, minlength=96).reshape(32, 3)
-        self.slots1[h1] = (ids << 2) + np.minimum(c1 + 1, 3) * (p1 == ids)
-        self.slots2[h2] = (ids << 2) + np.minimum(c2 + 1, 3) * (p2 == ids)
+        self.slots1[h1] = (ids << 2) + np.minimum((state & 3) + 1, 3) * (p1 == ids)
+        self.slots2[h2] = (ids << 2) + np.minimum((state >> 2 & 3) + 1, 3) * (p2 == ids)
         self.count += np.bincount(ids, minlength=len(self.count))
         self.seen += len(ids)
         self._tables()
